@@ -38,3 +38,4 @@ HEADED_FENCE = (
 
 # Leading ``key: value`` lines of a text that has no frontmatter.
 HEADER_BLOCK = rf"\A((?:[\w. -]++{INLINE_SPACE}*+:[^\n]*+(?:\n|\z))++)"
+BLANK_FIRST_LINE = r"(?U)\A[\s&&[^\n]]*+(?:\n|\z)"

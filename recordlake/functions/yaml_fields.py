@@ -18,46 +18,43 @@ from recordlake.functions.yaml_text import (
     yaml_batch_to_json,
 )
 
-_KEY = r"[A-Za-z_][A-Za-z0-9_]*+(?:[ .-][A-Za-z0-9_]++)*+"
 # Characters that send a line to the full parser: controls, line separators, byte order marks.
-_ODD = r"\x7f-\x9f\u2028\u2029\ufeff\ufffe\uffff"
-_CHAR = rf"[^\x00-\x1f{_ODD}:#]"
+_ODD = r"\x00-\x1f\x7f-\x9f\u2028\u2029\ufeff\ufffe\uffff"
+# Every line ends in this marker while it is rewritten.  A replacement can only insert what
+# the line holds, so the marker also supplies the word and the quote that JSON needs.
+_END = '\x01null"'
+_KEY = r"[A-Za-z_][A-Za-z0-9_]*+(?:[ .-][A-Za-z0-9_]++)*+"
+_OTHER_WORD = rf"(?:{OTHER_NUMBER}|{TRUE_WORDS}|{FALSE_WORDS}|{NULL_WORDS}) *+\x01"
+# Quotes and backslashes are escaped by then: a line that starts with \" held a quoted text.
 _PLAIN = (
-    rf"(?!(?:{OTHER_NUMBER}) *$)(?:[^\x00-\x20{_ODD}\-?:,\[\]{{}}#&*!|>'\"%@`=<]|-(?=[0-9A-Za-z.]))"
-    rf"{_CHAR}*+(?:(?::(?=[^\x00-\x20])|(?<=[^ ])#){_CHAR}*+)*+"
+    rf"(?!{_OTHER_WORD})(?!\\\")(?:[^ {_ODD}\-?:,\[\]{{}}#&*!|>'%@`=<]|-(?=[0-9A-Za-z.]))"
+    rf"(?: *+(?:[^ {_ODD}:#]++|:(?=[^\x00-\x20])|(?<=[^ ])#))*+"
 )
-_QUOTED = rf"\"[^\"\\\x00-\x1f{_ODD}]*+\"|'[^'\x00-\x1f{_ODD}]*+'"
-_FLAT_LINE = rf"(?:{_KEY}:(?: ++(?:{JSON_NUMBER} *$|{_QUOTED}|{_PLAIN}))?)? *$"
-_NOT_FLAT = rf"(?md)^(?!{_FLAT_LINE})"
-
-_LINE_REWRITES = (
-    (rf"(?md)^({_KEY}): *(?:{NULL_WORDS})? *$", '"$1":null'),
-    (rf"(?md)^({_KEY}): +(?:{TRUE_WORDS}) *$", '"$1":true'),
-    (rf"(?md)^({_KEY}): +(?:{FALSE_WORDS}) *$", '"$1":false'),
-    (rf"(?md)^({_KEY}): +({JSON_NUMBER}) *$", '"$1":$2'),
-    (rf"""(?md)^({_KEY}): +(?:\\"([^\n]*?)\\"|'([^\n]*?)') *$""", '"$1":"$2$3"'),
-    (rf"(?md)^({_KEY}): +([^\n]*?) *$", '"$1":"$2"'),
+_LINE = (
+    rf"(?md)^({_KEY}):(?: *+(?:~ *+)?\x01(null)\"| ++(?:(true|false|null|{JSON_NUMBER}) *+\x01null\""
+    rf"|\\\"([^\\{_ODD}]*+)\\\" *+\x01null(\")|'([^'{_ODD}]*+)' *+\x01null(\")|({_PLAIN}) *+\x01null(\")))"
 )
+_MEMBER = '"$1":$2$3$5$7$9$4$6$8$5$7$9'
 
 
-def is_flat(text: Column) -> Column:
-    """True when every line is blank or ``key: scalar``."""
-    return ~text.rlike(_NOT_FLAT)
+def flat_to_json(text: Column) -> Column:
+    """JSON object text of a block whose lines are all ``key: scalar``.
+
+    For any other block the result is no valid JSON.
+    """
+    lines = F.trim(_escaped(text), F.lit("\n"))
+    marked = F.concat(F.replace(lines, F.lit("\n"), F.lit(_END + "\n")), F.lit(_END))
+    members = F.replace(F.regexp_replace(marked, _LINE, _MEMBER), F.lit("\n"), F.lit(","))
+    return F.when(lines == "", "{}").otherwise(F.concat(F.lit("{"), members, F.lit("}")))
 
 
-def flat_to_json(text: Column) -> Column:
-    """JSON object text for a block that ``is_flat``."""
-    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for pattern, replacement in _LINE_REWRITES:
-        out = F.regexp_replace(out, pattern, replacement)
-    members = F.regexp_replace(F.trim(out, F.lit(" \n")), r" *\n[ \n]*", ",")
-    return F.concat(F.lit("{"), members, F.lit("}"))
+def _escaped(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
 
 
 def header_to_json(text: Column) -> Column:
     """JSON object text for ``key: text`` lines, every value kept as text."""
-    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    out = F.regexp_replace(out, r"[\x00-\x09\x0b-\x1f]", " ")
+    out = F.regexp_replace(_escaped(text), r"[\x00-\x09\x0b-\x1f]", " ")
     out = F.regexp_replace(out, r"(?md)^ *([^:\n]*?) *: *([^\n]*?) *$", '"$1":"$2"')
     return F.concat(F.lit("{"), F.regexp_replace(F.trim(out, F.lit(" \n")), r"\n+", ","), F.lit("}"))
 
@@ -69,15 +66,19 @@ def with_yaml_fields(df: DataFrame, text: str, out: str) -> DataFrame:
     """
     flat, rest = f"{out}__flat", f"{out}__rest"
     lines = F.replace(F.col(text), F.lit("\r\n"), F.lit("\n"))
-    df = df.withColumn(text, lines).withColumn(flat, is_flat(F.col(text)))
-    df = df.withColumn(rest, yaml_to_json(F.when(~F.col(flat), F.col(text))))
-    parsed = F.when(F.col(flat), flat_to_json(F.col(text))).otherwise(F.col(rest))
-    return df.withColumn(out, json_fields(parsed)).drop(flat, rest)
+    df = df.withColumn(text, lines).withColumn(flat, F.try_parse_json(flat_to_json(F.col(text))))
+    df = df.withColumn(rest, yaml_to_json(F.when(F.col(flat).isNull(), F.col(text))))
+    parsed = F.coalesce(F.col(flat), F.try_parse_json(F.col(rest)))
+    return df.withColumn(out, _as_map(parsed)).drop(flat, rest)
 
 
 def json_fields(text: Column) -> Column:
     """JSON object text to ``MAP<STRING,VARIANT>``; anything but an object gives NULL."""
-    return F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>")
+    return _as_map(F.try_parse_json(text))
+
+
+def _as_map(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
 yaml_to_json = F.arrow_udf(yaml_batch_to_json, StringType())

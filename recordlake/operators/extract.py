@@ -5,7 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.functions.patterns import FENCE, HEADER_BLOCK
+from recordlake.functions.barrier import computed_once
+from recordlake.functions.patterns import BLANK_FIRST_LINE, FENCE, HEADER_BLOCK
 from recordlake.functions.text import NOTE_TYPES, source_type
 from recordlake.functions.values import is_null
 from recordlake.functions.yaml_fields import header_to_json, json_fields, with_yaml_fields
@@ -23,25 +24,28 @@ def with_frontmatter(corpus: DataFrame, header_block: bool = False) -> DataFrame
     ``header_block``, a text without frontmatter may open with ``key: value`` lines.
     """
     content = F.col("content")
-    pieces = F.when(content.startswith("---"), F.split(content, "---", 3))
-    df = corpus.withColumn("_pieces", pieces)
-    split = F.size("_pieces") == 3
-    frontmatter = F.when(split, F.trim(F.col("_pieces")[1], F.lit("\n")))
-    body = F.when(split, F.col("_pieces")[2])
+    df = corpus.withColumn("_rest", F.when(content.startswith("---"), _from(content, F.lit(4))))
+    df = df.withColumn("_front", F.substring_index("_rest", "---", 1))
+    split = F.coalesce(F.col("_front") != F.col("_rest"), F.lit(False))
+    frontmatter = F.when(split, F.trim(F.col("_front"), F.lit("\n"))).otherwise("")
+    body = F.when(split, _from(F.col("_rest"), F.length("_front") + 4)).otherwise(content)
     if not header_block:
-        return df.withColumns(
-            {"_frontmatter": F.coalesce(frontmatter, F.lit("")), "_body": F.coalesce(body, content)}
-        ).drop("_pieces")
-    df = df.withColumn("_header", F.when(split, "").otherwise(F.regexp_extract("content", HEADER_BLOCK, 1)))
-    rest = F.substring(content, F.length("_header") + 1, F.length("content"))
+        return df.withColumns({"_frontmatter": frontmatter, "_body": body}).drop("_rest", "_front")
+    header = F.when(split, "").otherwise(F.regexp_extract(content, HEADER_BLOCK, 1))
+    df = df.withColumns({"_frontmatter": frontmatter, "_body": body, "_header": header})
+    is_header = F.col("_header") != ""
+    after = F.regexp_replace(_from(content, F.length("_header") + 1), BLANK_FIRST_LINE, "")
     return df.withColumns(
         {
-            "_frontmatter": F.coalesce(frontmatter, F.rtrim(F.col("_header"), F.lit("\n"))),
-            "_body": F.coalesce(body, F.when(F.col("_header") == "", content).otherwise(
-                F.regexp_replace(rest, r"(?U)\A[\s&&[^\n]]*+(?:\n|\z)", ""))),
-            "_is_header": F.col("_header") != "",
+            "_frontmatter": F.when(is_header, F.rtrim(F.col("_header"), F.lit("\n"))).otherwise(F.col("_frontmatter")),
+            "_body": F.when(is_header, after).otherwise(F.col("_body")),
+            "_is_header": is_header,
         }
-    ).drop("_pieces", "_header")
+    ).drop("_rest", "_front", "_header")
+
+
+def _from(text: Column, position: Column) -> Column:
+    return F.substring(text, position, F.lit((1 << 31) - 1))
 
 
 def frontmatter_keys(corpus: DataFrame, header_block: bool = False) -> DataFrame:
@@ -86,15 +90,15 @@ def extract_records(
         df = with_yaml_fields(df, "_block", "_block_fields")
     if sections:
         df = df.withColumns({"_frontmatter": F.col("_frontmatter_text"), "_section": F.coalesce("_section", F.lit(""))})
-    df = df.select(
+    df = computed_once(df, "fields", overlay(F.col("_block_fields"), F.col("_frontmatter_fields")))
+    return df.filter(F.size("fields") > 0).select(
         "_note_file",
         "_source_type",
         F.lit("annotation").alias("_layer"),
         F.coalesce(F.col("_pos"), F.lit(FRONTMATTER_POSITION)).cast("long").alias("_pos"),
-        overlay(F.col("_block_fields"), F.col("_frontmatter_fields")).alias("fields"),
+        "fields",
         *kept,
     )
-    return df.filter(F.size("fields") > 0)
 
 
 def overlay(upper: Column, lower: Column, fill_nulls: bool = False) -> Column:

@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordlake.functions.barrier import computed_once
 from recordlake.functions.values import is_null, items, text_form
 from recordlake.operators.extract import RECORD_COLUMNS, overlay
 from recordlake.operators.skew import MIN_ROWS, hot_keys, spread_many, spread_one
@@ -23,7 +24,7 @@ def explode_field(records: DataFrame, field: str) -> DataFrame:
     rest = [c for c in records.columns if c != "fields"]
     fanned = records.select(*rest, "fields", F.explode_outer(elements).alias("_element"))
     fields = F.transform_values("fields", lambda k, v: F.when(k == field, F.col("_element")).otherwise(v))
-    return fanned.select(*[fields.alias("fields") if c == "fields" else c for c in records.columns])
+    return computed_once(fanned, "fields", fields).select(*records.columns)
 
 
 def normalize_arrays(records: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -35,7 +36,7 @@ def normalize_arrays(records: DataFrame, names: Sequence[str]) -> DataFrame:
         is_list = F.schema_of_variant(v).startswith("ARRAY")
         return F.when(k.isin(*names) & ~is_null(v) & ~is_list, F.to_variant_object(F.array(v))).otherwise(v)
 
-    return records.withColumn("fields", F.transform_values("fields", as_list))
+    return computed_once(records, "fields", F.transform_values("fields", as_list))
 
 
 def union_layers(*layers: DataFrame) -> DataFrame:
@@ -86,9 +87,8 @@ def merge_layers(
     many = spread_many(annotations, hot, names, ["_note_file", "_pos"]).withColumns(spread_names)
     one = spread_one(unique, hot, names).withColumn(names[0], F.concat(F.lit("+"), F.col(names[0])))
     one = one.select(*names, "_salt", F.col("fields").alias("_index_fields"))
-    merged = many.join(one, [*names, "_salt"], "left").withColumn(
-        "fields", overlay(F.col("fields"), F.col("_index_fields"), fill_nulls=True)
-    )
+    joined = many.join(one, [*names, "_salt"], "left")
+    merged = computed_once(joined, "fields", overlay(F.col("fields"), F.col("_index_fields"), fill_nulls=True))
     alone = unique.join(per_key.select(*names), names, "left_anti")
     return union_layers(merged, alone, index.filter(~complete))
 

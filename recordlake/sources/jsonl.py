@@ -4,6 +4,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordlake.functions.barrier import computed_once
 from recordlake.functions.yaml_fields import json_fields
 from recordlake.sources.notes import plain_path
 
@@ -29,13 +30,13 @@ def parse_jsonl(lines: DataFrame, strict: bool = False) -> DataFrame:
     """Records from a table ``(_note_file, _pos, line)`` of JSON texts."""
     lines = lines.filter(F.length(F.trim(F.col("line"), F.lit(" \t\r"))) > 0)
     fields = _strict_fields(F.col("line")) if strict else json_fields(F.col("line"))
-    return lines.select(
+    return computed_once(lines, "fields", fields).filter(F.col("fields").isNotNull()).select(
         "_note_file",
         F.lit("jsonl").alias("_source_type"),
         F.lit("index").alias("_layer"),
         F.col("_pos").cast("long").alias("_pos"),
-        fields.alias("fields"),
-    ).filter(F.col("fields").isNotNull())
+        "fields",
+    )
 
 
 def read_collections(spark: SparkSession, notes_dir: str) -> DataFrame | None:
