@@ -56,6 +56,9 @@ def widen(
 def sql_where(table: DataFrame, clause: str, on_error: str = "raise") -> DataFrame | tuple[DataFrame, str]:
     """Rows that meet a SQL condition; trailing SQL such as ``ORDER BY`` is allowed.
 
+    ``"x"`` is a column, ``'x'`` a text in which backslashes stand for themselves; only a
+    ``LIKE`` pattern still takes a backslash as its escape character.
+
     With ``on_error="passthrough"`` the result is ``(rows, message)``; a clause that
     does not analyse leaves the rows unfiltered.
     """
@@ -79,7 +82,8 @@ def _select_where(table: DataFrame, clause: str) -> DataFrame:
     table.createOrReplaceTempView(view)
     try:
         with clause_dialect(spark):
-            return spark.sql(f"SELECT * FROM {view} WHERE {clause}")
+            literal_backslashes = clause.replace("\\", "\\\\")
+            return spark.sql(f"SELECT * FROM {view} WHERE {literal_backslashes}")
     finally:
         spark.catalog.dropTempView(view)
 

@@ -14,13 +14,12 @@ CORPUS_CONF = {
 _CLAUSE_DIALECT = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.ansi.doubleQuotedIdentifiers": "true",
-    "spark.sql.parser.escapedStringLiterals": "true",
 }
 
 
 @contextmanager
 def clause_dialect(spark: SparkSession):
-    """While inside, ``"x"`` is a column and backslashes in ``'x'`` are kept.
+    """While inside, ``"x"`` is a column in the text of a clause.
 
     Only parsing and analysis happen inside; the caller's settings are put back.
     """
