@@ -18,23 +18,25 @@ from recordlake.functions.yaml_text import (
     yaml_batch_to_json,
 )
 
-# Characters that send a line to the full parser: controls, line separators, byte order marks.
-_ODD = r"\x00-\x1f\x7f-\x9f\u2028\u2029\ufeff\ufffe\uffff"
 # Every line ends in this marker while it is rewritten.  A replacement can only insert what
 # the line holds, so the marker also supplies the word and the quote that JSON needs.
 _END = '\x01null"'
-_KEY = r"[A-Za-z_][A-Za-z0-9_]*+(?:[ .-][A-Za-z0-9_]++)*+"
-_OTHER_WORD = rf"(?:{OTHER_NUMBER}|{TRUE_WORDS}|{FALSE_WORDS}|{NULL_WORDS}) *+\x01"
+# Printable characters beyond ASCII.  Controls, line separators and byte order marks are
+# not among them; a line that holds one goes to the full parser.
+_WIDE = r"\xa0-\u2027\u202a-\ufefe\uff00-\ufffd\x{10000}-\x{10ffff}"
+_KEY = r"[A-Za-z_][\w .-]*+(?<=\w)"
+_ANOTHER_WORD = rf"(?=[-+.0-9TFnN~])(?:{OTHER_NUMBER}|{TRUE_WORDS}|{FALSE_WORDS}|{NULL_WORDS})\x01"
 # Quotes and backslashes are escaped by then: a line that starts with \" held a quoted text.
+_NO_COLON_OR_HASH = rf"[;-~$-9 -\"{_WIDE}]*+"
 _PLAIN = (
-    rf"(?!{_OTHER_WORD})(?!\\\")(?:[^ {_ODD}\-?:,\[\]{{}}#&*!|>'%@`=<]|-(?=[0-9A-Za-z.]))"
-    rf"(?: *+(?:[^ {_ODD}:#]++|:(?=[^\x00-\x20])|(?<=[^ ])#))*+"
+    rf"(?!{_ANOTHER_WORD})(?!\\\")(?:[A-Za-z0-9_.$()+/;^~\\{_WIDE}]|-(?=[0-9A-Za-z.])){_NO_COLON_OR_HASH}"
+    rf"(?:(?::(?=[^\x00-\x20])|(?<=[^ ])#){_NO_COLON_OR_HASH})*+(?<! )"
 )
 _LINE = (
-    rf"(?md)^({_KEY}):(?: *+(?:~ *+)?\x01(null)\"| ++(?:(true|false|null|{JSON_NUMBER}) *+\x01null\""
-    rf"|\\\"([^\\{_ODD}]*+)\\\" *+\x01null(\")|'([^'{_ODD}]*+)' *+\x01null(\")|({_PLAIN}) *+\x01null(\")))"
+    rf"(?md)^({_KEY}):(?: ++(?:({JSON_NUMBER}|true|false|null)\x01null\"|({_PLAIN})\x01null(\")"
+    rf"|\\\"([ -\[\]-~{_WIDE}]*+)\\\"\x01null(\")|'([ -&(-~{_WIDE}]*+)'\x01null(\"))|(?: ~)?\x01(null)\")"
 )
-_MEMBER = '"$1":$2$3$5$7$9$4$6$8$5$7$9'
+_MEMBER = '"$1":$2$4$6$8$3$5$7$4$6$8$9'
 
 
 def flat_to_json(text: Column) -> Column:

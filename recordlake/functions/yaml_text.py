@@ -19,7 +19,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NULL_WORDS = r"~|null|Null|NULL"
 TRUE_WORDS = r"true|True|TRUE"
 FALSE_WORDS = r"false|False|FALSE"
-JSON_NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"
+JSON_NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][-+]?[0-9]++)?+"
 OTHER_NUMBER = (
     r"0o[0-7]+|0x[0-9a-fA-F]+"
     r"|[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?"
