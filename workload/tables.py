@@ -10,10 +10,14 @@ FENCE_START, FENCE_END = "```yaml\n", "```\n"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one that comes in fewer pieces than there are cores is spread over them."""
+    """A table, spread over the cores when it is small.
+
+    A small file may be a single row group, which only one task can read, however many
+    splits are planned for it.  Large tables have splits enough and are not shuffled.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 4 * cores else df
 
 
 def text(*parts) -> Column:
