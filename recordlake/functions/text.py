@@ -9,7 +9,7 @@ from recordlake.functions.patterns import TRAILING_SPACE
 MARKDOWN_EXTENSIONS = ("", ".md", ".markdown")
 TYPST_EXTENSIONS = (".typ", ".typst")
 JSONL_EXTENSIONS = (".jsonl",)
-NOTE_TYPES = ("markdown", "typst")
+_NOTE_NAME = r"(?i)(?:^|/)[^/.]*\z|\.(?:md|markdown|typ|typst)\z"
 
 # Invisible characters that sanitising removes.
 _INVISIBLE = (
@@ -44,6 +44,11 @@ def source_type(path: Column) -> Column:
     )
 
 
+def is_note(path: Column) -> Column:
+    """Source type is markdown or typst."""
+    return path.rlike(_NOTE_NAME)
+
+
 def sanitize_text(text: Column) -> Column:
     """Tabs become spaces; control, zero-width and direction characters are dropped."""
     return F.regexp_replace(F.translate(text, "\t", " "), _INVISIBLE, "")

@@ -18,25 +18,26 @@ from recordlake.functions.yaml_text import (
     yaml_batch_to_json,
 )
 
-# Every line ends in this marker while it is rewritten.  A replacement can only insert what
-# the line holds, so the marker also supplies the word and the quote that JSON needs.
+# While it is rewritten every line ends in this marker, with a comma unless it is the last.
+# A replacement can only insert what the line holds, so the marker also supplies the word
+# and the quotes that JSON needs.
 _END = '\x01null"'
-# Printable characters beyond ASCII.  Controls, line separators and byte order marks are
-# not among them; a line that holds one goes to the full parser.
+# Printable characters beyond ASCII.  A line that holds a control, a line separator or a
+# byte order mark goes to the full parser, and so does one with a quote or backslash inside.
 _WIDE = r"\xa0-\u2027\u202a-\ufefe\uff00-\ufffd\x{10000}-\x{10ffff}"
 _KEY = r"[A-Za-z_][\w .-]*+(?<=\w)"
-_ANOTHER_WORD = rf"(?=[-+.0-9TFnN~])(?:{OTHER_NUMBER}|{TRUE_WORDS}|{FALSE_WORDS}|{NULL_WORDS})\x01"
-# Quotes and backslashes are escaped by then: a line that starts with \" held a quoted text.
-_NO_COLON_OR_HASH = rf"[;-~$-9 -\"{_WIDE}]*+"
+_ANOTHER_WORD = rf"(?=[-+.0-9TFnN~])(?:{OTHER_NUMBER}|{TRUE_WORDS}|{FALSE_WORDS}|{NULL_WORDS})\r?+\x01"
+_NO_COLON_OR_HASH = rf"[\]-~$-9;-\[ !{_WIDE}]*+"
 _PLAIN = (
-    rf"(?!{_ANOTHER_WORD})(?!\\\")(?:[A-Za-z0-9_.$()+/;^~\\{_WIDE}]|-(?=[0-9A-Za-z.])){_NO_COLON_OR_HASH}"
+    rf"(?!{_ANOTHER_WORD})(?:[A-Za-z0-9_.$()+/;^~{_WIDE}]|-(?=[0-9A-Za-z.])){_NO_COLON_OR_HASH}"
     rf"(?:(?::(?=[^\x00-\x20])|(?<=[^ ])#){_NO_COLON_OR_HASH})*+(?<! )"
 )
 _LINE = (
-    rf"(?md)^({_KEY}):(?: ++(?:({JSON_NUMBER}|true|false|null)\x01null\"|({_PLAIN})\x01null(\")"
-    rf"|\\\"([ -\[\]-~{_WIDE}]*+)\\\"\x01null(\")|'([ -&(-~{_WIDE}]*+)'\x01null(\"))|(?: ~)?\x01(null)\")"
+    rf"(?md)^({_KEY}):(?: ++(?:({JSON_NUMBER}|true|false|null)\r?+\x01null\"|({_PLAIN})\r?+\x01null(\")"
+    rf"|\"([\]-~#-\[ !{_WIDE}]*+)\"\r?+\x01null(\")|'([\]-~(-\[ !#-&{_WIDE}]*+)'\r?+\x01null(\"))"
+    r"|(?: ~)?\r?+\x01(null)\")(,?+)\n?+"
 )
-_MEMBER = '"$1":$2$4$6$8$3$5$7$4$6$8$9'
+_MEMBER = '"$1":$2$4$6$8$3$5$7$4$6$8$9$10'
 
 
 def flat_to_json(text: Column) -> Column:
@@ -44,19 +45,15 @@ def flat_to_json(text: Column) -> Column:
 
     For any other block the result is no valid JSON.
     """
-    lines = F.trim(_escaped(text), F.lit("\n"))
-    marked = F.concat(F.replace(lines, F.lit("\n"), F.lit(_END + "\n")), F.lit(_END))
-    members = F.replace(F.regexp_replace(marked, _LINE, _MEMBER), F.lit("\n"), F.lit(","))
-    return F.when(lines == "", "{}").otherwise(F.concat(F.lit("{"), members, F.lit("}")))
-
-
-def _escaped(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    marked = F.concat(F.replace(text, F.lit("\n"), F.lit(_END + ",\n")), F.lit(_END))
+    members = F.regexp_replace(marked, _LINE, _MEMBER)
+    return F.when(text == "", "{}").otherwise(F.concat(F.lit("{"), members, F.lit("}")))
 
 
 def header_to_json(text: Column) -> Column:
     """JSON object text for ``key: text`` lines, every value kept as text."""
-    out = F.regexp_replace(_escaped(text), r"[\x00-\x09\x0b-\x1f]", " ")
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    out = F.regexp_replace(out, r"[\x00-\x09\x0b-\x1f]", " ")
     out = F.regexp_replace(out, r"(?md)^ *([^:\n]*?) *: *([^\n]*?) *$", '"$1":"$2"')
     return F.concat(F.lit("{"), F.regexp_replace(F.trim(out, F.lit(" \n")), r"\n+", ","), F.lit("}"))
 
@@ -67,8 +64,7 @@ def with_yaml_fields(df: DataFrame, text: str, out: str) -> DataFrame:
     Text that is not a valid YAML mapping gives NULL.
     """
     flat, rest = f"{out}__flat", f"{out}__rest"
-    lines = F.replace(F.col(text), F.lit("\r\n"), F.lit("\n"))
-    df = df.withColumn(text, lines).withColumn(flat, F.try_parse_json(flat_to_json(F.col(text))))
+    df = df.withColumn(flat, F.try_parse_json(flat_to_json(F.col(text))))
     df = df.withColumn(rest, yaml_to_json(F.when(F.col(flat).isNull(), F.col(text))))
     parsed = F.coalesce(F.col(flat), F.try_parse_json(F.col(rest)))
     return df.withColumn(out, _as_map(parsed)).drop(flat, rest)

@@ -5,10 +5,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordlake.functions.barrier import computed_once
 from recordlake.functions.patterns import HEADED_FENCE
-from recordlake.functions.text import NOTE_TYPES, right_trim, source_type
+from recordlake.functions.text import is_note, right_trim
 from recordlake.functions.values import display_text
-from recordlake.functions.yaml_fields import with_yaml_fields
 from recordlake.operators.display import record_form
 from recordlake.operators.extract import (
     BLOCKS_ONLY,
@@ -39,7 +39,7 @@ def extract_with_context(corpus: DataFrame, header_block: bool = False) -> DataF
 
 def note_sections(corpus: DataFrame, header_block: bool = False) -> DataFrame:
     """``_note_file, _pos, _frontmatter, _section`` of every block, and of every note at -1."""
-    corpus = corpus.filter(source_type(F.col("_note_file")).isin(*NOTE_TYPES))
+    corpus = corpus.filter(is_note(F.col("_note_file")))
     sections = extract_records(corpus, BLOCKS_ONLY, header_block, sections=True).select(
         "_note_file", "_pos", "_frontmatter", "_section"
     )
@@ -53,9 +53,11 @@ def attach_context(records: DataFrame, corpus: DataFrame, header_block: bool = F
     """Add ``context``: the frontmatter of the record's note and the section of its block.
 
     Without either, the record form.  Only notes that have records are cut into
-    sections.  For records fresh from a corpus ``extract_with_context`` needs no join.
+    sections, so ``records`` is read twice: pass stored ones.  For records fresh from a
+    corpus ``extract_with_context`` needs no join.
     """
-    notes = corpus.join(records.select("_note_file"), "_note_file", "left_semi").select("_note_file", "content")
+    wanted = records.select("_note_file").distinct()
+    notes = corpus.join(wanted, "_note_file", "left_semi").select("_note_file", "content")
     joined = records.join(note_sections(notes, header_block), ["_note_file", "_pos"], "left")
     text = F.nullif(compact_text(F.col("_frontmatter"), F.col("_section")), F.lit(""))
     context = F.coalesce(text, record_form(F.col("fields"), F.col("_note_file")))
@@ -79,9 +81,9 @@ def locate_blocks(records: DataFrame, corpus: DataFrame, header_block: bool = Fa
     by_id = F.map_filter(own, lambda k, _: k == "id")
     tested = F.when(F.size(by_id) > 0, by_id).otherwise(own)
     wanted = records.join(keys, "_note_file", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
-    wanted = wanted.withColumn("_tested", tested).withColumns(
-        {"_names": F.array_sort(F.map_keys("_tested")), "_print": _fingerprint(F.col("_tested"), F.array_sort(F.map_keys("_tested")))}
-    )
+    wanted = computed_once(wanted, "_tested", tested)
+    wanted = wanted.withColumn("_names", F.array_sort(F.map_keys("_tested")))
+    wanted = wanted.withColumn("_print", _fingerprint(F.col("_tested"), F.col("_names")))
     some = F.size("_names") > 0
     name_sets = wanted.filter(some).select("_note_file", "_names").distinct()
     blocks = extract_records(corpus, BLOCKS_ONLY, header_block).select(

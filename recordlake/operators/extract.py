@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordlake.functions.barrier import computed_once
 from recordlake.functions.patterns import BLANK_FIRST_LINE, FENCE, HEADER_BLOCK
-from recordlake.functions.text import NOTE_TYPES, source_type
+from recordlake.functions.text import is_note, source_type
 from recordlake.functions.values import is_null
 from recordlake.functions.yaml_fields import header_to_json, json_fields, with_yaml_fields
 from recordlake.operators.sections import explode_sections
@@ -73,8 +73,7 @@ def extract_records(
     record without any field is left out.
     """
     kept = [*keep, *(("_frontmatter", "_section") if sections else ())]
-    df = corpus.withColumn("_source_type", source_type(F.col("_note_file")))
-    df = with_frontmatter(df.filter(F.col("_source_type").isin(*NOTE_TYPES)), header_block)
+    df = with_frontmatter(corpus.filter(is_note(F.col("_note_file"))), header_block)
     if sections:
         df = df.withColumn("_frontmatter_text", F.col("_frontmatter"))
     no_block = F.lit(None).cast("string")
@@ -93,7 +92,7 @@ def extract_records(
     df = computed_once(df, "fields", overlay(F.col("_block_fields"), F.col("_frontmatter_fields")))
     return df.filter(F.size("fields") > 0).select(
         "_note_file",
-        "_source_type",
+        source_type(F.col("_note_file")).alias("_source_type"),
         F.lit("annotation").alias("_layer"),
         F.coalesce(F.col("_pos"), F.lit(FRONTMATTER_POSITION)).cast("long").alias("_pos"),
         "fields",

@@ -3,15 +3,14 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlake.functions.text import NOTE_TYPES, contains_ignoring_case, source_type
+from recordlake.functions.text import contains_ignoring_case, is_note
 
 FULLTEXT_FLAG = "_fulltext"
 
 
 def matching_notes(corpus: DataFrame, term: str) -> DataFrame:
     """Markdown and typst notes whose text contains the term."""
-    is_note = source_type(F.col("_note_file")).isin(*NOTE_TYPES)
-    return corpus.filter(is_note & contains_ignoring_case(F.col("content"), term.strip()))
+    return corpus.filter(is_note(F.col("_note_file")) & contains_ignoring_case(F.col("content"), term.strip()))
 
 
 def filter_fulltext(records: DataFrame, corpus: DataFrame, term: str) -> DataFrame:

@@ -79,17 +79,19 @@ def merge_layers(
     hot = hot_keys(per_key, names, hot_key_rows)
     unique = first_per_key(index.filter(complete), names)
 
-    # A row without all keys gets a key of its own that no index row has: it is spread
-    # over the tasks, and the outer join keeps it.
-    lone = F.concat(F.lit("-"), F.xxhash64("_note_file", "_pos").cast("string"))
-    spread_names = {n: F.when(complete, F.col(n)) for n in names[1:]}
-    spread_names[names[0]] = F.when(complete, F.concat(F.lit("+"), F.col(names[0]))).otherwise(lone)
-    many = spread_many(annotations, hot, names, ["_note_file", "_pos"]).withColumns(spread_names)
-    one = spread_one(unique, hot, names).withColumn(names[0], F.concat(F.lit("+"), F.col(names[0])))
+    # A row that lacks a key gets no key at all and a salt of its own: it matches nothing,
+    # the outer join keeps it, and the salts spread such rows over the tasks.
+    many = spread_many(annotations, hot, names, ["_note_file", "_pos"])
+    lone_salt = F.xxhash64("_note_file", "_pos")
+    many = many.withColumn("_salt", F.when(complete, F.col("_salt")).otherwise(lone_salt))
+    many = many.withColumns({n: F.when(complete, F.col(n)) for n in names})
+    one = spread_one(unique, hot, names)
     one = one.select(*names, "_salt", F.col("fields").alias("_index_fields"))
     joined = many.join(one, [*names, "_salt"], "left")
     merged = computed_once(joined, "fields", overlay(F.col("fields"), F.col("_index_fields"), fill_nulls=True))
-    alone = unique.join(per_key.select(*names), names, "left_anti")
+    # Every key has rows; the test keeps the counted table the same as above, so Spark
+    # shuffles it once.
+    alone = unique.join(per_key.filter(F.col("rows") > 0), names, "left_anti")
     return union_layers(merged, alone, index.filter(~complete))
 
 

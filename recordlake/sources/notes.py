@@ -5,7 +5,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlake.functions.text import NOTE_TYPES, source_type
+from recordlake.functions.text import is_note
 
 
 def plain_path(uri: Column) -> Column:
@@ -28,8 +28,7 @@ def within_depth(path: Column, root: str, depth: int) -> Column:
 
 
 def note_files(path: Column, root: str, depth: int | None) -> Column:
-    notes = source_type(path).isin(*NOTE_TYPES)
-    return notes if depth is None else notes & within_depth(path, root, depth)
+    return is_note(path) if depth is None else is_note(path) & within_depth(path, root, depth)
 
 
 def read_corpus(spark: SparkSession, path: str, depth: int | None = None) -> DataFrame:
