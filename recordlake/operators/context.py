@@ -56,14 +56,24 @@ def attach_context(records: DataFrame, corpus: DataFrame, header_block: bool = F
     sections, so ``records`` is read twice: pass stored ones.  For records fresh from a
     corpus ``extract_with_context`` needs no join.
     """
-    wanted = records.select("_note_file").distinct()
-    notes = corpus.join(wanted, "_note_file", "left_semi").select("_note_file", "content")
-    joined = records.join(note_sections(notes, header_block), ["_note_file", "_pos"], "left")
+    sections = note_sections(_notes_of(records, corpus), header_block)
+    joined = records.join(sections, ["_note_file", "_pos"], "left")
     text = F.nullif(compact_text(F.col("_frontmatter"), F.col("_section")), F.lit(""))
     context = F.coalesce(text, record_form(F.col("fields"), F.col("_note_file")))
     return joined.select(*records.columns, context.alias("context"))
 
 
+def _notes_of(records: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The notes that have records, one row per path.
+
+    Copies of a path are reduced to one in the map tasks, so that records do not meet
+    each of them.
+    """
+    wanted = records.select("_note_file").distinct()
+    notes = corpus.join(wanted, "_note_file", "left_semi")
+    return notes.groupBy("_note_file").agg(F.min("content").alias("content"))
+
+
 def locate_blocks(records: DataFrame, corpus: DataFrame, header_block: bool = False) -> DataFrame:
     """Set ``_pos`` of records that lost it: the first block of their note that matches.
 
@@ -74,7 +84,8 @@ def locate_blocks(records: DataFrame, corpus: DataFrame, header_block: bool = Fa
     Blocks and records meet on the tested field names and a hash of the tested values, so
     the blocks of a note are not compared pairwise with its records.
     """
-    keys = frontmatter_keys(corpus, header_block)
+    notes = _notes_of(records, corpus)
+    keys = frontmatter_keys(notes, header_block)
     shown = F.transform_values(F.map_filter("fields", lambda k, v: ~F.coalesce(F.is_variant_null(v), F.lit(True))),
                                lambda _, v: display_text(v))
     own = F.map_filter(shown, lambda k, _: ~k.startswith("_") & ~F.array_contains("keys", k))
@@ -86,21 +97,24 @@ def locate_blocks(records: DataFrame, corpus: DataFrame, header_block: bool = Fa
     wanted = wanted.withColumn("_print", _fingerprint(F.col("_tested"), F.col("_names")))
     some = F.size("_names") > 0
     name_sets = wanted.filter(some).select("_note_file", "_names").distinct()
-    blocks = extract_records(corpus, BLOCKS_ONLY, header_block).select(
+    blocks = extract_records(notes, BLOCKS_ONLY, header_block).select(
         "_note_file", F.col("_pos").alias("_found"), F.transform_values("fields", lambda _, v: display_text(v)).alias("_shown")
     )
     prints = blocks.join(name_sets, "_note_file").select(
         "_note_file", "_names", "_found", _fingerprint(F.col("_shown"), F.col("_names")).alias("_print")
     )
-    first = prints.groupBy("_note_file", "_names", "_print").agg(F.min("_found").alias("_found"))
-    located = wanted.join(first, ["_note_file", "_names", "_print"], "left")
+    # The names are part of the hash.  Grouping by them too makes the join shuffle both
+    # sides by its own keys, so that Spark can split a key that very many records share.
+    first = prints.groupBy("_note_file", "_names", "_print").agg(F.min("_found").alias("_found")).drop("_names")
+    located = wanted.join(first, ["_note_file", "_print"], "left")
     return located.select(*[F.col("_found").alias("_pos") if c == "_pos" else c for c in records.columns],
                           *(() if "_pos" in records.columns else (F.col("_found").alias("_pos"),)))
 
 
 def _fingerprint(values: Column, names: Column) -> Column:
-    """Hash of the named values in order; a missing value counts as empty text."""
-    return F.sha2(F.to_json(F.transform(names, lambda n: F.coalesce(values[n], F.lit("")))), 256)
+    """Hash of names and values in order; a missing value counts as empty text."""
+    pairs = F.transform(names, lambda n: F.struct(n.alias("n"), F.coalesce(values[n], F.lit("")).alias("v")))
+    return F.when(F.size(names) > 0, F.sha2(F.to_json(pairs), 256))
 
 
 def compact_digest(corpus: DataFrame, tasks_heading: str = "Tasks", header_block: bool = False) -> DataFrame:

@@ -104,3 +104,14 @@ def test_digest(corpus):
     assert got["e.md"] == "## Tasks\r\n- yes"
     other = {r["_note_file"]: r["digest"] for r in rl.compact_digest(df, tasks_heading="End").collect()}
     assert other["a.md"].endswith("\n\n## End\nx")
+
+
+def test_copies_of_a_note_do_not_multiply_records(corpus):
+    notes = corpus(*[("a.md", TWO)] * 5, ("b.md", TWO))
+    records = rl.extract_records(notes)
+    assert records.count() == 12
+    with_context = rl.attach_context(records, notes)
+    assert with_context.count() == 12
+    assert {r["context"] for r in with_context.collect()} == {r["context"] for r in rl.extract_with_context(notes).collect()}
+    found = rl.locate_blocks(records.drop("_pos"), notes).groupBy("_pos").count().collect()
+    assert {r["_pos"]: r["count"] for r in found} == {0: 6, 1: 6}
