@@ -22,7 +22,8 @@ def column_profile(records: DataFrame, rate: bool = False) -> DataFrame:
     """
     values = records.select(F.explode("fields").alias("key", "value"))
     text = text_form(F.col("value"))
-    iso = text.rlike(_ISO_DATE) & text.try_cast("date").isNotNull()
+    # The length decides for most values, before a pattern has to.
+    iso = F.when(F.length(text) == 10, text.rlike(_ISO_DATE) & text.try_cast("date").isNotNull())
     filled = ~is_null(F.col("value"))
     profile = values.groupBy("key").agg(
         F.count(F.lit(1)).alias("present"),
