@@ -19,7 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, SIMILARITY, BROADCAST_WINDOWS = 5, 0.8, 500_000
+from llm.common import store
+
+WINDOW, SIMILARITY, BROADCAST_WINDOWS, NO_ID = 5, 0.8, 500_000, (1 << 63) - 1
 # Units of measure that count as slots.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons ounce ounces pound pounds ml l litre litres liter liters gallon gallons "
@@ -72,3 +74,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similar
     whole = diagonal.filter(consistent).groupBy("doc_id", "of_text", "item_id", "of_item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hashes")))).cast("long").alias("n_matched"))
     scored = whole.join(F.broadcast(sizes) if small else sizes, ["item_id", "of_item"]).withColumn("similarity", F.col("n_matched") / F.col("n_windows"))
     return scored.filter(F.col("similarity") >= similarity).select("doc_id", "of_text", "item_id", "n_matched", "n_windows", "similarity")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
+    """The whole rows of documents that hold no item."""
+    found = matches(docs, benchmark, window, similarity).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_own"), F.col("of_text").alias("_of_text"))
+    found = store(found.distinct(), "contaminated")
+    small = found.count() <= BROADCAST_WINDOWS
+    keyed = docs.withColumns({"_own": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_of_text": F.xxhash64("text")})
+    return keyed.join(F.broadcast(found) if small else found, ["_own", "_of_text"], "left_anti").drop("_own", "_of_text")

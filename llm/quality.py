@@ -19,7 +19,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.features import training_rows
@@ -131,20 +131,26 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return fit([(np.frombuffer(c, np.int64), np.frombuffer(x, np.float64), y) for c, x, y in zip(got["columns"], got["x"], got["label"], strict=True)])
 
 
-def with_scores(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
-    """docs with one more column (replacing one of that name)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+def scorer(spark: SparkSession, model: Model):
+    """Function of a text column that gives its score."""
+    held = spark.sparkContext.broadcast(model)  # of fixed size
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series([held.value.score(t) for t in texts], dtype="float64")
 
-    return docs.withColumn(score, scored(F.col("text")))
+    return scored
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The whole rows that score ``threshold`` or more."""
+    scored = scorer(docs.sparkSession, train(docs, labels, rows))
+    return docs.filter(scored(F.col("text")) >= threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    scored = with_scores(docs, train(docs, labels, rows))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    score = scorer(docs.sparkSession, train(docs, labels, rows))(F.col("text"))
+    return docs.withColumn("score", score).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -53,14 +53,15 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, of_text (a hash that tells rows of equal id apart), fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((simhash(t.as_py(), shingle) for t in batch.column("text")), "<u8", batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view("<i8"))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("of_text"), pa.array(fps.view("<i8"))], ["doc_id", "of_text", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of_text"), "text")
+    return rows.mapInArrow(run, "doc_id long, of_text long, fp long")
 
 
 def _rotated(fp: Column, by: int) -> Column:
@@ -187,13 +188,29 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
     return rows.mapInArrow(_links, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach)."""
+def _placed(docs: DataFrame, shingle: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of rows, and of each distinct one the root of its component and the least doc_id."""
     prints = store(fingerprints(docs, shingle), "simhash-prints")
     of_print = store(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(of_print.select("fp"), tile))
-    rooted = of_print.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return prints, of_print.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach)."""
+    prints, rooted = _placed(docs, shingle, tile)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     placed = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    out = prints.join(placed, "fp")
+    out = prints.select("doc_id", "fp").join(placed, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
+    """One whole row of each component: the one of smallest doc_id (none counts as largest), then text hash; of equal rows any one."""
+    prints, rooted = _placed(docs, shingle, tile)
+    last = (1 << 63) - 1
+    key = F.struct(F.coalesce("doc_id", F.lit(last)).alias("_own"), F.col("of_text").alias("_of_text"))
+    of_print = prints.groupBy("fp").agg(F.min(key).alias("row"))
+    chosen = of_print.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row")).select("row.*").distinct()
+    keyed = docs.withColumns({"_own": F.coalesce(F.col("doc_id").cast("long"), F.lit(last)), "_of_text": F.xxhash64("text")})
+    return keyed.join(chosen, ["_own", "_of_text"], "left_semi").dropDuplicates(["_own", "_of_text"]).drop("_own", "_of_text")
