@@ -1,8 +1,62 @@
-"""A cleaning pipeline over ``documents``."""
+"""A cleaning pipeline over ``documents``: from raw documents to token ids.
 
-STAGES = []
-ORACLE_SQL = None
+Every stage takes (spark, docs, sf_dir) and returns what stays, with the columns of documents; the last returns tokens.  ``run`` writes each stage's result
+to the shared folder and reads it again, so that a lost executor costs one stage's tasks and no stage is computed twice.
 
+Defined results: columns besides doc_id and text are carried along untouched, but n_chars follows the masked text; rows without doc_id stay unless
+their text is rejected or equals or nearly equals another row's; of repeated rows one stays; null texts count as empty; an empty table gives
+an empty result.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from llm import bpe, decontaminate, pii, quality, simhash
+from llm.common import store, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return simhash.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced by their kind."""
+    masked = pii.mask(docs)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return masked.select(*docs.columns)
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
+    return bpe.digests(bpe.encode(docs), with_ids=True)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("PII", personal_data),
+    ("BPE encoding and decoding", bpe_tokens),
+]
+ORACLE_SQL = None  # models, fingerprints and merges: tested against brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
