@@ -6,18 +6,19 @@ spans they take in both, scaled to k(u, u) = 1: letters inserted, dropped or spa
 ``SHARPEN``, which keeps it a kernel.  A landmark of whose letters a unit holds less than three quarters counts as 0.
 
 Landmarks are the character sequences of ``GRAM`` with the highest log-likelihood ratio for the toxic label among at most ``TRAIN_ROWS``
-labelled documents (counted by Spark).  With W the landmarks' kernel matrix, z(u) = W^-1/2 k(u, landmarks).  Labels belong to whole
-documents, so a document's value is that of its most toxic unit, and the machine is trained in rounds: the witnesses of toxic
-documents are the units that score highest so far, and the units closest to landmarks of other documents are the negatives.  A sigmoid turns values
-into scores.  A word is scored once and kept in a table of bounded size.
+labelled documents (counted by Spark), none close to one before.  A document's kernel with a landmark is the sum over its units, as for sets,
+dampened by log(1 + x), so that one insult in a long text counts, and several count more.  With W the landmarks' kernel matrix, z = W^-1/2 k(document, landmarks)
+goes into a linear machine with squared hinge loss, both labels weighing the same; a sigmoid turns its values into scores.  A word's kernel is
+computed once and kept in a table of bounded size.
 
-Defined results: null texts count as empty; a text without units has the value of a unit far from all landmarks; without labelled rows every score is
+Defined results: null texts count as empty; a text without units has the value of one far from all landmarks; without labelled rows every score is
 0.5; repeated rows get equal scores; null ids are not held out.  Columns besides doc_id, text and the labels' are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,16 +30,16 @@ from pyspark.sql import functions as F
 from llm.common import store
 from llm.features import training_rows
 
-LENGTH, DECAY, SHARPEN, GRAM, LANDMARKS, TRAIN_ROWS, CLOSEST, THRESHOLD = 3, 0.6, 3, 6, 64, 4000, 8, 0.7
-LONGEST, KEPT_WORDS = 24, 500_000
+LENGTH, DECAY, SHARPEN, GRAM, LANDMARKS, TRAIN_ROWS, THRESHOLD = 3, 0.6, 3, 6, 64, 4000, 0.7
+LONGEST, KEPT_WORDS, LEAST, APART = 24, 500_000, 0.05, 0.25
 _DROP = re.compile(r"[\W_]+")
 _SPACED = re.compile(r"(?<!\w)\w(?:[\W_]{1,3}\w(?!\w)){2,}")
 
 
-def units(text: str | None) -> set[str]:
-    """Raw words and joined runs of single letters."""
+def units(text: str | None) -> Counter:
+    """Raw words and joined runs of single letters, counted."""
     text = (text or "").lower()
-    out = set(text.split())
+    out = Counter(text.split())
     out.update(_DROP.sub("", run) for run in _SPACED.findall(text))
     return out
 
@@ -133,40 +134,59 @@ class Landmarks:
 
 
 @dataclass
-class Model:
+class Sums:
+    """Kernel of whole texts with landmarks."""
+
     landmarks: Landmarks
-    weights: np.ndarray  # on kernel values: W^-1/2 times the machine's
-    bias: float
-    slope: float
-    offset: float
-    kept: dict[str, float] = field(default_factory=dict)
+    kept: dict[str, tuple[np.ndarray, np.ndarray] | None] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "kept": {}}
+        return {"landmarks": self.landmarks, "kept": {}}
 
-    def values(self, texts: list[str | None]) -> list[float]:
-        """Value of each text's most toxic unit."""
-        own = [units(t) for t in texts]
-        new = list({w for words in own for w in words if w not in self.kept})
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept.clear()
-            new = list({w for words in own for w in words})
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 8192):
+            part = words[at : at + 8192]
             strings, of = [], []
             for i, word in enumerate(part):
                 for form in forms(word):
                     strings.append(form)
                     of.append(i)
-            value = np.full(len(part), self.bias)
-            if strings:
-                np.maximum.at(value, of, self.landmarks.kernel(strings) @ self.weights + self.bias)
-            self.kept.update(zip(part, value.tolist(), strict=True))
-        get = self.kept.__getitem__
-        return [max(map(get, words), default=self.bias) for words in own]
+            self.kept.update(dict.fromkeys(part))
+            k = self.landmarks.kernel(strings)
+            near: dict[int, np.ndarray] = {}
+            for row in np.flatnonzero(k.max(axis=1, initial=0) > LEAST):
+                near[of[row]] = np.maximum(near[of[row]], k[row]) if of[row] in near else k[row]
+            for i, row in near.items():
+                columns = np.flatnonzero(row > LEAST)
+                self.kept[part[i]] = columns, row[columns]
+
+    def of(self, texts: list[str | None]) -> np.ndarray:
+        own = [units(t) for t in texts]
+        every = set().union(*own)
+        new = every.difference(self.kept)
+        if len(self.kept) + len(new) > KEPT_WORDS:
+            self.kept, new = {}, every
+        self._learn(list(new))
+        out = np.zeros((len(texts), len(self.landmarks.names)))
+        for i, words in enumerate(own):
+            for word in words:
+                found = self.kept[word]
+                if found is not None:
+                    out[i, found[0]] += words[word] * found[1]
+        return np.log1p(out)
+
+
+@dataclass
+class Model:
+    sums: Sums
+    weights: np.ndarray  # on kernel values: W^-1/2 times the machine's
+    bias: float
+    slope: float
+    offset: float
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.array(self.values(texts)) + self.offset, -30, 30)))
+        value = self.sums.of(texts) @ self.weights + self.bias
+        return 1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -30, 30)))
 
 
 def choose_landmarks(rows: DataFrame, n: int = LANDMARKS) -> list[str]:
@@ -190,38 +210,29 @@ def choose_landmarks(rows: DataFrame, n: int = LANDMARKS) -> list[str]:
     top = counted.filter((a >= 2) & (a > 2 * expect_a)).orderBy(ratio.desc(), "gram").limit(8 * n).select("gram").collect()
     chosen: list[str] = []
     for (gram,) in top:
-        if len(chosen) < n and (not chosen or Landmarks(chosen).kernel([gram]).max() < 0.5):
+        if len(chosen) < n and (not chosen or Landmarks(chosen).kernel([gram]).max() < APART):
             chosen.append(gram)
     return chosen
 
 
-def fit(landmarks: Landmarks, closest: list[np.ndarray], labels: np.ndarray, rounds: int = 6, steps: int = 300) -> Model:
-    """closest: for each document the kernel rows of its units next to landmarks."""
+def fit(landmarks: Landmarks, sums: np.ndarray, labels: np.ndarray, steps: int = 1500) -> Model:
+    """sums: a row of landmark kernels for each document."""
     if not landmarks.names or labels.min(initial=1) == labels.max(initial=0):
-        return Model(landmarks, np.zeros(len(landmarks.names), np.float32), 0.0, 0.0, 0.0)
+        return Model(Sums(landmarks), np.zeros(len(landmarks.names)), 0.0, 0.0, 0.0)
     values, vectors = np.linalg.eigh(landmarks.kernel(landmarks.names).astype(np.float64))
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    none = np.zeros((1, len(landmarks.names)))
-    bags = [np.concatenate([none, x]) @ root for x in closest]
-    negative = np.concatenate([b for b, y in zip(bags, labels, strict=True) if not y])
-    negative = negative[np.abs(negative).max(axis=1) > 1e-6] if np.abs(negative).max() > 1e-6 else negative[:1]
-    negative = np.concatenate([negative, none @ root])
-    positive = [b for b, y in zip(bags, labels, strict=True) if y]
-    w, bias = root @ np.ones(len(root)), -1.0
-    for _ in range(rounds):
-        witness = np.stack([b[(b @ w).argmax()] for b in positive])
-        x = np.concatenate([witness, negative])
-        y = np.concatenate([np.ones(len(witness)), -np.ones(len(negative))])
-        share = np.where(y > 0, 0.5 / len(witness), 0.5 / len(negative))
-        w, bias = np.zeros(x.shape[1]), 0.0
-        for step in range(steps):  # squared hinge loss
-            slack = np.maximum(0, 1 - y * (x @ w + bias)) * y * share
-            rate = 0.5 / (1 + step / 100)
-            w += rate * (2 * x.T @ slack - 1e-4 * w)
-            bias += rate * 2 * slack.sum()
-    f = np.array([(b @ w + bias).max() for b in bags])
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
+    x, y = sums @ root, 2 * labels - 1
+    share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    w, bias, push = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1])
+    for step in range(steps):
+        slack = np.maximum(0, 1 - y * (x @ w + bias)) * y * share
+        rate = 0.3 / (1 + step / 300)
+        push = 0.9 * push + 2 * x.T @ slack - 1e-4 * w
+        w += 0.3 * rate * push
+        bias += rate * 2 * slack.sum()
+    f = x @ w + bias
     slope, offset = 1.0, 0.0
-    for _ in range(500):  # sigmoid by Newton steps with a weak pull to slope 1
+    for _ in range(200):  # sigmoid by Newton steps with a weak pull to slope 1
         p = 1 / (1 + np.exp(-np.clip(slope * f + offset, -30, 30)))
         g = np.array([((p - labels) * f).sum() + 0.05 * (slope - 1), (p - labels).sum()])
         h = np.array([[(p * (1 - p) * f * f).sum() + 0.05, (p * (1 - p) * f).sum()], [(p * (1 - p) * f).sum(), (p * (1 - p)).sum() + 1e-6]])
@@ -230,31 +241,25 @@ def fit(landmarks: Landmarks, closest: list[np.ndarray], labels: np.ndarray, rou
         slope, offset = slope - move[0], offset - move[1]
         if np.abs(move).max() < 1e-6:
             break
-    return Model(landmarks, (root @ w).astype(np.float32), float(bias), float(slope), float(offset))
+    return Model(Sums(landmarks), root @ w, float(bias), float(slope), float(offset))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, n: int = LANDMARKS) -> Model:
     """From at most ``rows`` labelled documents outside the held-out third."""
     sample = store(training_rows(docs, labels, "toxic", 3, 1, rows).select("doc_id", "text", F.col("label").cast("int").alias("label")), "toxic-sample")
-    parts = max(1, min(rows // 64, sample.sparkSession.sparkContext.defaultParallelism * 2))
-    sample = sample.repartition(parts)
+    sample = sample.repartition(max(1, min(rows // 64, sample.sparkSession.sparkContext.defaultParallelism * 2)))
     landmarks = Landmarks(choose_landmarks(sample, n))
+    if not landmarks.names:
+        return fit(landmarks, np.zeros((0, 0)), np.zeros(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Sums(landmarks)
         for batch in batches:
-            found = []
-            for text in batch.column("text"):
-                strings = sorted({s for w in units(text.as_py()) for s in forms(w)})
-                k = landmarks.kernel(strings)
-                best = np.argsort(-k.max(axis=1, initial=0), kind="stable")[:CLOSEST]
-                found.append(k[best].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "k"])
+            sums = [row.tobytes() for row in own.of(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(sums, pa.binary())], ["doc_id", "label", "sums"])
 
-    if not landmarks.names:
-        return fit(landmarks, [], np.zeros(0))
-    got = sample.mapInArrow(run, "doc_id long, label int, k binary").toPandas().sort_values(["doc_id", "k"])
-    closest = [np.frombuffer(k, np.float32).reshape(-1, len(landmarks.names)).astype(np.float64) for k in got.k]
-    return fit(landmarks, closest, got.label.to_numpy().astype(float))
+    got = sample.mapInArrow(run, "doc_id long, label int, sums binary").toPandas().sort_values(["doc_id", "sums"])
+    return fit(landmarks, np.stack([np.frombuffer(k, np.float64) for k in got["sums"]]), got["label"].to_numpy().astype(float))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = TRAIN_ROWS, n: int = LANDMARKS) -> DataFrame:
