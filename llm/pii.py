@@ -49,26 +49,40 @@ CANDIDATE = "|".join((
     "(?<![0-9A-Za-z.,/-])[+(]?[0-9](?:[\\x20().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z]|[.,/-][0-9])",
     f"(?<![\\p{{L}}])(?:(?:{'|'.join(_TITLES)})\\.? |(?:{'|'.join(_GIVEN)}) )\\p{{Lu}}\\p{{Ll}}++(?: \\p{{Lu}}\\p{{Ll}}++)?",
 ))
-_MAYBE = "[@\\[(]|[0-9][\\x20().-]{0,2}[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]|(?:" + "|".join(_TITLES + _GIVEN) + ")"
+# What a text must hold for the candidate pattern to be tried: cheap to test, and true wherever it matches.
+_DIGITS = "[0-9][\\x20().-]{0,2}[0-9][\\x20().-]{0,2}[0-9][\\x20().-]{0,2}[0-9]"
+_NAMES = "[A-Z]\\p{Ll}++ \\p{Lu}\\p{Ll}"
+_DOTTED = [f"{t}. " for t in _TITLES]
 LABELERS = ("shape", "checksum", "gazetteer", "before", "after")
 FORMS = ("spaced", "grouped", "long")
 
 
-def _prefix_sums(numbers: Column, step: int = 256) -> Column:
-    """Sum of the numbers before each place: whole blocks first, then the rest, so that long arrays don't cost the square of their length."""
-    add = lambda values: F.aggregate(values, F.lit(0), lambda a, b: a + b)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / step).cast("int")), lambda k: add(F.slice(numbers, k * step + 1, step)))
-    return F.transform(
-        numbers, lambda _, i: add(F.slice(blocks, 1, F.floor(i / step).cast("int"))) + add(F.slice(numbers, F.floor(i / step).cast("int") * step + 1, i % step))
-    )
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, b: a + b)
+
+
+def _with_prefix_sums(rows: DataFrame, numbers: str, to: str, step: int = 256) -> DataFrame:
+    """Adds the sum of the numbers before each place: whole blocks first, then the rest, so that long arrays don't cost the square of
+    their length.  Blocks are a column of their own, since what a lambda names is computed again for each element."""
+    keep = rows.columns
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / step).cast("int")), lambda k: _sum(F.slice(numbers, k * step + 1, step)))
+    rows = rows.select(*keep, F.when(F.size(numbers) > 0, blocks).alias("_blocks"))
+
+    def before(_: Column, i: Column) -> Column:
+        block = F.floor(i / step).cast("int")
+        return _sum(F.slice("_blocks", 1, block)) + _sum(F.slice(numbers, block * step + 1, i % step))
+
+    return rows.select(*keep, F.transform(numbers, before).alias(to))
 
 
 def _found(rows: DataFrame, text: str, pattern: str, need: Column, to: str) -> DataFrame:
     """Adds the matches of a pattern: value, start, stop, before (text since the last match), after."""
     keep = rows.columns
-    rows = rows.select(*keep, F.when(need, F.split(text, pattern, -1)).alias("_pieces"), F.when(need, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("_hits"))
+    rows = rows.select(*keep, need.alias("_need"))  # tested once, used twice
+    rows = rows.select(*keep, F.when(F.col("_need"), F.split(text, pattern, -1)).alias("_pieces"), F.when(F.col("_need"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("_hits"))
     lengths = F.transform("_hits", lambda h, i: F.length(F.get("_pieces", i)) + F.length(h))
-    rows = rows.select(*keep, "_pieces", "_hits", F.when(F.size("_hits") > 0, _prefix_sums(lengths)).alias("_sums"))
+    rows = rows.select(*keep, "_pieces", "_hits", F.when(F.size("_hits") > 0, lengths).alias("_lengths"))
+    rows = _with_prefix_sums(rows, "_lengths", "_sums")
 
     def span(hit: Column, i: Column) -> Column:
         start = F.get("_sums", i) + F.length(F.get("_pieces", i))
@@ -149,7 +163,11 @@ def _judged(c: Column) -> Column:
 
 def _with_candidates(rows: DataFrame, text: str) -> DataFrame:
     """Adds _candidates (null where there are none)."""
-    rows = _found(rows, text, CANDIDATE, F.col(text).rlike(_MAYBE), "_candidates")
+    has = F.col(text).contains
+    need = has("@") | has("(at)") | has("[at]") | F.col(text).rlike(_DIGITS) | (has(":") & F.col(text).rlike("[0-9A-Fa-f]:[0-9A-Fa-f]")) | F.col(text).rlike(_NAMES)
+    for title in _DOTTED:
+        need = need | has(title)
+    rows = _found(rows, text, CANDIDATE, need, "_candidates")
     return rows.withColumn("_candidates", F.transform("_candidates", _judged))
 
 
@@ -195,7 +213,8 @@ def _features(get) -> dict[str, Column]:
 
 def train(docs: DataFrame, rounds: int = EM_ROUNDS, steps: int = STEPS) -> dict[str, float]:
     """Weights of the span classifier; empty where the corpus has no candidates."""
-    found = _with_candidates(docs.select(F.coalesce("text", F.lit("")).alias("text")), "text").select(F.explode("_candidates").alias("c"))
+    found = _with_candidates(docs.select(F.coalesce("text", F.lit("")).alias("text")), "text")
+    found = found.select(F.explode_outer("_candidates").alias("c")).filter(F.col("c").isNotNull())  # plain explode would test the array's size by computing it once more
     key = ["kind", *LABELERS, *FORMS]
     patterns = store(found.select(*[F.col(f"c.{k}").alias(k) for k in key]).groupBy(*key).count().withColumnRenamed("count", "n").coalesce(1), "pii-votes")
     known = reliabilities(patterns, rounds)
