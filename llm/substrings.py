@@ -6,7 +6,7 @@ window that occurs twice anywhere meets cells of 2 or more in every row.  Pass t
 settles repeats among its own documents and sends on just the smallest document of each window, so a window that a third of all
 documents hold is sent once a task.  Repeats come back as places in documents.
 
-The merged bit maps are broadcast; their size is DEPTH * CELLS / 8 bytes whatever the corpus.  Beyond about CELLS windows the prefilter lets
+The merged bit maps are broadcast compressed; their size is at most DEPTH * CELLS / 8 bytes whatever the corpus.  Beyond about CELLS windows the prefilter lets
 more and more windows through to the exact pass, which gives the same result at the cost of a larger shuffle.
 
 Defined results: a null text has no words; texts of fewer than ``WINDOW`` words lose nothing; rows of equal doc_id take
@@ -24,8 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import store
-
 WINDOW, DEPTH, CELLS, BLOCK = 13, 2, 1 << 29, 1 << 20
 PENDING = 2_000_000  # windows that a task holds before it sends on the smallest documents
 NO_ID = (1 << 63) - 1
@@ -79,8 +77,8 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def repeated_cells(docs: DataFrame, window: int, depth: int, cells: int) -> list[np.ndarray]:
-    """For each row of the merged sketch, which cells count two or more."""
+def repeated_cells(docs: DataFrame, window: int, depth: int, cells: int) -> list[tuple[int, int, bytes]]:
+    """Row, block and compressed bit map of the cells that count two or more in the merged sketch."""
     import zstandard
 
     block = min(BLOCK, cells)
@@ -143,13 +141,20 @@ def repeated_cells(docs: DataFrame, window: int, depth: int, cells: int) -> list
 
     sketches = docs.select("text").mapInArrow(sketch, "row int, block int, once binary, twice binary")
     merged = sketches.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(merge, "row int, block int, twice binary")
-    out = [np.zeros(cells // 8, np.uint8) for _ in range(depth)]
-    for r in merged.toLocalIterator():  # at most DEPTH * CELLS / 8 bytes in all
-        out[r["row"]][r["block"] * block // 8 : (r["block"] + 1) * block // 8] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["twice"]), np.uint8)
-    return out
+    return [(r["row"], r["block"], bytes(r["twice"])) for r in merged.toLocalIterator()]  # at most DEPTH * CELLS / 8 bytes in all
+
+
+def opened(blocks: list[tuple[int, int, bytes]], depth: int, cells: int) -> list[BitMap]:
+    import zstandard
+
+    unpack, size = zstandard.ZstdDecompressor().decompress, min(BLOCK, cells) // 8
+    maps = [BitMap(cells) for _ in range(depth)]
+    for row, block, raw in blocks:
+        maps[row].raw[block * size : (block + 1) * size] = np.frombuffer(unpack(raw), np.uint8)
+    return maps
 
 
-def _to_array(maps: list[BitMap], hashes: np.ndarray, cells: int) -> np.ndarray:
+def _estimated_repeated(maps: list[BitMap], hashes: np.ndarray, cells: int) -> np.ndarray:
     ok = np.ones(len(hashes), bool)
     for row, m in enumerate(maps):
         at = np.flatnonzero(ok)
@@ -179,7 +184,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: in
     held = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, window, depth, cells))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = [BitMap(cells, raw) for raw in held.value]
+        maps = opened(held.value, depth, cells)
         hashes, ids, texts, places, count = [], [], [], [], 0
 
         def settle() -> Iterator[pa.RecordBatch]:
@@ -205,7 +210,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: in
         for batch in batches:
             for doc_id, of_text, text in zip(batch.column("doc_id").to_pylist(), batch.column("of_text").to_pylist(), batch.column("text"), strict=True):
                 own = window_hashes(split(text.as_py()), window)
-                at = np.flatnonzero(_to_array(maps, own, cells))
+                at = np.flatnonzero(_estimated_repeated(maps, own, cells))
                 hashes.append(own[at])
                 ids.append(np.full(len(at), doc_id, np.int64))
                 texts.append(np.full(len(at), of_text, np.int32))
@@ -218,9 +223,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: in
             yield from settle()
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in order of key, check and document: places of every document but a window's smallest."""
+        """Rows in order of key, check and document: places of every document but a window's smallest, and what was settled before."""
         last = None
         for batch in batches:
+            settled = pa.RecordBatch.from_arrays([batch.column(i) for i in (2, 3, 4)], ["doc_id", "of_text", "places"]).filter(batch.column(0).is_null())
+            if settled.num_rows:
+                yield settled
+            batch = batch.filter(batch.column(0).is_valid())
             key, check, doc = (batch.column(i).to_numpy().view(np.uint64) for i in range(3))
             window_bits, doc = check >> np.uint64(32), doc.view(np.int64)
             new = np.ones(len(key), bool)
@@ -237,11 +246,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: in
 
     rows = _keyed(docs).select("doc_id", "of_text", "text")
     found = rows.mapInArrow(candidates, "key long, check long, doc_id long, of_text int, places binary")
-    window_of = F.shiftrightunsigned("check", 32)
-    found = store(found, "windows")
-    open_rows = found.filter(F.col("key").isNotNull()).select("key", "check", "doc_id", "of_text")
-    dealt = open_rows.repartition("key").sortWithinPartitions("key", window_of, "doc_id")
-    return found.filter(F.col("places").isNotNull()).select("doc_id", "of_text", "places").unionAll(dealt.mapInArrow(grouped, "doc_id long, of_text int, places binary"))
+    deal = F.coalesce("key", F.xxhash64("doc_id", "of_text"))
+    dealt = found.repartition(deal).sortWithinPartitions("key", F.shiftrightunsigned("check", 32), "doc_id")
+    return dealt.mapInArrow(grouped, "doc_id long, of_text int, places binary")
 
 
 def remove(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: int = CELLS) -> DataFrame:
