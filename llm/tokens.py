@@ -8,16 +8,25 @@ table of bounded size, so that repeated words cost a look-up.  Special tokens ho
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
-KEPT_PIECES = 600_000
+KEPT_PIECES = 800_000
 KEPT_LENGTH = 48
-_IRREGULAR = re.compile(r"\s\x20|\x20\s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S)(?=\x20\S)")
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _LOADED: dict[str, Encoder] = {}
 
 
+def _regular(text: str) -> bool:
+    """Whether every space of a text stands between two characters that are no white space."""
+    if not text or text[0].isspace() or text[-1].isspace() or "  " in text:
+        return False
+    others = _OTHER_SPACE[:9] if text.isascii() else _OTHER_SPACE
+    return not any(c in text and (f" {c}" in text or f"{c} " in text) for c in others)
+
+
 class Encoder:
     """Encodes with the tokenizer of one file.  Ids come as little-endian unsigned 32-bit integers."""
 
@@ -31,29 +40,52 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kept: dict[str, bytes] = {}
+        (self.line_end,) = self._ids("\n")
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it.
+
+        Words without white space are encoded as lines of one text: a line end before a space is a piece of its own, and
+        its id stands for nothing else."""
+        plain = [w for w in words if "\n" not in w and len(w.split()) == 1]
+        rest = [w for w in words if "\n" in w or len(w.split()) != 1]
+        out = dict(zip(rest, self.direct([f" {w}" for w in rest]), strict=True))
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            ids = np.array(self._ids("".join([f" {w}\n" for w in part]) + " "), "<u4")
+            ends = np.flatnonzero(ids == self.line_end)
+            raw, cuts = ids.tobytes(), (4 * ends).tolist()
+            if len(ends) != len(part):
+                raise ValueError("this tokenizer joins line ends to other text")
+            out.update(zip(part, (raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], cuts)), strict=True))
+        return [out[w] for w in words]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
         split = []
         for text in texts:
-            if _IRREGULAR.search(text):
-                split.append((None, _CUT.split(text)))
-            else:
+            if _regular(text):
                 first, *rest = text.split(" ")
                 split.append((first, rest))
+            else:
+                split.append((None, _CUT.split(text)))
         # Kept under the word: its ids with a space before it.
-        missing = {w for first, rest in split if first is not None for w in rest if w not in self.kept}
-        whole = list({x for first, rest in split for x in (rest if first is None else (first,))})
-        if len(self.kept) + len(missing) > KEPT_PIECES:
-            missing |= {w for first, rest in split if first is not None for w in rest}
-            self.kept = {}
+        of_batch = set().union(*(rest for first, rest in split if first is not None))
+        if len(self.kept) + len(missing := of_batch.difference(self.kept)) > KEPT_PIECES:
+            half = np.median(np.fromiter(map(len, self.kept), np.int64, len(self.kept))) if self.kept else 0
+            self.kept = {w: ids for w, ids in self.kept.items() if len(w) < half}  # shorter words come more often
+            missing = of_batch.difference(self.kept)
         kept = self.kept
         if missing:
             new = list(missing)
-            kept.update(zip(new, self.direct([f" {w}" for w in new]), strict=True))
+            kept.update(zip(new, self.words(new), strict=True))
+        whole = list({x for first, rest in split for x in (rest if first is None else (first,))})
         others = dict(zip(whole, self.direct(whole), strict=True)) if whole else {}
         out = []
         for first, rest in split:
