@@ -93,10 +93,10 @@ def _grouped(docs: DataFrame) -> DataFrame:
     known = docs.filter(F.col("doc_id").isNotNull())
     row = known.agg(F.percentile_approx("doc_id", [k / QUANTILES for k in range(QUANTILES + 1)], 10_000).alias("q"), F.count("*").alias("n")).first()
     bounds = sorted(set(row["q"] or [0]))
-    steps = [max(1, (b - a) * QUANTILES * GROUP_ROWS // max(1, row["n"])) for a, b in zip(bounds, bounds[1:])] + [GROUP_ROWS]
-    q, s = F.array(*[F.lit(b).cast("long") for b in bounds]), F.array(*[F.lit(x).cast("long") for x in steps])
+    steps = [max(1.0, (b - a) * QUANTILES * GROUP_ROWS / max(1, row["n"])) for a, b in zip(bounds, bounds[1:])] + [float(GROUP_ROWS)]
+    q, s = F.array(*[F.lit(b).cast("long") for b in bounds]), F.array(*[F.lit(x) for x in steps])
     docs = docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.greatest(F.size(F.filter(q, lambda b: b <= F.col("doc_id"))) - 1, F.lit(0))))
-    return docs.withColumn("group", F.when(F.col("part") < 0, F.lit(0).cast("long")).otherwise(F.floor((F.col("doc_id") - F.get(q, F.col("part"))) / F.get(s, F.col("part")))))
+    return docs.withColumn("group", F.when(F.col("part") < 0, F.lit(0).cast("long")).otherwise(F.floor((F.col("doc_id").cast("double") - F.get(q, F.col("part"))) / F.get(s, F.col("part")))))
 
 
 def compare(docs: DataFrame) -> DataFrame:
@@ -105,10 +105,10 @@ def compare(docs: DataFrame) -> DataFrame:
     bits = lexicon(docs)
     own = with_fingerprint(_grouped(docs), "text", bits, "print")
     order = Window.partitionBy("part", "group").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    lined = own.select("*", F.row_number().over(order).alias("place"), F.lead(F.struct("text", "print")).over(order).alias("next"))
+    lined = own.select("*", F.lag("part").over(order).isNull().alias("is_first"), F.lead("text").over(order).alias("next_text"), F.lead("print").over(order).alias("next_print"))
 
     # The last row of a group goes on with the first of the next group below; groups are few, and lined up in their parts.
-    first = lined.filter(F.col("place") == 1).select("part", "group", F.struct("text", "print").alias("top"))
+    first = lined.filter("is_first").select("part", "group", F.struct("text", "print").alias("top"))
     groups = own.select("part", "group").distinct()
     inside = Window.partitionBy("part").orderBy(F.col("group").desc())
     groups = groups.select("part", "group", F.lead("group").over(inside).alias("below"))
@@ -121,9 +121,9 @@ def compare(docs: DataFrame) -> DataFrame:
     follow = follow.select("part", "group", F.when(F.col("below").isNotNull(), F.col("part")).otherwise(F.col("after.part")).alias("next_part"), F.coalesce("below", "after.top_group").alias("next_group"))
     tops = follow.join(first.select(F.col("part").alias("next_part"), F.col("group").alias("next_group"), "top"), ["next_part", "next_group"]).select("part", "group", "top")
 
-    inner = lined.filter(F.col("next").isNotNull()).select("doc_id", "text", "print", "next")
-    edge = lined.filter(F.col("next").isNull()).join(tops, ["part", "group"]).select("doc_id", "text", "print", F.col("top").alias("next"))
-    rows = inner.unionAll(edge).select("doc_id", "text", "print", F.col("next.text").alias("next_text"), F.col("next.print").alias("next_print"), F.length("text").cast("long").alias("n_chars"))
+    inner = lined.filter(F.col("next_print").isNotNull()).select("doc_id", "text", "print", "next_text", "next_print")
+    edge = lined.filter(F.col("next_print").isNull()).join(tops, ["part", "group"]).select("doc_id", "text", "print", F.col("top.text").alias("next_text"), F.col("top.print").alias("next_print"))
+    rows = inner.unionAll(edge).withColumn("n_chars", F.length("text").cast("long"))
     half = F.expr("cast(n_chars div 2 as int)")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
     rows = rows.select("doc_id", "n_chars", "print", edited.alias("edited"), likeness("print", "next_print").alias("near_next"))
