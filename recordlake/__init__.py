@@ -12,7 +12,7 @@ from recordlake.operators.profile import column_profile, field_keys, fitting_col
 from recordlake.operators.tasks import filter_tasks, flatten_tasks, format_tasks, task_location
 from recordlake.operators.where import column_types, filter_filename, sql_where, where_field, widen
 from recordlake.plans.query import QueryResult, build_records, query, query_corpus
-from recordlake.sources.jsonl import parse_jsonl, read_collections, read_jsonl
+from recordlake.sources.jsonl import bad_lines, parse_jsonl, read_collections, read_jsonl, read_lines
 from recordlake.sources.notes import read_corpus
 from recordlake.sources.store import read_records, snapshot, write_csv, write_json_lines, write_records
 from recordlake.sources.task_index import read_task_index

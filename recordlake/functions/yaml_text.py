@@ -32,8 +32,8 @@ def yaml_batch_to_json(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else yaml_text_to_json(t) for t in texts.to_pylist()], pa.string())
 
 
-# A document may expand through aliases to at most this many nodes; beyond it, it is invalid.
-_MAX_NODES = 1_000_000
+# Aliases may repeat at most this many nodes; beyond it, a document is invalid.  Nodes met for the first time never count.
+_MAX_REPEATED = 1_000_000
 _PLAIN_TAG = "plain"
 _loader = None
 
@@ -68,22 +68,23 @@ def yaml_text_to_json(text: str) -> str | None:
             return "{}"
         if not isinstance(node, yaml.MappingNode):
             return None
-        return _json(node, [], [_MAX_NODES])
+        return _json(node, [], set(), [_MAX_REPEATED])
     except (yaml.YAMLError, ValueError, RecursionError):
         return None
 
 
-def _json(node, parents, budget):
-    budget[0] -= 1
+def _json(node, parents, seen, budget):
+    budget[0] -= id(node) in seen
+    seen.add(id(node))
     if budget[0] < 0 or any(node is p for p in parents):
         raise ValueError("aliases expand without bound")
     if isinstance(node, yaml.ScalarNode):
         return _scalar(node)
     inside = parents + [node]
     if isinstance(node, yaml.SequenceNode):
-        return "[" + ",".join(_json(n, inside, budget) for n in node.value) + "]"
+        return "[" + ",".join(_json(n, inside, seen, budget) for n in node.value) + "]"
     members = _members(node, inside)
-    return "{" + ",".join(f"{json.dumps(k)}:{_json(v, inside, budget)}" for k, v in members.items()) + "}"
+    return "{" + ",".join(f"{json.dumps(k)}:{_json(v, inside, seen, budget)}" for k, v in members.items()) + "}"
 
 
 def _members(node, parents):

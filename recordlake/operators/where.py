@@ -1,5 +1,6 @@
 """Records as a typed table, and conditions on its columns."""
 
+import datetime
 import re
 import uuid
 from collections.abc import Mapping, Sequence
@@ -7,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DateType, NumericType, StringType, VariantType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, NumericType, StringType, VariantType
 
 from recordlake.functions.text import like_pattern
 from recordlake.operators.profile import collect_profile
@@ -96,7 +97,7 @@ def where_field(table: DataFrame, field: str, op: str, value: str = "") -> Colum
     field, op, value = field.strip(), re.sub(r"\s+", " ", op.strip().upper()), value.strip()
     if not field or op not in OPERATORS:
         raise ValueError(f"incomplete condition: {field!r} {op!r}")
-    column, kind = table[f"`{field}`"], table.schema[field].dataType
+    column, kind = _resolved(table, field)
     if op == "IS NULL":
         return column.isNull()
     if op == "IS NOT NULL":
@@ -117,18 +118,36 @@ def where_field(table: DataFrame, field: str, op: str, value: str = "") -> Colum
     return comparisons[op]
 
 
+def _resolved(table: DataFrame, field: str) -> tuple[Column, DataType]:
+    """Column and type of a field; as in SQL, case counts only where names differ by nothing else."""
+    found = [f for f in table.schema if f.name == field] or [f for f in table.schema if f.name.lower() == field.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{'no' if not found else 'more than one'} field {field!r}")
+    quoted = found[0].name.replace("`", "``")
+    return table[f"`{quoted}`"], found[0].dataType
+
+
+def _day(field: str, value: str) -> datetime.date:
+    parts = re.fullmatch(r"(\d{4})(?:-(\d{1,2})(?:-(\d{1,2}))?)?", value)
+    try:
+        return datetime.date(*[int(x or 1) for x in parts.groups()])
+    except (AttributeError, ValueError):
+        raise ValueError(f"{field!r} is a date, {value!r} is not") from None
+
+
 def _literal(kind, field: str, value: str) -> Column:
     if isinstance(kind, NumericType):
         if not _NUMBER.fullmatch(value):
             raise ValueError(f"{field!r} is a number, {value!r} is not")
-        whole = re.fullmatch(r"[-+]?\d{1,18}", value)
-        return F.lit(int(value)) if whole else F.lit(float(value))
+        if not re.fullmatch(r"[-+]?\d{1,38}", value):
+            return F.lit(float(value))
+        return F.lit(int(value)) if -(1 << 63) <= int(value) < 1 << 63 else F.lit(value).cast("decimal(38,0)")
     if isinstance(kind, BooleanType):
         if value.lower() not in ("true", "false"):
             raise ValueError(f"{field!r} is a boolean, {value!r} is not")
         return F.lit(value.lower() == "true")
     if isinstance(kind, (StringType, DateType)):
-        return F.lit(value) if isinstance(kind, StringType) else F.lit(value).try_cast("date")
+        return F.lit(value) if isinstance(kind, StringType) else F.lit(_day(field, value))
     if isinstance(kind, (ArrayType, VariantType)):
         raise ValueError(f"{field!r} holds {kind.simpleString()}, which does not compare with text")
     return F.lit(value)

@@ -75,9 +75,10 @@ def query(
     chosen = apply_presets(normalize_arrays(records, array_fields), expressions)
     flagged = FULLTEXT_FLAG in records.columns
     wide = widen(chosen, types, infer_dates, keep=[FULLTEXT_FLAG] if flagged else [])
-    rows, message = sql_where(wide, where, "passthrough") if on_error == "passthrough" else (sql_where(wide, where), "")
+    # Before the clause, so that a LIMIT in it counts rows of the files asked for.
+    wide = filter_filename(wide, filename)
     # A trailing ORDER BY of the clause survives the filters below.
-    rows = filter_filename(rows, filename)
+    rows, message = sql_where(wide, where, "passthrough") if on_error == "passthrough" else (sql_where(wide, where), "")
     result = QueryResult(rows, message)
     rows = rows.observe(result._structured, F.count(F.lit(1)).alias("rows"))
     if fulltext.strip():

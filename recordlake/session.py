@@ -4,11 +4,13 @@ from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
-# Helpful for corpora of many small files: they cost little to open, so pack more per task.
+# Helpful for corpora of many small files: they cost little to open, so pack more per task.  In JSON objects the last of
+# equal keys counts; without this setting such lines hold no object.
 CORPUS_CONF = {
     "spark.sql.files.openCostInBytes": str(64 * 1024),
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 _CLAUSE_DIALECT = {

@@ -13,17 +13,31 @@ def read_jsonl(spark: SparkSession, path: str | list[str], strict: bool = False)
     """Records of JSON-lines files, one per line.
 
     ``_pos`` grows with the line within a file (it is the line number in files of one
-    split).  Lines that hold no JSON object are left out; with ``strict`` the first
-    malformed line fails the job.  Blank lines never count.
+    split).  Of a folder, the ``*.jsonl`` files are read; a path with an extension or a glob is taken as it is.  Lines that hold
+    no JSON object are left out (``bad_lines`` lists them); with ``strict`` the first malformed line fails the job.  Blank lines never count.
     """
-    files = spark.read.format("text").option("lineSep", "\n").load(path)
+    return parse_jsonl(read_lines(spark, path), strict)
+
+
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines of JSON-lines files: ``(_note_file, _pos, line)``."""
+    reader = spark.read.format("text").option("lineSep", "\n")
+    paths = [path] if isinstance(path, str) else path
+    if not any(set(p.rstrip("/").rpartition("/")[2]) & set(".*?[{") for p in paths):
+        reader = reader.option("pathGlobFilter", "*.jsonl")
+    files = reader.load(path)
     row_in_task = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    lines = files.select(
+    return files.select(
         plain_path(F.col("_metadata.file_path")).alias("_note_file"),
         (F.col("_metadata.file_block_start") + row_in_task).alias("_pos"),
         F.col("value").alias("line"),
     )
-    return parse_jsonl(lines, strict)
+
+
+def bad_lines(lines: DataFrame) -> DataFrame:
+    """The lines, not blank, that ``parse_jsonl`` leaves out."""
+    lines = lines.filter(F.length(F.trim(F.col("line"), F.lit(" \t\r"))) > 0)
+    return lines.filter(json_fields(F.col("line")).isNull()).select("_note_file", "_pos", "line")
 
 
 def parse_jsonl(lines: DataFrame, strict: bool = False) -> DataFrame:
