@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.tokens import _CUT, default_path, encoder, slices_of_text
+from llm.tokens import _CUT, byte_names, default_path, encoder, slices_of_text
 
 LONG_CHARS, LEAF_CHARS, LEAF_BYTES = 1 << 20, 1 << 18, 1 << 14
 _WINDOW = 4
@@ -40,7 +40,7 @@ class Pieces:
         self.pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         size = own.get_vocab_size(with_added_tokens=True)
         self.names = [own.id_to_token(i) for i in range(size)]
-        codes = {c: b for b, c in _byte_names().items()}
+        codes = {c: b for b, c in byte_names().items()}
         self.raw = [n.encode() if n in self.special else bytes(codes[c] for c in n) for n in (x or "" for x in self.names)]
         self.decimal = [str(i) for i in range(size)]
 
@@ -51,14 +51,6 @@ class Pieces:
         return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").encode()
 
 
-def _byte_names() -> dict[int, str]:
-    """Byte-level vocabularies spell a byte as itself where it prints, else as the next character from U+0100 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    names = {b: chr(b) for b in printable}
-    names.update({b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in names)})
-    return names
-
-
 _PIECES: dict[str, Pieces] = {}
 
 

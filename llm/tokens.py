@@ -12,13 +12,25 @@ from array import array
 
 import numpy as np
 
-KEPT_PIECES = 800_000
+KEPT_PIECES = 400_000
 KEPT_LENGTH = 48
 _CUT = re.compile(r"(?<=\S)(?=\x20\S)")
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+# Letters that every Unicode version since 3.2 knows as such, and signs but the apostrophe, which begins pieces of its own kind.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ȳΑ-ΡΣ-ώА-яぁ-ゔァ-ヺ一-龥가-힣", "!-&(-/:-@\\[-`{-~"
+_PLAIN = re.compile(f"[{_LETTERS}0-9{_SIGNS}]+(?:\n[{_LETTERS}0-9{_SIGNS}]+)*")
+_PIECE = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|\n")
 _LOADED: dict[str, Encoder] = {}
 
 
+def byte_names() -> dict[int, str]:
+    """Byte-level vocabularies spell a byte as itself where it prints, else as the next character from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    names = {b: chr(b) for b in printable}
+    names.update({b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in names)})
+    return names
+
+
 def _regular(text: str) -> bool:
     """Whether every space of a text stands between two characters that are no white space."""
     if not text or text[0].isspace() or text[-1].isspace() or "  " in text:
@@ -30,20 +42,23 @@ def _regular(text: str) -> bool:
 class Encoder:
     """Encodes with the tokenizer of one file.  Ids come as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = own = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.limit = pieces or KEPT_PIECES
         self.kept: dict[str, bytes] = {}
-        (self.line_end,) = self._ids("\n")
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        self.model, self.names = own.model, byte_names()
+        self.special = re.compile("|".join(re.escape(t.content) for t in own.get_added_tokens_decoder().values()) or "(?!)")
+        # Only then are the pieces of plain words known without asking the tokenizer.
+        self.byte_level = type(own.model) is BPE and own.normalizer is None and type(own.pre_tokenizer) is ByteLevel and own.pre_tokenizer.use_regex and not own.pre_tokenizer.add_prefix_space
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -51,19 +66,21 @@ class Encoder:
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of each word with a space before it.
 
-        Words without white space are encoded as lines of one text: a line end before a space is a piece of its own, and
-        its id stands for nothing else."""
-        plain = [w for w in words if "\n" not in w and len(w.split()) == 1]
-        rest = [w for w in words if "\n" in w or len(w.split()) != 1]
-        out = dict(zip(rest, self.direct([f" {w}" for w in rest]), strict=True))
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.array(self._ids("".join([f" {w}\n" for w in part]) + " "), "<u4")
-            ends = np.flatnonzero(ids == self.line_end)
-            raw, cuts = ids.tobytes(), (4 * ends).tolist()
-            if len(ends) != len(part):
-                raise ValueError("this tokenizer joins line ends to other text")
-            out.update(zip(part, (raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], cuts)), strict=True))
+        Words of common letters, digits and signs are cut by the byte-level pattern here, and their pieces go straight to the tokenizer's
+        model; all others go through the whole tokenizer."""
+        out, rest = {}, []
+        tokenize, cut, names, special = self.model.tokenize, _PIECE.findall, self.names, self.special.search
+        for w in words:
+            if not self.byte_level or not _PLAIN.fullmatch(w) or special(w):
+                rest.append(w)
+                continue
+            ids = array("I")
+            for piece in cut(f" {w}"):
+                spelled = piece.replace(" ", "Ġ") if piece.isascii() and piece != "\n" else piece.encode().decode("latin-1").translate(names)
+                ids.extend([t.id for t in tokenize(spelled)])
+            out[w] = ids.tobytes()
+        if rest:
+            out.update(zip(rest, self.direct([f" {w}" for w in rest]), strict=True))
         return [out[w] for w in words]
 
     def batch(self, texts: list[str]) -> list[bytes]:
@@ -77,7 +94,7 @@ class Encoder:
                 split.append((None, _CUT.split(text)))
         # Kept under the word: its ids with a space before it.
         of_batch = set().union(*(rest for first, rest in split if first is not None))
-        if len(self.kept) + len(missing := of_batch.difference(self.kept)) > KEPT_PIECES:
+        if len(self.kept) + len(missing := of_batch.difference(self.kept)) > self.limit:
             half = np.median(np.fromiter(map(len, self.kept), np.int64, len(self.kept))) if self.kept else 0
             self.kept = {w: ids for w, ids in self.kept.items() if len(w) < half}  # shorter words come more often
             missing = of_batch.difference(self.kept)
@@ -99,10 +116,11 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a file, kept between tasks."""
+def encoder(path: str, pieces: int | None = None) -> Encoder:
+    """The worker's encoder for a file, kept between tasks; it keeps the ids of so many pieces."""
     if path not in _LOADED:
         _LOADED[path] = Encoder(path)
+    _LOADED[path].limit = pieces or KEPT_PIECES
     return _LOADED[path]
 
 

@@ -24,6 +24,7 @@ from llm.common import n_partitions
 from llm.tokens import default_path, encoder, slices_of_text
 
 SHARD_TOKENS, END_ID, BLOCK = 1 << 20, 0, 512
+KEPT_PIECES = 800_000  # a task here has one Python worker, where encoding and digests in one stage have two
 SCHEMA = "part int, shard int, doc_ids array<bigint>, lengths array<bigint>, n_tokens long, planes array<binary>, zeros array<bigint>, ranks array<binary>"
 
 
@@ -129,7 +130,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard_tokens
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, shard, own = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        part, shard, own = TaskContext.get().partitionId(), 0, encoder(tokenizer, KEPT_PIECES)
         end = np.array([end_id], "<u4").tobytes()
         ids, lengths, doc_ids = [], [], []
 
