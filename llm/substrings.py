@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, DEPTH, CELLS, BLOCK = 13, 2, 1 << 29, 1 << 20
-PENDING = 2_000_000  # windows that a task holds before it sends on the smallest documents
+PENDING = 500_000  # windows that a task holds before it sends on the smallest documents
 NO_ID = (1 << 63) - 1
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], np.uint64)
 
