@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import bpe, decontaminate, imatch, language, pii, quality, simhash, substrings, toxicity, wavelet
+from llm import bpe, decontaminate, imatch, language, oracles, phrases, pii, quality, simhash, substrings, toxicity, urls, variants, wavelet
 from llm.common import new_path, table
 
 
@@ -53,9 +53,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(variants.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_bpe_tree, op3_wavelet, op4_simhash, op5_imatch, op6_language, op7_substrings, op8_decontaminate, op9_toxicity, op10_quality)}
+    return {f.__name__: f for f in (op1_pii, op2_bpe_tree, op3_wavelet, op4_simhash, op5_imatch, op6_language, op7_substrings, op8_decontaminate, op9_toxicity, op10_quality, op11_variants, op12_urls, op13_phrases)}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return oracles.all_oracles()
