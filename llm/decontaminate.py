@@ -1,13 +1,17 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
-Texts become templates: numbers, names and units of measure are replaced by typed placeholders, letters lower-cased, other marks dropped.
-Windows of ``WINDOW`` template words of documents and benchmark items are joined by hash.  Matches are grouped by document, item and
-diagonal (the distance of the places), and a diagonal counts only if its slots are consistent: each value in the item's slots stands for one value in
-the document's, and the other way round.  So a question asked again with other numbers is found, a text of like shape with
-unrelated values is not.  A document is contaminated by an item of which it holds ``SIMILARITY`` of the distinct template windows or more.
+White space counts as one blank.  A text is read twice: as plain words (lower case, marks dropped) and as a template, in which numbers, names and units of measure
+are typed placeholders.  Windows of ``WINDOW`` words of documents and benchmark items are joined by hash, plain with plain and template with template.
+An item's window is matched by a plain window as it is; by a template only where the slots agree: along one diagonal (the distance of
+the places) each value in the changed windows of the item stands for one value in the document's, and the other way round.  So a question asked
+again with other numbers is found, a verbatim copy is found whatever its case and blanks, and a text of like shape with unrelated values is not.
+A document is contaminated by an item of which it holds ``SIMILARITY`` of the distinct plain windows or more.
 
-A name is a capitalised word that follows, on its line, a word without closing mark; a number has digits; units are the fixed list below.
-An item or document of fewer words than a window is one window of all its words, so a short item is found only as a whole document.
+A name is a capitalised word after a word without closing mark; a number has digits; units are the fixed list below.  An item of fewer
+words than a window is one window of all its words and is found wherever they stand in a document; an item of a single word only as a whole document.
+
+Work: windows of documents are only hashes.  The distinct hashes that a document shares with an item are counted first; slots are looked at only in
+documents that can reach the similarity, and an item's window is met at its first place, so rows grow with the document's places, not with places times places.
 
 Defined results: null and empty texts match nothing, nor do null or empty items; rows of equal doc_id are told apart by their text
 and give one row an item each; rows without doc_id give null ids; an empty benchmark gives no rows.  Columns besides the ids and texts
@@ -27,59 +31,125 @@ UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons ounce ounces pound pounds ml l litre litres liter liters gallon gallons "
     "second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degrees mph kmh"
 ).split()
-_SPACE = "[\\x20\\x09-\\x0D]+"
+_SPACE = "[\\x20\\x09-\\x0D]++"
+_KEY, _ITEM = ["own", "no_id", "of_text"], ["item_id", "of_item"]
+
+
+def _template(text: Column) -> Column:
+    """Text with placeholders; words stay where they are.  Patterns start at a word's first character, so that long texts cost one pass each."""
+    out = F.regexp_replace(text, "(?<=[\\p{L}\\p{N},;] )\\p{Lu}[\\p{Ll}'-]++(?=[ .,;:!?)]|$)", "<name>")
+    out = F.regexp_replace(out, "(?<![^ (])[+-]?+[$€£]?+\\p{N}[\\p{N}.,:/-]*+%?+(?=[ ;:!?)]|$)", "<num>")
+    return F.regexp_replace(F.lower(out), "(?<=<num> )(?:" + "|".join(UNITS) + ")(?=[ .,;:!?)]|$)", "<unit>")
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}<> ]++", ""), " ")
+
+
+def _read(rows: DataFrame, keys: list[str], with_raw: bool = False) -> DataFrame:
+    """keys, plain (hashes of words), template (the same of template words, null where the text has no placeholder), and for slots raw and slot words."""
+    blank = F.trim(F.regexp_replace("text", _SPACE, " "))
+    rows = rows.select(*keys, blank.alias("text")).filter(F.col("text") != "")
+    changes = F.col("text").rlike("\\p{N}|[\\p{L}\\p{N},;] \\p{Lu}")
+    rows = rows.select(*keys, "text", F.when(changes, _words(_template(F.col("text")))).alias("slot_words"))
+    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    raw = [_words(F.col("text")).alias("raw"), "slot_words"] if with_raw else []
+    return rows.select(*keys, hashed(_words(F.col("text"))).alias("plain"), hashed("slot_words").alias("template"), *raw)
+
+
+def _hash_at(words: str, i: Column, size: int) -> Column:
+    return F.xxhash64(F.slice(words, i + 1, size))
+
+
+def _places(size: int) -> Column:
+    return F.when(F.size("plain") >= size, F.sequence(F.lit(0), F.size("plain") - size)).otherwise(F.array().cast("array<int>"))
+
+
+def _keys(sizes: list[int]) -> Column:
+    """Hashes of all windows of these sizes: plain ones, and templates where they differ."""
+    parts = []
+    for size in sizes:
+        at = _places(size)
+        changed = F.filter(F.transform(at, lambda i: F.when(F.slice("template", i + 1, size) != F.slice("plain", i + 1, size), _hash_at("template", i, size))), lambda h: h.isNotNull())
+        parts += [F.transform(at, lambda i: _hash_at("plain", i, size)), F.when(F.col("template").isNotNull(), changed).otherwise(F.array().cast("array<bigint>"))]
+    return F.concat(*parts) if parts else F.array().cast("array<bigint>")
+
+
+def _slots(raw: Column, slot_words: Column) -> Column:
+    """The values of a window's placeholders at their places; empty text elsewhere."""
+    return F.zip_with(raw, F.coalesce(slot_words, raw), lambda r, s: F.when(s.isin("<num>", "<name>", "<unit>"), r).otherwise(""))
+
+
+def _windows(read: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, place, hash (plain), template (hash), slots of the windows of ``size`` words, a column of ``read``."""
+    part = lambda c: F.slice(c, F.col("place") + 1, F.col("size"))
+    placed = read.withColumn("place", F.explode(F.when(F.size("plain") >= F.col("size"), F.sequence(F.lit(0), F.size("plain") - F.col("size")))))
+    return placed.select(*keys, "place", F.xxhash64(part("plain")).alias("hash"), F.xxhash64(F.coalesce(part("template"), part("plain"))).alias("template"), _slots(part("raw"), part("slot_words")).alias("slots"))
+
+
+def _item_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """item_id, of_item, words, size, hash, and place, template, slots at the first place of each distinct plain window."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), F.xxhash64("text").alias("of_item"), "text")
+    read = _read(rows, _ITEM, with_raw=True).withColumns({"words": F.size("plain"), "size": F.least(F.size("plain"), F.lit(window))})
+    keys = [*_ITEM, "words", "size"]
+    return _windows(read, keys).groupBy(*keys, "hash").agg(F.min(F.struct("place", "template", "slots")).alias("first")).select(*keys, "hash", "first.*")
+
 
+def _sized(small: DataFrame) -> DataFrame:
+    """Broadcast only what has been counted and is small."""
+    return F.broadcast(small) if small.count() <= BROADCAST_WINDOWS else small
 
-def _template_words(text: Column) -> Column:
-    """Template words, one for each word between white space.
 
-    Patterns start at a word's first character, so that long texts cost one pass each."""
-    out = F.regexp_replace(text, "(?<=[\\p{L}\\p{N},;] )\\p{Lu}[\\p{Ll}'-]++(?=[\\s.,;:!?)]|$)", "<name>")
-    out = F.regexp_replace(out, "(?<![^\\s(])[+-]?+[$€£]?+\\p{N}[\\p{N}.,:/-]*+%?+(?=[\\s;:!?)]|$)", "<num>")
-    out = F.lower(out)
-    out = F.regexp_replace(out, "(?<=<num> )(?:" + "|".join(UNITS) + ")(?=[\\s.,;:!?)]|$)", "<unit>")
-    return F.split(F.regexp_replace(out, "[^\\p{L}\\p{N}<>\\s]++", ""), _SPACE)
+def _keyed(docs: DataFrame) -> DataFrame:
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc_id, F.lit(0)).alias("own"), doc_id.isNull().alias("no_id"), F.xxhash64("text").alias("of_text"), "text")
 
 
-def _windows(rows: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """keys, place, hash, slots: the raw words in the places of placeholders, one text for each place of the window (null where none has)."""
-    rows = rows.select(*keys, F.regexp_replace("text", f"^{_SPACE}|{_SPACE}$", "").alias("text")).filter(F.col("text") != "")
-    rows = rows.select(*keys, _template_words(F.col("text")).alias("words"), F.when(F.col("text").rlike("\\p{N}|[\\p{L}\\p{N},;] \\p{Lu}"), F.split("text", _SPACE)).alias("raw"))
-    rows = rows.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), F.transform("raw", lambda w, i: F.when(F.get("words", i).isin("<num>", "<name>", "<unit>"), w).otherwise("")).alias("slots"))
-    last = F.greatest(F.size("hashes") - window, F.lit(0))
+def _changed(docs: DataFrame, pairs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """pairs: documents and items that may meet.  Keys of both and n_changed: windows that only templates meet, on diagonals whose slots agree."""
+    read = _read(docs.join(_sized(pairs.select(*_KEY).distinct()), _KEY, "left_semi"), _KEY, with_raw=True).dropDuplicates(_KEY)
+    read = read.withColumn("size", F.explode(F.array(*map(F.lit, sizes))))
+    windows = _windows(read, _KEY).withColumnsRenamed({"hash": "own_hash", "slots": "own_slots", "place": "own_place"})
+    of_item = items.select(*_ITEM, "hash", "template", "slots", "place")
+    both = pairs.select(*_KEY, *_ITEM)
+    verbatim = windows.select(*_KEY, F.col("own_hash").alias("hash")).join(_sized(of_item.select(*_ITEM, "hash")), "hash").join(both, [*_KEY, *_ITEM], "left_semi").distinct()
+    met = windows.join(_sized(of_item), "template").join(both, [*_KEY, *_ITEM], "left_semi").filter("hash != own_hash").join(verbatim, [*_KEY, *_ITEM, "hash"], "left_anti")
+    values = F.filter(F.arrays_zip(F.col("slots").alias("i"), F.col("own_slots").alias("d")), lambda x: x["i"] != "")
+    keys = [*_KEY, *_ITEM]
+    diagonal = met.groupBy(*keys, (F.col("own_place") - F.col("place")).alias("diagonal")).agg(F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set(values))).alias("values"))
+    n = F.size("values")
+    agree = (n == F.size(F.array_distinct(F.transform("values", lambda x: x["i"])))) & (n == F.size(F.array_distinct(F.transform("values", lambda x: x["d"]))))
+    return diagonal.filter(agree).groupBy(*keys).agg(F.size(F.array_distinct(F.flatten(F.collect_list("hashes")))).cast("long").alias("n_changed"))
 
-    def of(i: Column) -> Column:
-        hashed = F.xxhash64(*[F.get("hashes", i + k) for k in range(window)])
-        slots = F.array(*[F.coalesce(F.get("slots", i + k), F.lit("")) for k in range(window)])
-        slots = F.when(F.col("slots").isNotNull() & F.exists(F.slice("slots", i + 1, window), lambda s: s != ""), slots)
-        return F.struct(i.alias("place"), hashed.alias("hash"), slots.alias("slots"))
 
-    return rows.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), last), of)).alias("w")).select(*keys, "w.place", "w.hash", "w.slots")
+def _matches(docs: DataFrame, benchmark: DataFrame, window: int, similarity: float) -> DataFrame:
+    items = store(_item_windows(benchmark, window), "benchmark-windows")
+    totals = items.groupBy(*_ITEM).agg(F.count("*").alias("n_windows"))
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``window`` values
+    rows = _keyed(docs)
+    both = F.explode(F.array_distinct(F.array("hash", "template"))).alias("key")
+    read = _read(rows, _KEY).select(*_KEY, F.size("plain").alias("doc_words"), F.explode(_keys(sizes)).alias("key"))
+    shared = read.join(_sized(items.select(both).distinct()), "key", "left_semi").distinct()
+    # Windows met by either form bound what the slots can leave.
+    found = shared.join(_sized(items.select(*_ITEM, "words", "size", "hash", both)), "key").filter((F.col("size") > 1) | (F.col("words") == F.col("doc_words")))
+    bound = found.groupBy(*_KEY, *_ITEM).agg(F.count_distinct("hash").alias("bound"), F.count_if(F.col("key") == F.col("hash")).alias("verbatim"))
+    bound = store(bound.join(_sized(totals), _ITEM).filter(F.col("bound") >= similarity * F.col("n_windows")), "benchmark-candidates")
+    changed = _changed(rows, bound.filter("bound > verbatim"), items, sizes) if sizes else None
+    judged = bound.withColumn("n_changed", F.lit(0)) if changed is None else bound.join(changed, [*_KEY, *_ITEM], "left")
+    judged = judged.withColumn("n_matched", F.col("verbatim") + F.coalesce("n_changed", F.lit(0)))
+    return judged.withColumn("similarity", F.col("n_matched") / F.col("n_windows")).filter(F.col("similarity") >= similarity)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, of_text (hash of the row's text), item_id, n_matched, n_windows, similarity of every contamination."""
-    items = _windows(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("of_item"), "text"), ["item_id", "of_item"], window)
-    items = items.dropDuplicates(["item_id", "of_item", "place"])  # repeated rows of the benchmark are one item
-    sizes = items.groupBy("item_id", "of_item").agg(F.countDistinct("hash").alias("n_windows"))
-    items = items.select("item_id", "of_item", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
-    small = items.count() <= BROADCAST_WINDOWS
-    rows = _windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of_text"), "text"), ["doc_id", "of_text"], window)
-    found = rows.join(F.broadcast(items) if small else items, "hash")
-    pairs = F.when(F.col("slots").isNotNull() & F.col("item_slots").isNotNull(), F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"] != ""))
-    found = found.select("doc_id", "of_text", "item_id", "of_item", (F.col("place") - F.col("item_place")).alias("diagonal"), "hash", pairs.alias("pairs"))
-    diagonal = found.groupBy("doc_id", "of_text", "item_id", "of_item", "diagonal").agg(F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    n = F.size("pairs")
-    consistent = (n == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))) & (n == F.size(F.array_distinct(F.transform("pairs", lambda x: x["d"]))))
-    whole = diagonal.filter(consistent).groupBy("doc_id", "of_text", "item_id", "of_item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hashes")))).cast("long").alias("n_matched"))
-    scored = whole.join(F.broadcast(sizes) if small else sizes, ["item_id", "of_item"]).withColumn("similarity", F.col("n_matched") / F.col("n_windows"))
-    return scored.filter(F.col("similarity") >= similarity).select("doc_id", "of_text", "item_id", "n_matched", "n_windows", "similarity")
+    doc_id = F.when(~F.col("no_id"), F.col("own")).alias("doc_id")
+    return _matches(docs, benchmark, window, similarity).select(doc_id, "of_text", F.nullif("item_id", F.lit(NO_ID)).alias("item_id"), "n_matched", "n_windows", "similarity")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """The whole rows of documents that hold no item."""
-    found = matches(docs, benchmark, window, similarity).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_own"), F.col("of_text").alias("_of_text"))
-    found = store(found.distinct(), "contaminated")
-    small = found.count() <= BROADCAST_WINDOWS
-    keyed = docs.withColumns({"_own": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_of_text": F.xxhash64("text")})
-    return keyed.join(F.broadcast(found) if small else found, ["_own", "_of_text"], "left_anti").drop("_own", "_of_text")
+    found = store(_matches(docs, benchmark, window, similarity).select(*_KEY).distinct(), "contaminated")
+    row = F.struct(*docs.columns).alias("row")  # so that no column of the documents clashes with the keys
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.select(row, F.coalesce(doc_id, F.lit(0)).alias("own"), doc_id.isNull().alias("no_id"), F.xxhash64("text").alias("of_text"))
+    return keyed.join(_sized(found), _KEY, "left_anti").select("row.*")

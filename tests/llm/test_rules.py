@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from llm import decontaminate, pii
+from llm import decontaminate, pii, simhash
 
 from .conftest import by_row
 
@@ -103,6 +103,82 @@ def test_plain_passages_match_brute_force(spark, docs):
     assert want and by_row(decontaminate.matches(docs(rows), benchmark(spark, items)), "doc_id", "item_id") == want
 
 
+def test_copies_are_found_whatever_their_case_blanks_and_place(spark, docs):
+    items = benchmark(spark, [(1, ITEM), (2, "two plus two is"), (3, "alone")])
+    filler = " some filler words of a plain kind that say nothing at all "
+    copies = [ITEM, ITEM.lower(), ITEM.upper(), ITEM.replace(" ", "  "), ITEM.replace(" ", "\n"), AGAIN]
+    rows = [(i, filler + x + filler) for i, x in enumerate(copies)] + [(20, f"{filler} Two plus  two is {filler}"), (21, filler), (22, "alone"), (23, "not alone")]
+    found = decontaminate.matches(docs(rows), items)
+    assert by_row(found, "doc_id", "item_id") == [(i, 1) for i in range(len(copies))] + [(20, 2), (22, 3)]
+
+
+def test_one_changed_value_does_not_hide_a_copy(spark, docs):
+    middle = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(92))
+    items = benchmark(spark, [(1, f"the 5 cats {middle} the 5 dogs")])
+    rows = docs([(1, f"the 5 cats {middle} the 6 dogs"), (2, f"the 6 cats {middle} the 6 dogs"), (3, f"the 7 cats {middle} the 6 dogs")])
+    found = decontaminate.matches(rows, items)
+    assert by_row(found, "doc_id", "n_matched", "n_windows") == [(1, 94, 94), (2, 94, 94), (3, 90, 94)]
+
+
+def plain_templates(text):
+    """Words and template words of a text of plain words, numbers and names, by rule."""
+    words = text.split()
+    typed = ["<num>" if w.isdigit() else "<name>" if w[0].isupper() and k else w.lower() for k, w in enumerate(words)]
+    return [w.lower() for w in words], typed
+
+
+def plain_matches(doc, item, size=5):
+    """Distinct windows of the item that the document holds, slots checked by diagonal."""
+    (own, own_typed), (words, typed) = plain_templates(doc), plain_templates(item)
+    at = {}
+    for j in range(len(words) - size + 1):
+        at.setdefault(tuple(words[j : j + size]), j)
+    held = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)}
+    done, diagonals = {w for w in at if w in held}, {}
+    for w, j in at.items():
+        for i in range(len(own) - size + 1):
+            if w not in done and own_typed[i : i + size] == typed[j : j + size]:
+                hit = diagonals.setdefault(i - j, (set(), set()))
+                hit[0].add(w)
+                hit[1].update((words[j + k], own[i + k]) for k in range(size) if typed[j + k][0] == "<")
+    for windows, pairs in diagonals.values():
+        if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+            done |= windows
+    return len(done), len(at)
+
+
+def test_templates_and_slots_match_brute_force(spark, docs):
+    own = random.Random(12)
+    word = lambda: own.choice(["sun", "tree", "river", "stone", "bird", "cloud", "road", "house"])
+    slot = lambda: own.choice(["17", "4", "250", "Anna", "Paul", "Mira"])
+    text = lambda n: " ".join(slot() if k % 4 == 2 else word() for k in range(n))
+    items = [(k, text(own.randrange(6, 20))) for k in range(8)]
+    rows = []
+    for i in range(60):
+        words = items[own.randrange(8)][1].split()
+        if i % 3:
+            swap = {v: slot() for v in words if v.isdigit() or v[0].isupper()}
+            words = [swap.get(w, w) if i % 3 == 1 else slot() if w in swap else w for w in words]
+        rows.append((i, " ".join([word() for _ in range(1 + i % 4)] + words + [word() for _ in range(i % 5)])))
+    want = []
+    for i, doc in rows:
+        for k, item in items:
+            n, total = plain_matches(doc, item)
+            if n >= 0.8 * total:
+                want.append((i, k, n, total))
+    found = decontaminate.matches(docs(rows), benchmark(spark, items))
+    assert len(want) > 20 and by_row(found, "doc_id", "item_id", "n_matched", "n_windows") == sorted(want)
+
+
+def test_rows_keep_columns_named_like_those_used_inside(spark):
+    names = "own no_id of_text row _own _of_text _text _base _all _chars key place".split()
+    rows = spark.createDataFrame([(1, "mail a@b.org now please do", *names), (2, ITEM, *names), (None, "mail a@b.org now please do", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    items = benchmark(spark, [(1, ITEM)])
+    for out, n in ((decontaminate.keep_clean(rows, items), 2), (pii.mask(rows, {}), 3), (simhash.keep_one(rows), 2)):
+        got = out.collect()
+        assert out.columns == rows.columns and len(got) == n and all([r[c] for c in names] == names for r in got)
+
+
 def test_decontamination_of_messy_and_empty(spark, messy):
     items = benchmark(spark, [(1, "a b c d e f g h"), (2, "x y z")])
     assert by_row(decontaminate.matches(messy, items), "doc_id", "item_id") == [(3, 1)]
