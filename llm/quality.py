@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from llm.features import training_rows
 
-DIM, RANK, TRAIN_ROWS, EPOCHS, THRESHOLD = 1 << 13, 8, 6000, 12, 0.3
+DIM, RANK, TRAIN_ROWS, EPOCHS, STEPS, THRESHOLD = 1 << 13, 8, 6000, 12, 600, 0.3
 _SYMBOLS = b"#$%&*|<>{}=~^\\_@+/"
 _CLASSES = np.zeros((256, 6), np.float64)  # upper, lower or beyond ASCII, digit, stop or comma, symbol, white space
 _CLASSES[65:91, 0] = _CLASSES[97:123, 1] = _CLASSES[128:, 1] = _CLASSES[48:58, 2] = 1
@@ -83,8 +83,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, ba
     """rows: columns, values, label."""
     random = np.random.default_rng(7)
     size = DIM + N_STATS
-    theta = np.concatenate([np.zeros((size, 1)), random.normal(0, 0.01, (size, RANK))], axis=1)
     positive = sum(y for *_, y in rows)
+    theta = np.zeros((size, 1 + RANK))
+    if 0 < positive < len(rows):
+        theta[:, 1:] = random.normal(0, 0.01, (size, RANK))
+        epochs = max(epochs, -(-STEPS // -(-len(rows) // batch)))  # few rows take more rounds
     bias = float(np.log((positive + 1) / (len(rows) - positive + 1))) if rows else 0.0
     decay = np.concatenate([np.full((DIM, 1), 1e-4), np.full((N_STATS, 1), 1e-6)])
     m, v, mb, vb, step = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0, 0
