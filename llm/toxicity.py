@@ -1,14 +1,15 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence kernel with Nyström landmarks.
 
-Units are the words of all sentences of a text (lower case, letters and digits only, between the marks ``^`` and ``$``), and runs of single
-letters joined ("i d i o t").  k(u, v) sums, over all character subsequences of length ``LENGTH`` that u and v share, DECAY to the power of the
+Labels are of documents, not of sentences.  Units are the words of all sentences of a text (lower case, letters and digits only, between the marks ``^``
+and ``$``), neighbouring words of 2 to ``SHORT`` letters joined ("id iot"), and runs of single letters joined ("i d i o t").  k(u, v) sums, over all character subsequences of length ``LENGTH`` that u and v share, DECAY to the power of the
 spans they take in both, scaled to k(u, u) = 1: letters inserted, dropped or spaced out lower it gradually.  It is taken to the power
 ``SHARPEN``, which keeps it a kernel.  A landmark of whose letters a unit holds less than three quarters counts as 0.
 
 Landmarks are the character sequences of ``GRAM`` with the highest log-likelihood ratio for the toxic label among at most ``TRAIN_ROWS``
 labelled documents (counted by Spark), none close to one before.  A document's kernel with a landmark is the sum over its units, as for sets,
 dampened by log(1 + x), so that one insult in a long text counts, and several count more.  With W the landmarks' kernel matrix, z = W^-1/2 k(document, landmarks)
-goes into a linear machine with squared hinge loss, both labels weighing the same; a sigmoid turns its values into scores.  A word's kernel is
+goes into a linear machine with squared hinge loss, both labels weighing the same, fitted by accelerated
+gradient steps no longer than the loss allows; a sigmoid turns its values into scores.  A word's kernel is
 computed once and kept in a table of bounded size.
 
 Defined results: null texts count as empty; a text without units has the value of one far from all landmarks; without labelled rows every score is
@@ -30,16 +31,19 @@ from pyspark.sql import functions as F
 from llm.common import store
 from llm.features import training_rows
 
-LENGTH, DECAY, SHARPEN, GRAM, LANDMARKS, TRAIN_ROWS, THRESHOLD = 3, 0.6, 3, 6, 64, 4000, 0.7
-LONGEST, KEPT_WORDS, LEAST, APART = 24, 500_000, 0.05, 0.25
+LENGTH, DECAY, SHARPEN, GRAM, LANDMARKS, TRAIN_ROWS, THRESHOLD = 3, 0.6, 2, 6, 64, 4000, 0.7
+LONGEST, KEPT_WORDS, LEAST, APART, PULL, SHORT = 24, 500_000, 0.05, 0.25, 1e-3, 5
 _DROP = re.compile(r"[\W_]+")
 _SPACED = re.compile(r"(?<!\w)\w(?:[\W_]{1,3}\w(?!\w)){2,}")
 
 
-def units(text: str | None) -> Counter:
-    """Raw words and joined runs of single letters, counted."""
+def units(text: str | None, neighbours: bool = True) -> Counter:
+    """Raw words, neighbouring short words joined, and joined runs of single letters, counted."""
     text = (text or "").lower()
-    out = Counter(text.split())
+    words = text.split()
+    out = Counter(words)
+    if neighbours:
+        out.update(a + b for a, b in zip(words, words[1:], strict=False) if 2 <= len(a) <= SHORT and 2 <= len(b) <= SHORT)
     out.update(_DROP.sub("", run) for run in _SPACED.findall(text))
     return out
 
@@ -195,7 +199,7 @@ def choose_landmarks(rows: DataFrame, n: int = LANDMARKS) -> list[str]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
-                strings = [s for w in units(text.as_py()) for s in forms(w)]
+                strings = [s for w in units(text.as_py(), neighbours=False) for s in forms(w)]
                 grams = list({s[a : a + GRAM] for s in strings for a in range(max(1, len(s) - GRAM + 1))})
                 yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array([label] * len(grams), pa.int32())], ["gram", "label"])
 
@@ -223,13 +227,16 @@ def fit(landmarks: Landmarks, sums: np.ndarray, labels: np.ndarray, steps: int =
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
     x, y = sums @ root, 2 * labels - 1
     share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
-    w, bias, push = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1])
-    for step in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ w + bias)) * y * share
-        rate = 0.3 / (1 + step / 300)
-        push = 0.9 * push + 2 * x.T @ slack - 1e-4 * w
-        w += 0.3 * rate * push
-        bias += rate * 2 * slack.sum()
+    wide = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    pull = np.append(np.full(x.shape[1], PULL), 0.0)
+    bound = 2 * np.linalg.eigvalsh((wide * share[:, None]).T @ wide)[-1] + PULL  # no step is longer than the loss bends
+    theta, ahead, pace = np.zeros(wide.shape[1]), np.zeros(wide.shape[1]), 1.0
+    for _ in range(steps):
+        slack = np.maximum(0, 1 - y * (wide @ ahead)) * y * share
+        new = ahead + (2 * wide.T @ slack - pull * ahead) / bound
+        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        theta, ahead, pace = new, new + (pace - 1) / faster * (new - theta), faster
+    w, bias = theta[:-1], theta[-1]
     f = x @ w + bias
     slope, offset = 1.0, 0.0
     for _ in range(200):  # sigmoid by Newton steps with a weak pull to slope 1
