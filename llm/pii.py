@@ -272,8 +272,8 @@ def detect(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFram
 
 def mask(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """docs with every span (overlapping ones as one) replaced by its kind in angle brackets; null texts stay null."""
-    keep = docs.columns
-    rows = with_spans(docs, train(docs) if weights is None else weights).withColumn("_all", F.array_sort(F.transform(F.concat("_base", "_added"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")  # so that no column of the documents clashes
+    rows = with_spans(packed, train(docs) if weights is None else weights).withColumn("_all", F.array_sort(F.transform(F.concat("_base", "_added"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))))
     empty = F.array().cast("array<struct<start:int,stop:int,kind:string>>")
 
     def merge(done: Column, s: Column) -> Column:
@@ -290,4 +290,4 @@ def mask(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
 
     pieces = F.transform("_all", lambda s, i: F.concat(cut(F.coalesce(F.get("_all", i - 1)["stop"], F.lit(0)), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
     masked = F.when(F.col("_all").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), cut(F.element_at("_all", -1)["stop"], None)))
-    return rows.withColumn("text", masked).select(*keep)
+    return rows.withColumn("text", masked).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -212,5 +212,5 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, tile: int = TILE) -> DataF
     key = F.struct(F.coalesce("doc_id", F.lit(last)).alias("_own"), F.col("of_text").alias("_of_text"))
     of_print = prints.groupBy("fp").agg(F.min(key).alias("row"))
     chosen = of_print.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row")).select("row.*").distinct()
-    keyed = docs.withColumns({"_own": F.coalesce(F.col("doc_id").cast("long"), F.lit(last)), "_of_text": F.xxhash64("text")})
-    return keyed.join(chosen, ["_own", "_of_text"], "left_semi").dropDuplicates(["_own", "_of_text"]).drop("_own", "_of_text")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("_own"), F.xxhash64("text").alias("_of_text"))
+    return keyed.join(chosen, ["_own", "_of_text"], "left_semi").dropDuplicates(["_own", "_of_text"]).select("row.*")
