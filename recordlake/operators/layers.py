@@ -10,6 +10,7 @@ from recordlake.functions.barrier import computed_once
 from recordlake.functions.values import is_null, items, text_form
 from recordlake.operators.extract import RECORD_COLUMNS, overlay
 from recordlake.operators.skew import MIN_ROWS, hot_keys, spread_many, spread_one
+from recordlake.sources.columns import without_flags
 
 MERGE_KEYS = ("id", "binder")
 
@@ -41,7 +42,7 @@ def normalize_arrays(records: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def union_layers(*layers: DataFrame) -> DataFrame:
     """All records of all layers; field sets may differ."""
-    return reduce(DataFrame.unionByName, [layer.select(*RECORD_COLUMNS) for layer in layers])
+    return reduce(DataFrame.unionByName, [without_flags(layer.select(*RECORD_COLUMNS)) for layer in layers])
 
 
 def first_per_key(records: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordlake.functions.kinds import ANY_LIST, OBJECT
 from recordlake.functions.values import text_form, text_items
-from recordlake.sources.store import KEY_PREFIX
+from recordlake.sources.columns import KEY_PREFIX, stored_column, stored_flags
 
 _EXPRESSION = re.compile(r"([^=~^!]+)([=~^!])(.*)", re.DOTALL)
 
@@ -24,14 +25,21 @@ def parse_preset(expression: str) -> tuple[str, str, str]:
     return field, op, value
 
 
-def preset_condition(expression: str, columns: Sequence[str] = ()) -> Column:
+def preset_condition(expression: str, records: DataFrame | None = None) -> Column:
     """Condition on records.  A list matches when one of its elements does.
 
-    ``!`` is the opposite of ``=``; records without the field pass it.  ``columns`` are
-    those of the table: a stored key column adds a test that the scan can use.
+    ``!`` is the opposite of ``=``; records without the field pass it.  With ``records`` from a store, a field that never holds a list
+    is tested on its stored column alone, and other fields get a test that the scan can use beside the full one.
     """
     field, op, value = parse_preset(expression)
-    stored = F.col(f"`{KEY_PREFIX}{field}`") if KEY_PREFIX + field in columns else None
+    flags = None if records is None else stored_flags(records)
+    if flags is not None:
+        if field not in flags:
+            return F.lit(op == "!")
+        text = _stored_text(records, field)
+        if text is not None and not flags[field] & (ANY_LIST | OBJECT):
+            return _test(op, text, value)
+    stored = F.col(f"`{KEY_PREFIX}{field}`") if records is not None and KEY_PREFIX + field in records.columns else None
     found = F.col("fields")[field]
     elements, text = text_items(found), text_form(found)
     if op in "=!":
@@ -45,6 +53,23 @@ def preset_condition(expression: str, columns: Sequence[str] = ()) -> Column:
     return starts if stored is None else (stored.startswith(value) | stored.startswith("[")) & starts
 
 
+def _stored_text(records: DataFrame, field: str) -> Column | None:
+    """Column that holds the text form of a scalar field."""
+    if KEY_PREFIX + field in records.columns:
+        return F.col(f"`{KEY_PREFIX}{field}`")
+    for column_type in ("string", "date", "bigint", "boolean"):  # these print as their values were written
+        column = stored_column(records, field, column_type)
+        if column is not None:
+            return column if column_type == "string" else column.cast("string")
+    return None
+
+
+def _test(op: str, text: Column, value: str) -> Column:
+    if op == "!":
+        return ~F.coalesce(text == value, F.lit(False))
+    return text == value if op == "=" else F.contains(text, F.lit(value)) if op == "~" else text.startswith(value)
+
+
 def active_expressions(presets: Mapping[str, Sequence[str]], active: Iterable[str]) -> list[str]:
     """Expressions of the active presets, flattened in the order of ``presets``."""
     wanted = set(active)
@@ -58,5 +83,5 @@ def apply_presets(records: DataFrame, expressions: Sequence[str]) -> DataFrame:
     """Records that meet every expression; no expression keeps all."""
     if not expressions:
         return records
-    conditions = [preset_condition(e, records.columns) for e in expressions]
+    conditions = [preset_condition(e, records) for e in expressions]
     return records.filter(reduce(lambda a, b: a & b, conditions))

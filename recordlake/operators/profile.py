@@ -5,53 +5,38 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from recordlake.functions.values import is_null, text_form
+from recordlake.functions.kinds import column_type, kind_flags
+from recordlake.functions.values import is_null
 
-# A table wider than this is refused, never cut.
+# A table of all fields that would be wider than this is refused, never cut; named fields have no limit.
 MAX_COLUMNS = 10_000
-_ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
 
 def column_profile(records: DataFrame, rate: bool = False) -> DataFrame:
-    """One row per field: ``key, present, non_null, type, column_type``.
+    """One row per field: ``key, present, non_null, flags, column_type``.
 
-    Counts are combined in the map tasks, so a field that every record has shuffles no
-    more than any other.  ``type`` is the inferred VARIANT type, ``column_type`` the type
-    of the widened column; a field whose every value is an ISO date is a DATE.  ``rate``
-    adds ``fill_rate``, at the price of a count over the records.
+    Counts and flags are combined in the map tasks, so a field that every record has shuffles no more than any other, and a field of any
+    number of nested names costs one integer.  ``flags`` are the kinds of its values (``functions.kinds``), ``column_type`` the type
+    of the widened column.  ``rate`` adds ``fill_rate``, at the price of a count over the records.
     """
     values = records.select(F.explode("fields").alias("key", "value"))
-    text = text_form(F.col("value"))
-    # The length decides for most values, before a pattern has to.
-    iso = F.when(F.length(text) == 10, text.rlike(_ISO_DATE) & text.try_cast("date").isNotNull())
-    filled = ~is_null(F.col("value"))
     profile = values.groupBy("key").agg(
         F.count(F.lit(1)).alias("present"),
-        F.count_if(filled).alias("non_null"),
-        F.count_if(filled & F.coalesce(iso, F.lit(False))).alias("iso_dates"),
-        F.schema_of_variant_agg("value").alias("type"),
-    )
-    all_dates = (F.col("non_null") > 0) & (F.col("iso_dates") == F.col("non_null"))
-    column_type = F.when(all_dates, "date").otherwise(_column_type(F.col("type")))
-    profile = profile.select("key", "present", "non_null", "type", column_type.alias("column_type"))
+        F.count_if(~is_null(F.col("value"))).alias("non_null"),
+        F.bit_or(kind_flags(F.col("value"))).alias("flags"),
+    ).withColumn("column_type", column_type(F.col("flags")))
     if rate:
         total = records.agg(F.count(F.lit(1)).alias("records")).scalar()
         profile = profile.withColumn("fill_rate", F.col("non_null") / total)
     return profile
 
 
-def _column_type(kind: Column) -> Column:
-    element = F.regexp_extract(kind, r"^ARRAY<(.*)>$", 1)
-    return (
-        F.when(kind == "BIGINT", "bigint")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "double")
-        .when(kind.startswith("OBJECT"), "variant")
-        .when(kind.startswith("ARRAY"), F.when(
-            (element == "VARIANT") | element.startswith("OBJECT") | element.startswith("ARRAY"), "array<variant>"
-        ).otherwise("array<string>"))
-        .otherwise("string")
-    )
+def field_flags(records: DataFrame, fields: Sequence[str]) -> dict[str, int]:
+    """Kinds of the named fields only: one row of integers, whatever other fields there are.  Runs one job."""
+    if not fields:
+        return {}
+    row = records.agg(*[F.bit_or(kind_flags(F.col("fields")[f])).alias(f"f{i}") for i, f in enumerate(fields)]).first()
+    return {f: row[i] or 0 for i, f in enumerate(fields)}
 
 
 def field_keys(records: DataFrame) -> DataFrame:

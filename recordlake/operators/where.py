@@ -10,47 +10,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, NumericType, StringType, VariantType
 
+from recordlake.functions.kinds import type_names
 from recordlake.functions.text import like_pattern
-from recordlake.operators.profile import collect_profile
+from recordlake.functions.values import typed_value
+from recordlake.operators.profile import collect_profile, field_flags
 from recordlake.session import clause_dialect
+from recordlake.sources.columns import stored_column, stored_flags
 
 METADATA = ("_note_file", "_source_type", "_layer", "_pos")
+# The operators of a condition.
 OPERATORS = ("=", "!=", "LIKE", ">", "<", ">=", "<=", "IS NULL", "IS NOT NULL", "IN")
 _NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
 
 
-def typed_value(value: Column, column_type: str) -> Column:
-    """VARIANT as the given column type; a value that does not convert gives NULL."""
-    if column_type == "date":
-        return F.try_variant_get(value, "$", "string").try_cast("date")
-    return F.try_variant_get(value, "$", column_type)
+def column_types(records: DataFrame, infer_dates: bool = True, fields: Sequence[str] | None = None) -> dict[str, str]:
+    """Inferred column type of every field that is no metadata, or of the named ``fields``.
 
-
-def column_types(records: DataFrame, infer_dates: bool = True) -> dict[str, str]:
-    """Inferred column type of every field that is no metadata.  Runs one job."""
-    types = {r["key"]: r["column_type"] for r in collect_profile(records) if not r["key"].startswith("_")}
+    Stored records know the types of the whole store.  Others are read once: all of them for their fields, or
+    only the named fields, which is cheaper.
+    """
+    known = stored_flags(records)
+    if known is not None:
+        types = type_names(known if fields is None else {f: known.get(f, 0) for f in fields})
+    elif fields is not None:
+        types = type_names(field_flags(records, fields))
+    else:
+        types = {r["key"]: r["column_type"] for r in collect_profile(records)}
+    types = {k: t for k, t in types.items() if not k.startswith("_")}
     return types if infer_dates else {k: "string" if t == "date" else t for k, t in types.items()}
 
 
 def widen(
-    records: DataFrame, types: Mapping[str, str] | None = None, infer_dates: bool = True, keep: Sequence[str] = ()
+    records: DataFrame,
+    types: Mapping[str, str] | None = None,
+    infer_dates: bool = True,
+    keep: Sequence[str] = (),
+    fields: Sequence[str] | None = None,
 ) -> DataFrame:
     """One typed column per field, next to the metadata columns.
 
-    ``types`` names the columns and saves the job that infers them; ``keep`` names other
-    columns of the records to carry.  Names that differ
+    ``types`` names the columns and saves the job that infers them; ``fields`` names them and infers their types only;
+    ``keep`` names other columns of the records to carry.  Names that differ
     only in case get a suffix ``_1``, ``_2``; every name is a column of its own.
+
+    A field that the store holds as a column of that type is that column, so conditions on it reach the Parquet scan and
+    the map of all fields is not read.
     """
-    types = column_types(records, infer_dates) if types is None else types
+    types = column_types(records, infer_dates, fields) if types is None else types
     taken = {m.lower() for m in (*METADATA, *keep)}
     columns = []
-    for key, column_type in types.items():
+    for key, wanted in types.items():
         name, n = key, 0
         while name.lower() in taken:
             n += 1
             name = f"{key}_{n}"
         taken.add(name.lower())
-        columns.append(typed_value(F.col("fields")[key], column_type).alias(name))
+        stored = stored_column(records, key, wanted)
+        columns.append((typed_value(F.col("fields")[key], wanted) if stored is None else stored).alias(name))
     return records.select(*METADATA, *keep, *columns)
 
 

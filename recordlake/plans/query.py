@@ -60,6 +60,7 @@ def query(
     corpus: DataFrame | None = None,
     array_fields: Sequence[str] = (),
     types: Mapping[str, str] | None = None,
+    fields: Sequence[str] | None = None,
     infer_dates: bool = True,
     order_by: Sequence = (),
     on_error: str = "raise",
@@ -67,14 +68,14 @@ def query(
     """Typed rows of the records that pass every channel.
 
     All presets count when ``active`` is None.  ``types`` saves the job that infers the
-    columns.  Full text needs the ``corpus``, unless the records carry ``_fulltext`` for
+    columns; ``fields`` names the columns and infers only those.  Full text needs the ``corpus``, unless the records carry ``_fulltext`` for
     this term.
     """
     presets = presets or {}
     expressions = active_expressions(presets, presets if active is None else active)
     chosen = apply_presets(normalize_arrays(records, array_fields), expressions)
     flagged = FULLTEXT_FLAG in records.columns
-    wide = widen(chosen, types, infer_dates, keep=[FULLTEXT_FLAG] if flagged else [])
+    wide = widen(chosen, types, infer_dates, keep=[FULLTEXT_FLAG] if flagged else [], fields=fields)
     # Before the clause, so that a LIMIT in it counts rows of the files asked for.
     wide = filter_filename(wide, filename)
     # A trailing ORDER BY of the clause survives the filters below.
