@@ -15,6 +15,7 @@ from recordlake.functions.yaml_text import (
     NULL_WORDS,
     OTHER_NUMBER,
     TRUE_WORDS,
+    yaml_batch_errors,
     yaml_batch_to_json,
 )
 
@@ -75,8 +76,16 @@ def json_fields(text: Column) -> Column:
     return _as_map(F.try_parse_json(text))
 
 
+def yaml_error(text: Column) -> Column:
+    """Why a YAML text gives no fields; NULL for a text that does, or that is NULL."""
+    rest = F.when(F.try_parse_json(flat_to_json(text)).isNull(), text)
+    too_large = F.when(rest.isNotNull() & _as_map(F.try_parse_json(yaml_to_json(rest))).isNull(), "nested too deep or too large")
+    return F.coalesce(_yaml_errors(rest), too_large)
+
+
 def _as_map(value: Column) -> Column:
     return F.try_variant_get(value, "$", "map<string,variant>")
 
 
 yaml_to_json = F.arrow_udf(yaml_batch_to_json, StringType())
+_yaml_errors = F.arrow_udf(yaml_batch_errors, StringType())

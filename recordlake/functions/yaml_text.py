@@ -57,6 +57,16 @@ def _loader_class():
 
 def yaml_text_to_json(text: str) -> str | None:
     """First document of a YAML text as JSON object text, None when it is no valid mapping."""
+    return _parsed(text)[0]
+
+
+def yaml_batch_errors(texts: pa.Array) -> pa.Array:
+    """Why each text gives no fields; null for one that does."""
+    return pa.array([None if t is None else _parsed(t)[1] for t in texts.to_pylist()], pa.string())
+
+
+def _parsed(text: str) -> tuple[str | None, str | None]:
+    """JSON object text, or else the reason why there is none."""
     loader_class = _loader_class()
     try:
         loader = loader_class(text)
@@ -65,12 +75,16 @@ def yaml_text_to_json(text: str) -> str | None:
         finally:
             loader.dispose()
         if node is None or (isinstance(node, yaml.ScalarNode) and _scalar(node) == "null"):
-            return "{}"
+            return "{}", None
         if not isinstance(node, yaml.MappingNode):
-            return None
-        return _json(node, [], set(), [_MAX_REPEATED])
-    except (yaml.YAMLError, ValueError, RecursionError):
-        return None
+            return None, "no mapping"
+        return _json(node, [], set(), [_MAX_REPEATED]), None
+    except RecursionError:
+        return None, "nested too deep"
+    except yaml.YAMLError as error:
+        return None, "invalid YAML: " + " ".join(str(getattr(error, "problem", None) or error).split())
+    except ValueError as error:
+        return None, " ".join(str(error).split())
 
 
 def _json(node, parents, seen, budget):

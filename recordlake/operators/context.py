@@ -17,6 +17,7 @@ from recordlake.operators.extract import (
     frontmatter_keys,
     with_frontmatter,
 )
+from recordlake.operators.sections import explode_sections
 
 
 def fenced(frontmatter: Column) -> Column:
@@ -39,11 +40,10 @@ def extract_with_context(corpus: DataFrame, header_block: bool = False) -> DataF
 
 def note_sections(corpus: DataFrame, header_block: bool = False) -> DataFrame:
     """``_note_file, _pos, _frontmatter, _section`` of every block, and of every note at -1."""
-    corpus = corpus.filter(is_note(F.col("_note_file")))
-    sections = extract_records(corpus, BLOCKS_ONLY, header_block, sections=True).select(
-        "_note_file", "_pos", "_frontmatter", "_section"
-    )
-    whole = with_frontmatter(corpus, header_block).select(
+    notes = with_frontmatter(corpus.filter(is_note(F.col("_note_file"))), header_block)
+    sections = explode_sections(notes.select("_note_file", "_frontmatter", "_body")).filter(F.col("_pos").isNotNull())
+    sections = sections.select("_note_file", F.col("_pos").cast("long").alias("_pos"), "_frontmatter", F.coalesce("_section", F.lit("")).alias("_section"))
+    whole = notes.select(
         "_note_file", F.lit(FRONTMATTER_POSITION).cast("long").alias("_pos"), "_frontmatter", F.lit("").alias("_section")
     )
     return sections.unionByName(whole)
@@ -79,10 +79,10 @@ def locate_blocks(records: DataFrame, corpus: DataFrame, header_block: bool = Fa
 
     A block matches on ``id``, unless it is missing or comes from the frontmatter; then on
     every other field that is neither null, metadata nor from the frontmatter.  Values
-    compare as text.  Records that match no block get NULL.
+    compare as text; a missing value counts as empty text.  Records that match no block get NULL.
 
-    Blocks and records meet on the tested field names and a hash of the tested values, so
-    the blocks of a note are not compared pairwise with its records.
+    Records of a note that test the same values are asked once.  They meet its blocks on their rarest tested value, and the
+    blocks that have it are verified, so a note with many blocks and many sets of fields costs about its size.
     """
     notes = _notes_of(records, corpus)
     keys = frontmatter_keys(notes, header_block)
@@ -92,29 +92,44 @@ def locate_blocks(records: DataFrame, corpus: DataFrame, header_block: bool = Fa
     by_id = F.map_filter(own, lambda k, _: k == "id")
     tested = F.when(F.size(by_id) > 0, by_id).otherwise(own)
     wanted = records.join(keys, "_note_file", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
-    wanted = computed_once(wanted, "_tested", tested)
-    wanted = wanted.withColumn("_names", F.array_sort(F.map_keys("_tested")))
-    wanted = wanted.withColumn("_print", _fingerprint(F.col("_tested"), F.col("_names")))
-    some = F.size("_names") > 0
-    name_sets = wanted.filter(some).select("_note_file", "_names").distinct()
+    wanted = computed_once(wanted, "_tested", F.array_sort(F.map_entries(tested)))
+    wanted = wanted.withColumn("_print", F.when(F.size("_tested") > 0, F.sha2(F.to_json("_tested"), 256)))
+    asked = wanted.filter(F.col("_print").isNotNull()).groupBy("_note_file", "_print").agg(F.first("_tested").alias("_tested"))
     blocks = extract_records(notes, BLOCKS_ONLY, header_block).select(
         "_note_file", F.col("_pos").alias("_found"), F.transform_values("fields", lambda _, v: display_text(v)).alias("_shown")
     )
-    prints = blocks.join(name_sets, "_note_file").select(
-        "_note_file", "_names", "_found", _fingerprint(F.col("_shown"), F.col("_names")).alias("_print")
-    )
-    # The names are part of the hash.  Grouping by them too makes the join shuffle both
-    # sides by its own keys, so that Spark can split a key that very many records share.
-    first = prints.groupBy("_note_file", "_names", "_print").agg(F.min("_found").alias("_found")).drop("_names")
+    first = _first_matches(asked, blocks)
     located = wanted.join(first, ["_note_file", "_print"], "left")
     return located.select(*[F.col("_found").alias("_pos") if c == "_pos" else c for c in records.columns],
                           *(() if "_pos" in records.columns else (F.col("_found").alias("_pos"),)))
 
 
-def _fingerprint(values: Column, names: Column) -> Column:
-    """Hash of names and values in order; a missing value counts as empty text."""
-    pairs = F.transform(names, lambda n: F.struct(n.alias("n"), F.coalesce(values[n], F.lit("")).alias("v")))
-    return F.when(F.size(names) > 0, F.sha2(F.to_json(pairs), 256))
+def _first_matches(asked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``_note_file, _print, _found``: the first block that holds every tested value.
+
+    An empty value is met by a block without the field too, so blocks cannot be looked up by it: records that test nothing
+    else meet the blocks of their note by the names they test.
+    """
+    holds = F.forall("_tested", lambda t: F.coalesce(F.col("_shown")[t["key"]], F.lit("")) == t["value"])
+    pair = lambda name, value: F.xxhash64(name, value)
+    pairs = asked.select("_note_file", "_print", "_tested", F.explode(F.filter("_tested", lambda t: t["value"] != "")).alias("_t"))
+    pairs = pairs.select("_note_file", "_print", "_tested", pair(F.col("_t.key"), F.col("_t.value")).alias("_pair"))
+    held = blocks.select("_note_file", "_found", "_shown", F.explode(F.map_entries("_shown")).alias("_e"))
+    held = held.select("_note_file", "_found", "_shown", pair(F.col("_e.key"), F.col("_e.value")).alias("_pair"))
+    rarity = held.groupBy("_note_file", "_pair").agg(F.count(F.lit(1)).alias("_blocks"))
+    rated = pairs.join(rarity, ["_note_file", "_pair"], "left")
+    rarest = rated.groupBy("_note_file", "_print").agg(
+        F.min(F.struct(F.coalesce("_blocks", F.lit(0)).alias("n"), F.col("_pair").alias("pair"))).alias("_best"), F.first("_tested").alias("_tested")
+    )
+    rarest = rarest.filter(F.col("_best.n") > 0).select("_note_file", "_print", "_tested", F.col("_best.pair").alias("_pair"))
+    met = rarest.join(held, ["_note_file", "_pair"]).filter(holds).select("_note_file", "_print", "_found")
+    names = F.array_sort(F.transform("_tested", lambda t: t["key"]))
+    empty = asked.filter(F.forall("_tested", lambda t: t["value"] == "")).withColumn("_names", names)
+    sets = empty.select("_note_file", "_names").distinct()
+    none = blocks.join(sets, "_note_file").filter(F.forall("_names", lambda n: F.coalesce(F.col("_shown")[n], F.lit("")) == ""))
+    none = none.groupBy("_note_file", "_names").agg(F.min("_found").alias("_found"))
+    of_empty = empty.join(none, ["_note_file", "_names"]).select("_note_file", "_print", "_found")
+    return met.unionByName(of_empty).groupBy("_note_file", "_print").agg(F.min("_found").alias("_found"))
 
 
 def compact_digest(corpus: DataFrame, tasks_heading: str = "Tasks", header_block: bool = False) -> DataFrame:

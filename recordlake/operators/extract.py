@@ -9,7 +9,7 @@ from recordlake.functions.barrier import computed_once
 from recordlake.functions.patterns import BLANK_FIRST_LINE, FENCE, HEADER_BLOCK
 from recordlake.functions.text import is_note, source_type
 from recordlake.functions.values import is_null
-from recordlake.functions.yaml_fields import header_to_json, json_fields, with_yaml_fields
+from recordlake.functions.yaml_fields import header_to_json, json_fields, with_yaml_fields, yaml_error
 from recordlake.operators.sections import explode_sections
 
 ALL, FRONTMATTER, BLOCKS_ONLY = "all", "frontmatter", "blocks_only"
@@ -100,6 +100,21 @@ def extract_records(
     )
 
 
+def bad_blocks(corpus: DataFrame, header_block: bool = False) -> DataFrame:
+    """``_note_file, _pos, error, text``: frontmatter (at -1) and blocks that ``extract_records`` gets no field from because they are no
+    valid YAML mapping, repeat a key, or are nested too deep."""
+    notes = with_frontmatter(corpus.filter(is_note(F.col("_note_file"))), header_block)
+    front = F.col("_frontmatter")
+    if header_block:  # a header block that is no YAML is read as lines of text
+        front = F.when(F.col("_is_header"), "").otherwise(front)
+    blocks = F.regexp_extract_all("_body", F.lit(FENCE), F.lit(1))
+    parts = F.concat(F.array(front), blocks)
+    each = notes.select("_note_file", F.posexplode(parts).alias("_at", "text"))
+    each = each.withColumn("error", yaml_error(F.col("text")))
+    each = each.select("_note_file", (F.col("_at") + FRONTMATTER_POSITION).cast("long").alias("_pos"), "error", "text")
+    return each.filter(F.col("error").isNotNull())
+
+
 def overlay(upper: Column, lower: Column, fill_nulls: bool = False) -> Column:
     """Both maps in one; keys of ``upper`` win (or only its non-null values do)."""
 

@@ -56,6 +56,20 @@ def first_per_key(records: DataFrame, keys: Sequence[str]) -> DataFrame:
     return records.groupBy(*keys).agg(first).select(*keys, "_row.*")
 
 
+def merge_names(keys: Sequence[str]) -> list[str]:
+    return [f"_merge_{i}" for i in range(len(keys))]
+
+
+def with_merge_keys(records: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Records with the text form of their keys."""
+    found = {n: text_form(F.col("fields")[k]) for k, n in zip(keys, merge_names(keys))}
+    return records.select(*RECORD_COLUMNS).withColumns(found)
+
+
+def has_all(names: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
+
+
 def merge_layers(
     annotations: DataFrame,
     index: DataFrame,
@@ -69,12 +83,13 @@ def merge_layers(
     records of one key the first is used.  A record that lacks a key meets nothing and is
     kept as it is.
 
+    Annotations of a key with ``hot_key_rows`` or more are dealt over as many tasks as they fill.
     ``annotations`` is read twice; pass stored records when it is costly to compute.
     """
-    names = [f"_merge_{i}" for i in range(len(keys))]
-    annotations = _with_keys(annotations, keys, names)
-    index = _with_keys(index, keys, names)
-    complete = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
+    names = merge_names(keys)
+    annotations = with_merge_keys(annotations, keys)
+    index = with_merge_keys(index, keys)
+    complete = has_all(names)
 
     per_key = annotations.filter(complete).groupBy(*names).agg(F.count(F.lit(1)).alias("rows"))
     hot = hot_keys(per_key, names, hot_key_rows)
@@ -94,8 +109,3 @@ def merge_layers(
     # shuffles it once.
     alone = unique.join(per_key.filter(F.col("rows") > 0), names, "left_anti")
     return union_layers(merged, alone, index.filter(~complete))
-
-
-def _with_keys(records: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    found = {n: text_form(F.col("fields")[k]) for k, n in zip(keys, names)}
-    return records.select(*RECORD_COLUMNS).withColumns(found)

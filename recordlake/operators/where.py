@@ -4,8 +4,9 @@ import datetime
 import re
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, ArithmeticException, DateTimeException, NumberFormatException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, NumericType, StringType, VariantType
@@ -76,8 +77,9 @@ def sql_where(table: DataFrame, clause: str, on_error: str = "raise") -> DataFra
     ``"x"`` is a column, ``'x'`` a text in which backslashes stand for themselves; only a
     ``LIKE`` pattern still takes a backslash as its escape character.
 
-    With ``on_error="passthrough"`` the result is ``(rows, message)``; a clause that
-    does not analyse leaves the rows unfiltered.
+    With ``on_error="passthrough"`` the result is ``(rows, message)``; a clause that does not analyse leaves the rows unfiltered, and
+    so does one that compares text with a number, a date or a boolean where a text is none.  Only such a clause is tried on
+    the data beforehand, by a job that reads the columns it names.
     """
     if on_error not in ("raise", "passthrough"):
         raise ValueError(f"on_error: {on_error!r}")
@@ -86,13 +88,22 @@ def sql_where(table: DataFrame, clause: str, on_error: str = "raise") -> DataFra
     if clause.strip():
         try:
             result = _select_where(table, clause)
-        except AnalysisException as error:  # ParseException is one of them
+            if on_error == "passthrough" and _casts_text(result):
+                result.agg(F.count(F.lit(1))).collect()
+        except (AnalysisException, NumberFormatException, DateTimeException, ArithmeticException) as error:  # ParseException is an AnalysisException
             if on_error == "raise":
                 raise
-            message = "SQL: " + str(error).strip().splitlines()[0]
+            result, message = table, "SQL: " + str(error).strip().splitlines()[0]
     return (result, message) if on_error == "passthrough" else result
 
 
+def _casts_text(rows: DataFrame) -> bool:
+    """Whether the analysed clause turns text columns into other types, which can fail on the data."""
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    conditions = [line for line in plan.splitlines() if re.match(r"[\s:+-]*(Filter|Sort) ", line)]
+    return any(re.search(r"cast\(.* as (tinyint|smallint|int|bigint|float|double|decimal\([0-9,]+\)|date|timestamp|timestamp_ntz|boolean)\)", c) for c in conditions)
+
+
 def _select_where(table: DataFrame, clause: str) -> DataFrame:
     spark = table.sparkSession
     view = "records_" + uuid.uuid4().hex
@@ -134,6 +145,26 @@ def where_field(table: DataFrame, field: str, op: str, value: str = "") -> Colum
     return comparisons[op]
 
 
+def where_form(table: DataFrame, conditions: Sequence[tuple[str, str, str]]) -> Column | None:
+    """All conditions of a form at once; incomplete lines are left out.  None when no line is complete."""
+    complete = [c for c in conditions if is_complete(*c)]
+    return reduce(lambda a, b: a & b, [where_field(table, *c) for c in complete]) if complete else None
+
+
+def is_complete(field: str, op: str, value: str = "") -> bool:
+    """Whether a line of a form says enough to be a condition."""
+    op = re.sub(r"\s+", " ", op.strip().upper())
+    items = [part for part in value.split(",") if part.strip()] if op == "IN" else [value] if value.strip() else []
+    return bool(field.strip()) and op in OPERATORS and (op in ("IS NULL", "IS NOT NULL") or bool(items))
+
+
+def combine(*clauses: str) -> str:
+    """SQL clauses joined by AND, each in its own parentheses; blank ones are left out."""
+    given = [c.strip() for c in clauses if c.strip()]
+    # a line end keeps a comment at the end of a clause from swallowing its parenthesis
+    return given[0] if len(given) == 1 else " AND ".join(f"({c}\n)" for c in given)
+
+
 def _resolved(table: DataFrame, field: str) -> tuple[Column, DataType]:
     """Column and type of a field; as in SQL, case counts only where names differ by nothing else."""
     found = [f for f in table.schema if f.name == field] or [f for f in table.schema if f.name.lower() == field.lower()]

@@ -1,16 +1,15 @@
 """Session settings."""
 
+from collections.abc import Mapping
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
-# Helpful for corpora of many small files: they cost little to open, so pack more per task.  In JSON objects the last of
-# equal keys counts; without this setting such lines hold no object.
+# Helpful for corpora of many small files: they cost little to open, so pack more per task.
 CORPUS_CONF = {
     "spark.sql.files.openCostInBytes": str(64 * 1024),
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 _CLAUSE_DIALECT = {
@@ -20,14 +19,11 @@ _CLAUSE_DIALECT = {
 
 
 @contextmanager
-def clause_dialect(spark: SparkSession):
-    """While inside, ``"x"`` is a column in the text of a clause.
-
-    Only parsing and analysis happen inside; the caller's settings are put back.
-    """
-    before = {name: spark.conf.get(name, None) for name in _CLAUSE_DIALECT}
+def settings(spark: SparkSession, values: Mapping[str, str]):
+    """While inside, these settings hold; the caller's are put back."""
+    before = {name: spark.conf.get(name, None) for name in values}
     try:
-        for name, value in _CLAUSE_DIALECT.items():
+        for name, value in values.items():
             spark.conf.set(name, value)
         yield
     finally:
@@ -36,3 +32,18 @@ def clause_dialect(spark: SparkSession):
                 spark.conf.unset(name)
             else:
                 spark.conf.set(name, value)
+
+
+def clause_dialect(spark: SparkSession):
+    """While inside, ``"x"`` is a column in the text of a clause."""
+    return settings(spark, _CLAUSE_DIALECT)
+
+
+def last_key_wins(spark: SparkSession) -> None:
+    """Of equal keys of a JSON object the last counts, unless the session says otherwise.
+
+    Spark reads the setting again whenever it copies a plan, so it is set for the session and not only around an expression.
+    """
+    name = "spark.sql.variant.allowDuplicateKeys"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, "true")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recordlake.functions.barrier import computed_once
 from recordlake.functions.yaml_fields import json_fields
+from recordlake.session import last_key_wins
 from recordlake.sources.notes import plain_path
 
 
@@ -37,13 +38,15 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def bad_lines(lines: DataFrame) -> DataFrame:
     """The lines, not blank, that ``parse_jsonl`` leaves out."""
     lines = lines.filter(F.length(F.trim(F.col("line"), F.lit(" \t\r"))) > 0)
+    last_key_wins(lines.sparkSession)
     return lines.filter(json_fields(F.col("line")).isNull()).select("_note_file", "_pos", "line")
 
 
 def parse_jsonl(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """Records from a table ``(_note_file, _pos, line)`` of JSON texts."""
+    """Records from a table ``(_note_file, _pos, line)`` of JSON texts.  Of equal keys in an object the last counts."""
     lines = lines.filter(F.length(F.trim(F.col("line"), F.lit(" \t\r"))) > 0)
     fields = _strict_fields(F.col("line")) if strict else json_fields(F.col("line"))
+    last_key_wins(lines.sparkSession)
     return computed_once(lines, "fields", fields).filter(F.col("fields").isNotNull()).select(
         "_note_file",
         F.lit("jsonl").alias("_source_type"),

@@ -6,15 +6,28 @@ scan.  Extraction keeps no state.
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from recordlake.operators.extract import extract_records
-from recordlake.operators.layers import explode_field, merge_layers
+from recordlake.functions.barrier import computed_once
+from recordlake.operators.extract import RECORD_COLUMNS, extract_records, overlay
+from recordlake.operators.layers import MERGE_KEYS, explode_field, first_per_key, has_all, merge_names, union_layers, with_merge_keys
 from recordlake.operators.presets import apply_presets
 from recordlake.plans.query import BINDER_FIELD
 from recordlake.sources.notes import stream_corpus
-from recordlake.sources.store import HOT_KEYS, key_columns, write_records
+from recordlake.sources.store import HOT_KEYS, key_columns
+
+
+INDEX_PARTS = 64
+
+
+def key_part(names: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(INDEX_PARTS)).cast("int")
+
+
+def complete_keys(records: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return with_merge_keys(records, keys).filter(has_all(merge_names(keys)))
 
 
 def stream_records(
@@ -30,17 +43,53 @@ def start_ingest(records: DataFrame, store: str, checkpoint: str, keys: Sequence
     return writer.option("path", store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def start_merged_ingest(records: DataFrame, index: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Store every batch of annotations, back-filled from a stored index.
+def store_index(index: DataFrame, path: str, keys: Sequence[str] = MERGE_KEYS) -> None:
+    """Write the first index record of every key, exploded and de-duplicated once, for all batches to come.
+
+    Files are partitioned by a hash of the key, so that a batch reads only the parts its keys fall into.
+    """
+    names = merge_names(keys)
+    unique = first_per_key(complete_keys(explode_field(index, BINDER_FIELD), keys), names)
+    unique.withColumn("_part", key_part(names)).repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(path)
+
+
+def merge_batch(batch: DataFrame, index_path: str, keys: Sequence[str] = MERGE_KEYS) -> DataFrame:
+    """Annotations of a batch, back-filled from a stored index: record columns, their keys, and whether an index record was found."""
+    names = merge_names(keys)
+    rows = with_merge_keys(explode_field(batch, BINDER_FIELD), keys).withColumn("_part", key_part(names))
+    index = batch.sparkSession.read.parquet(index_path).select(*names, "_part", F.col("fields").alias("_index_fields"))
+    joined = rows.join(index, [*names, "_part"], "left")
+    merged = computed_once(joined, "fields", overlay(F.col("fields"), F.col("_index_fields"), fill_nulls=True))
+    return merged.select(*RECORD_COLUMNS, *names, F.col("_index_fields").isNotNull().alias("_filled"))
+
+
+def start_merged_ingest(records: DataFrame, index_path: str, store: str, checkpoint: str, keys: Sequence[str] = MERGE_KEYS) -> StreamingQuery:
+    """Store every batch of annotations, back-filled from an index that ``store_index`` wrote.
 
-    Index records without an annotation belong to a batch scan; they are not stored here.
+    A batch is a directory: repeated, it overwrites its own rows.  ``merged_records`` adds what the index brings later.
     """
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
-        merged = merge_layers(explode_field(batch, BINDER_FIELD), explode_field(index, BINDER_FIELD))
-        # A directory per batch: a repeated batch overwrites its own rows.
-        write_records(merged.filter("_layer = 'annotation'"), f"{store}/batch={batch_id}")
+        write_batch(batch, batch_id, index_path, store, keys)
+
+    return records.writeStream.foreachBatch(store_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_batch(batch: DataFrame, batch_id: int, index_path: str, store: str, keys: Sequence[str] = MERGE_KEYS) -> None:
+    merge_batch(batch, index_path, keys).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
 
-    return records.writeStream.foreachBatch(store_batch).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True
-    ).start()
+def merged_records(spark: SparkSession, store: str, index: DataFrame, keys: Sequence[str] = MERGE_KEYS) -> DataFrame:
+    """What ``merge_layers`` gives for all batches and the whole index: rows that found no index record in their batch are
+    filled from the index as it is now, and its records without an annotation are added."""
+    names = merge_names(keys)
+    rows = spark.read.parquet(store).select(*RECORD_COLUMNS, *names, "_filled")
+    index = with_merge_keys(explode_field(index, BINDER_FIELD), keys)
+    complete = has_all(names)
+    unique = first_per_key(index.filter(complete), names)
+    # rows that were filled, or can never be, need no second look
+    open_rows, done = rows.filter(~F.col("_filled") & complete), rows.filter(F.col("_filled") | ~complete)
+    late = open_rows.join(unique.select(*names, F.col("fields").alias("_index_fields")), names, "left")
+    late = computed_once(late, "fields", overlay(F.col("fields"), F.col("_index_fields"), fill_nulls=True))
+    alone = unique.join(rows.filter(complete).select(*names).distinct(), names, "left_anti")
+    return union_layers(done, late, alone, index.filter(~complete))

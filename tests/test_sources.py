@@ -1,12 +1,15 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import recordlake as rl
-from recordlake.sources.notes import absolute_root
-from recordlake.sources.store import as_json_lines
-from recordlake.streaming.ingest import start_ingest, start_merged_ingest, stream_records
+from recordlake.operators.fulltext import matching_notes
+from recordlake.operators.profile import collect_profile
+from recordlake.sources.notes import absolute_root, within_depth
+from recordlake.sources.store import as_json_lines, write_profile
+from recordlake.streaming.ingest import merged_records, start_ingest, start_merged_ingest, store_index, stream_records, write_batch
 from tests.conftest import as_dicts
 
 
@@ -14,12 +17,12 @@ from tests.conftest import as_dicts
 def tree(tmp_path):
     root = tmp_path / "notes dir"
     for name, text in {
-        "a.md": "---\ntitle: startup probe\nstatus: active\n---\nBody\n",
+        "a.md": "---\ntitle: river survey\nstatus: active\n---\nBody\n",
         "sub/b +100%.md": "```yaml\nid: 1\nbinder: [x, y]\nstatus: done\n```\n",
         "sub/deep/c.TYP": "```yaml\nid: 2\n```\n",
         "sub/deep/noext": "---\nk: v\n---\n",
         "d.txt": "---\nno: 1\n---\n",
-        "collections/inbox.jsonl": '{"id": 1, "binder": ["x", "z"], "kind": "pdf"}\n\n  \nnot json\n[1]\n{"id": 9, "t": "l\\u00e4"}\r\n',
+        "collections/ledger.jsonl": '{"id": 1, "binder": ["x", "z"], "kind": "pdf"}\n\n  \nnot json\n[1]\n{"id": 9, "t": "l\\u00e4"}\r\n',
         "collections/other.txt": "{}",
     }.items():
         path = root / name
@@ -39,21 +42,21 @@ def test_read_corpus(spark, tree):
     assert names(rl.read_corpus(spark, str(tree), depth=0)) == ["a.md"]
     assert names(rl.read_corpus(spark, str(tree) + "/", depth=1)) == ["a.md", "sub/b +100%.md"]
     assert names(rl.read_corpus(spark, f"file://{tree}", depth=0)) == ["a.md"]
-    probe = rl.apply_presets(rl.extract_records(corpus), ["title=startup probe"])
-    assert as_dicts(probe) == [{"title": "startup probe", "status": "active"}]
+    probe = rl.apply_presets(rl.extract_records(corpus), ["title=river survey"])
+    assert as_dicts(probe) == [{"title": "river survey", "status": "active"}]
 
 
-def test_root_forms():
-    assert absolute_root("s3a://bucket/notes/") == "s3a://bucket/notes"
-    assert absolute_root("file:///a/b") == "/a/b" == absolute_root("/a/b/")
+def test_root_forms(spark):
+    assert absolute_root(spark, "s3a://bucket/notes/") == "s3a://bucket/notes"
+    assert absolute_root(spark, "file:///a/b") == "/a/b" == absolute_root(spark, "/a/b/")
 
 
 def test_jsonl(spark, tree):
-    index = rl.read_jsonl(spark, str(tree / "collections" / "inbox.jsonl"))
+    index = rl.read_jsonl(spark, str(tree / "collections" / "ledger.jsonl"))
     assert as_dicts(index) == [{"id": 1, "binder": ["x", "z"], "kind": "pdf"}, {"id": 9, "t": "lä"}]
     assert [(r["_pos"], r["_source_type"], r["_layer"]) for r in index.orderBy("_pos").collect()] == [(0, "jsonl", "index"), (5, "jsonl", "index")]
     with pytest.raises(Exception):
-        rl.read_jsonl(spark, str(tree / "collections" / "inbox.jsonl"), strict=True).collect()
+        rl.read_jsonl(spark, str(tree / "collections" / "ledger.jsonl"), strict=True).collect()
     good = tree / "good.jsonl"
     good.write_text('\n{"a": 1}\n\n{"a": 2}\n')
     assert as_dicts(rl.read_jsonl(spark, str(good), strict=True)) == [{"a": 1}, {"a": 2}]
@@ -106,11 +109,11 @@ def test_json_and_csv_output(spark, tree, tmp_path):
     records = rl.extract_records(rl.read_corpus(spark, str(tree), depth=0))
     rl.write_json_lines(records, str(tmp_path / "json"))
     lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "json")).collect()]
-    assert lines == [{"title": "startup probe", "status": "active", "_note_file": str(tree / "a.md")}]
+    assert lines == [{"title": "river survey", "status": "active", "_note_file": str(tree / "a.md")}]
     rl.write_json_lines(spark.sql("SELECT 1 AS a, CAST(NULL AS STRING) AS b"), str(tmp_path / "wide"))
     assert json.loads(spark.read.text(str(tmp_path / "wide")).first()["value"]) == {"a": 1, "b": None}
     rl.write_csv(rl.select_columns(records, ["title"]), str(tmp_path / "csv"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first()["title"] == "startup probe"
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first()["title"] == "river survey"
     back = as_json_lines(records).select(F.lit("x").alias("_note_file"), F.lit(0).alias("_pos"), F.col("value").alias("line"))
     assert as_dicts(rl.parse_jsonl(back)) == lines
 
@@ -126,9 +129,141 @@ def test_stream_equals_batch(spark, tree, tmp_path):
     assert {"id": 77} in as_dicts(rl.read_records(spark, str(tmp_path / "store")))
 
 
-def test_merged_stream(spark, tree, tmp_path):
-    index = rl.snapshot(rl.read_collections(spark, str(tree)), str(tmp_path / "index"))
-    stream = stream_records(spark, str(tree))
-    start_merged_ingest(stream, index, str(tmp_path / "merged"), str(tmp_path / "checkpoint")).awaitTermination(120)
-    got = [r for r in as_dicts(rl.read_records(spark, str(tmp_path / "merged"))) if r.get("id") == 1]
-    assert sorted((r["binder"], r.get("kind")) for r in got) == [("x", "pdf"), ("y", None)]
+def merged_text(df):
+    return sorted(json.dumps(r, sort_keys=True) for r in as_dicts(df))
+
+
+def test_merged_stream_equals_the_whole_merge(spark, corpus, records, tmp_path):
+    """Three batches, one of them replayed; half of the index comes after them."""
+    notes = [(f"/n/{i}.md", f"```yaml\nid: {i % 7}\nbinder: [x, y{i % 3}]\nown: {i}\nkind: ~\n```\n") for i in range(12)] + [("/n/none.md", "```yaml\nown: 99\n```\n")]
+    index = [{"id": i, "binder": ["x", "y1"], "kind": f"k{i}", "copy": c} for c in (0, 1) for i in range(9)] + [{"kind": "no key"}]
+    schema = "_note_file string, content string"
+    for part in range(3):
+        spark.createDataFrame(notes[part::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "notes"))
+    start, store = records(*index[:5], layer="index"), str(tmp_path / "merged")
+    store_index(start, str(tmp_path / "index"))
+    stream = rl.extract_records(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "notes")))
+    start_merged_ingest(stream, str(tmp_path / "index"), store, str(tmp_path / "checkpoint")).awaitTermination(120)
+    assert len([p for p in (tmp_path / "merged").iterdir() if p.name.startswith("batch=")]) == 3
+    again = spark.read.parquet(store).filter("batch = 1").select("_note_file").distinct()
+    batch = spark.createDataFrame(notes, schema).join(again, "_note_file", "left_semi")
+    write_batch(rl.extract_records(batch), 1, str(tmp_path / "index"), store)
+    whole = rl.build_records(spark.createDataFrame(notes, schema), records(*index, layer="index"))
+    assert merged_text(merged_records(spark, store, records(*index, layer="index"))) == merged_text(whole)
+    assert any('"kind": "k' in r for r in merged_text(spark.read.parquet(store).filter("_filled")))
+
+
+def test_typed_store_prunes_the_scan(spark, records, tmp_path):
+    rows = records(
+        {"status": "a", "n": 1, "day": "2026-01-05", "tags": ["x", "y"], "mix": 1, "o": {"k": 1}, "Case": "up", "case": "low", "a.b": 2.5, "t`k": True, "_m": "x"},
+        {"status": "b", "n": 2, "day": "2026-02-05", "tags": ["z"], "mix": "one", "f": 1}, {"status": "a", "n": 3, "f": 1.5, "none": None}, {"tags": []},
+    )
+    stored = rl.snapshot(rows, str(tmp_path / "s"))
+    assert as_dicts(stored) == as_dicts(rows)
+    assert rl.column_types(stored) == rl.column_types(rows)
+    plain, wide = rl.widen(rows), rl.widen(stored)
+    assert plain.dtypes == wide.dtypes
+    text = lambda df: sorted(str(r[:-1]) for r in df.select(*[F.col(f"`{c.replace('`', '``')}`").cast("string") if c != "o" else F.to_json(c) for c in df.columns], F.lit(0)).collect())
+    assert text(plain) == text(wide)
+    for clause in ("n > 1 AND day >= '2026-02-01'", "array_contains(tags, 'x')", "mix = 'one' OR \"a.b\" > 2"):
+        found = rl.sql_where(wide, clause).select("status", "n")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "fields" not in plan.split("ReadSchema:")[1].splitlines()[0], clause
+        assert sorted(map(str, found.collect())) == sorted(map(str, rl.sql_where(plain, clause).select("status", "n").collect())), clause
+    assert "EqualTo(_typed_status,a)" in rl.sql_where(wide, "status = 'a'")._jdf.queryExecution().executedPlan().toString()
+    for expression in ("status=a", "status!a", "day^2026-01", "n=2", "n!2", "tags=x", "mix~on", "mix=1", "none=x", "none!x", "absent=x", "absent!x", "t`k=true", "Case=up", "case=low", "o~k"):
+        assert as_dicts(rl.apply_presets(stored, [expression])) == as_dicts(rl.apply_presets(rows, [expression])), expression
+    narrow = rl.widen(rl.apply_presets(stored, ["status=a"])).select("n")
+    assert "fields" not in narrow._jdf.queryExecution().executedPlan().toString().split("ReadSchema:")[1].splitlines()[0]
+
+
+def test_stored_columns_do_not_answer_for_changed_fields(spark, records, tmp_path):
+    rows = records({"k": "x", "tags": ["a", "b"]}, {"k": 1})
+    stored = rl.snapshot(rows, str(tmp_path / "s"))
+    for change in (lambda r: rl.explode_field(r, "tags"), lambda r: rl.normalize_arrays(r, ["k"]), lambda r: rl.union_layers(r, records({"k": 2.5}, {"new": 1}))):
+        assert rl.column_types(change(stored)) == rl.column_types(change(rows))
+        for expression in ("tags=a", "k=x", "k=2.5", "new=1"):
+            assert as_dicts(rl.apply_presets(change(stored), [expression])) == as_dicts(rl.apply_presets(change(rows), [expression]))
+
+
+def test_few_typed_fields_change_no_result(spark, records, tmp_path):
+    rows = records(*[{"a": i, "b": str(i), **({"c": i / 2} if i % 2 else {})} for i in range(6)])
+    stored = rl.snapshot(rows, str(tmp_path / "s"), typed_fields=1)
+    assert [c for c in stored.columns if c.startswith("_typed_")] == ["_typed_a"]
+    assert sorted(map(str, rl.widen(stored).collect())) == sorted(map(str, rl.widen(rows).collect()))
+
+
+def test_profiles_of_appended_parts_are_merged(spark, records, tmp_path):
+    path = str(tmp_path / "s")
+    rl.snapshot(records({"k": 1, "day": "2026-01-01"}), path)
+    more = records({"k": 2.5, "day": "soon", "new": True})
+    rl.write_records(more, path, mode="append", types={"k": "bigint"})
+    write_profile(spark, collect_profile(more), path)
+    stored = rl.read_records(spark, path)
+    assert rl.column_types(stored) == {"day": "string", "k": "double", "new": "boolean"}
+    assert sorted(map(str, rl.widen(stored).select("k", "day", "new").collect())) == ["Row(k=1.0, day='2026-01-01', new=None)", "Row(k=2.5, day='soon', new=True)"]
+
+
+def test_refresh_equals_a_full_extraction(spark, corpus, tmp_path):
+    store = str(tmp_path / "r")
+    note = lambda i, v: (f"/n/{i}.md", f"---\nid: {i}\n---\n```yaml\nv: {v}\n```\n")
+    first = [note(i, 0) for i in range(10)] + [("/n/x.jsonl", "{}"), ("/n/bare.md", "no fields"), ("/n/null.md", None)]
+    second = [note(0, 0), note(1, 5), *[note(i, 0) for i in range(3, 9)], ("/n/moved.md", note(9, 0)[1]), ("/n/bare.md", "---\nid: 77\n---\n"), ("/n/null.md", "")]
+    third = [*second, note(2, 0)]
+    for texts, counts in ((first, (12, 0, 0)), (first, (0, 0, 0)), (second, (1, 2, 2)), (third, (1, 0, 0)), ([], (0, 0, 12)), (first, (12, 0, 0))):
+        now = corpus(*texts) if texts else corpus(("", "")).limit(0)
+        done = rl.refresh(spark, now, store)
+        assert (done["new"], done["edited"], done["deleted"]) == counts
+        assert merged_text(rl.current_records(spark, store)) == merged_text(rl.extract_records(now))
+    versions = spark.read.parquet(store + "/records").groupBy("version").agg(F.count_distinct("_note_file").alias("n")).collect()
+    assert {r["version"]: r["n"] for r in versions} == {1: 10, 3: 3, 4: 1, 6: 10}  # only what changed was extracted
+
+
+def test_a_refresh_that_died_is_repeated(spark, corpus, tmp_path):
+    store = str(tmp_path / "r")
+    rl.refresh(spark, corpus(("/n/a.md", "---\nk: 1\n---\n")), store)
+    half = rl.extract_records(corpus(("/n/a.md", "---\nk: 9\n---\n"), ("/n/b.md", "---\nk: 9\n---\n")))
+    half.write.parquet(f"{store}/records/version=2")  # records, but no manifest
+    assert as_dicts(rl.current_records(spark, store)) == [{"k": 1}]
+    assert rl.refresh(spark, corpus(("/n/a.md", "---\nk: 2\n---\n")), store)["edited"] == 1
+    assert as_dicts(rl.current_records(spark, store)) == [{"k": 2}]
+
+
+def test_indexed_full_text_equals_the_plain_search(spark, corpus, tmp_path):
+    own = random.Random(3)
+    word = lambda: "".join(own.choice("abÀéİß日🙂 ") for _ in range(own.randrange(1, 9)))
+    notes = [(f"/n/{i}.md", " ".join(word() for _ in range(own.randrange(12)))) for i in range(120)]
+    notes += [("/n/short.md", "a"), ("/n/two.typ", "Éa"), ("/n/empty.md", ""), ("/n/null.md", None), ("/n/x.jsonl", "ab a a"), ("/n/long.md", "x" * 50_000 + "needle")]
+    texts, path = corpus(*notes), str(tmp_path / "index")
+    rl.write_text_index(texts, path)
+    terms = ["a", "é", "É", "ab", "日🙂", " aé ", "abé", "ba a", "needle", "xneedle", "zzz", "z", "İ", notes[5][1][2:22], notes[9][1][1:5]]
+    for term in filter(str.strip, terms):
+        want = sorted(r[0] for r in matching_notes(texts, term).select("_note_file").collect())
+        for listed in (10_000, 2):
+            assert sorted(r[0] for r in rl.matching_notes_indexed(spark, path, term, listed).select("_note_file").collect()) == want, term
+    plan = rl.matching_notes_indexed(spark, path, "needle")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(note" in plan or "PushedFilters: [IsNotNull(note), EqualTo(note" in plan or "EqualTo(note" in plan
+    rows = rl.extract_records(corpus(("/n/long.md", "---\nk: 1\n---\n"), ("/n/two.typ", "---\nk: 2\n---\n")))
+    assert as_dicts(rl.filter_fulltext_indexed(rows, path, "NEEDLE")) == [{"k": 1}] and rl.filter_fulltext_indexed(rows, path, " ").count() == 2
+
+
+def test_depth_in_any_file_system(spark):
+    at = lambda path, root, depth: spark.createDataFrame([(path,)], "p string").filter(within_depth(F.col("p"), root, depth)).count()
+    assert at("hdfs://nn:8020/notes/a.md", "/notes", 0) == at("hdfs://nn:8020/notes/a.md", "hdfs://nn:8020/notes/", 0) == at("/notes/a.md", "/notes", 0) == 1
+    assert at("s3a://b/notes/x/a.md", "s3a://b/notes", 0) == 0 and at("s3a://b/notes/x/a.md", "s3a://b/notes", 1) == 1
+    with pytest.raises(Exception, match="not below"):
+        at("/other/a.md", "/notes", 3)
+    with pytest.raises(ValueError):
+        at("/notes/a.md", "/no*s", 0)
+
+
+def test_equal_keys_of_a_line(spark):
+    lines = spark.createDataFrame([("f", 0, '{"a":1,"a":2}'), ("f", 1, "[1]")], "_note_file string, _pos long, line string")
+    assert as_dicts(rl.parse_jsonl(lines)) == as_dicts(rl.parse_jsonl(lines.limit(1), strict=True)) == [{"a": 2}]
+    both = rl.parse_jsonl(lines).select("_pos").unionAll(rl.bad_lines(lines).select("_pos"))
+    assert sorted(r[0] for r in both.collect()) == [0, 1]
+    try:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "false")  # what the session says holds
+        assert rl.bad_lines(lines).count() == 2
+    finally:
+        spark.conf.unset("spark.sql.variant.allowDuplicateKeys")

@@ -185,4 +185,28 @@ def all_oracles() -> dict[str, str]:
             FROM {_TASKS}""",
         "task_counts": f"""SELECT count(*) FILTER (WHERE NOT {_CLOSED}) AS pending, count(*) FILTER (WHERE {_DONE}) AS done
             FROM {_TASKS}""",
+        "store_where": _lines("status = 'F' AND qty > 30 AND shipped > '1997-01-01'"),
+        "store_preset": _lines("status = 'O' AND flag IS DISTINCT FROM 'A' AND year(shipped) = 1996 AND line <= 2"),
+        "store_profile": f"SELECT key, present, non_null, column_type FROM {_MIXED_COUNTS} WHERE present > 0",
+        "where_named": _lines("status = 'F' AND qty > 30 AND shipped > '1997-01-01'"),
+        "where_bad_cast": f"SELECT order_id, status, true AS failed FROM {_LINES}",
+        "form_lines": _lines("qty > 40 AND status = 'O' AND (line = 1 OR line = 2) AND shipped < '1996-01-01'"),
+        "bad_blocks": "SELECT '/n/' || o_orderkey || '.md' AS note_file, CAST(1 AS BIGINT) AS pos FROM orders WHERE o_orderkey % 5 < 4",
+        "context_empty_block": f"""SELECT *, direct AS joined FROM (SELECT '/n/' || o_orderkey || '.md' AS note_file,
+            {_join(chr(45) * 3 + chr(10) + 'id: ', '$o_orderkey', chr(10) + '---' + chr(10) * 2 + '## Empty' + chr(10) * 2
+                   + '```yaml' + chr(10) + '```' + chr(10) + 'text')} AS direct FROM orders)""",
+        "jsonl_duplicate_keys": "SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS bad FROM orders",
+        "refresh_changed": f"""SELECT CASE WHEN order_id % 11 = 0 THEN replace(note_file, '/orders/', '/moved/') ELSE note_file END AS note_file, pos,
+            order_id, CASE WHEN order_id % 5 = 0 AND kind = 'payment' THEN 'refund' ELSE kind END AS kind, total, customer
+            FROM ({both}) WHERE order_id % 7 <> 0""",
+        "ingest_merged": f"""SELECT coalesce(a.note_file, {_COLLECTION}) AS note_file, coalesce(a.id, i.id) AS id,
+            coalesce(a.binder, i.binder) AS binder, i.name, coalesce(a.acctbal, i.acctbal) AS acctbal, a.status
+            FROM {_ANNOTATED} a FULL OUTER JOIN {_first_index('id, binder')} i ON a.id = i.id AND a.binder = i.binder""",
+        "fulltext_indexed": f"""SELECT term, doc_id AS doc FROM documents JOIN (VALUES ('q'), ('Zu'), ('ÉTI'), ('chars: 4'), ('in the the of and th')) v(term)
+            ON contains(lower({_PROSE}), lower(term))""",
+        "scan_files": "SELECT s_suppkey AS supplier, CAST(s_nationkey AS BIGINT) AS nation, s_acctbal AS balance FROM supplier",
+        "scan_collections": "SELECT c_custkey AS id, c_name AS name FROM customer",
+        "scan_tasks": f"""SELECT '/notes/talks/' || note || '.md:' || i AS location, status, {_DONE} AS done, {_CLOSED} AS closed
+            FROM {_TASKS}""",
+        "explicit_columns": f"SELECT who, CAST(id AS VARCHAR) AS id FROM {_MIXED}",
     }

@@ -1,17 +1,20 @@
 """The queries.  Each takes ``(spark, sf_dir)`` and returns a table of plain types."""
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import recordlake as rl
+from recordlake.functions.kinds import column_type
 from recordlake.operators import profile as profiles
 from recordlake.operators.skew import MIN_ROWS
 from recordlake.operators.tasks import is_closed, is_done
 from recordlake.sources.notes import within_depth
 from recordlake.sources.store import as_json_lines
+from recordlake.streaming.ingest import merged_records, store_index, write_batch
 from workload import tables as t
+from workload.files import scratch, write_text_files
 
 ORDER_TYPES = {
     "order_id": "bigint", "status": "string", "priority": "string", "odate": "date", "kind": "string",
@@ -249,6 +252,146 @@ def task_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.agg(F.count_if(~is_closed()).alias("pending"), F.count_if(is_done()).alias("done"))
 
 
+def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rl.snapshot(line_records(spark, sf_dir), scratch(spark, "records"))
+
+
+def store_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL on stored records: the scan reads typed columns only."""
+    clause = "status = 'F' AND qty > 30 AND shipped > '1997-01-01'"
+    return rl.query(stored_lines(spark, sf_dir), where=clause).rows.select(*LINE_COLUMNS)
+
+
+def store_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = rl.query(stored_lines(spark, sf_dir), {"open": ["status=O", "flag!A"], "old": ["shipped^1996"]}, where="line <= 2")
+    return result.rows.select(*LINE_COLUMNS)
+
+
+def store_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store knows of its fields, without reading its records."""
+    path = scratch(spark, "records")
+    rl.snapshot(rl.parse_jsonl(t.mixed_lines(spark, sf_dir)), path)
+    return rl.stored_profile(spark, path).select("key", "present", "non_null", column_type(F.col("flags")).alias("column_type"))
+
+
+def where_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the named fields are inferred."""
+    wide = rl.widen(line_records(spark, sf_dir), fields=LINE_COLUMNS)
+    return rl.sql_where(wide, "status = 'F' AND qty > 30 AND shipped > '1997-01-01'").select(*LINE_COLUMNS)
+
+
+def where_bad_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clause that fails on the data leaves all rows and says why."""
+    wide = rl.widen(line_records(spark, sf_dir), {"order_id": "bigint", "status": "string"})
+    rows, message = rl.sql_where(wide, "status > 1", on_error="passthrough")
+    return rows.select("order_id", "status", F.lit(message.startswith("SQL: ")).alias("failed"))
+
+
+def form_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A form with incomplete lines, and two clauses in one."""
+    wide = rl.widen(line_records(spark, sf_dir), t.LINE_TYPES)
+    given = [("qty", ">", "40"), ("flag", "IN", " , "), ("", "=", "x"), ("price", "<", ""), ("status", "=", "O"), ("kind", "is not null", "")]
+    clause = rl.combine("line = 1 OR line = 2  -- first lines", " ", "shipped < '1996-01-01'")
+    return rl.sql_where(wide.filter(rl.where_form(wide, given)), clause).select(*LINE_COLUMNS)
+
+
+def bad_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that give no fields: one of each kind in some notes."""
+    orders = t.table(spark, sf_dir, "orders")
+    kind = F.col("o_orderkey") % 5
+    bad = F.when(kind == 0, "a: 1\na: 2").when(kind == 1, "- just\n- a list").when(kind == 2, "a: [1, 2").when(kind == 3, F.concat(F.lit("a: "), F.repeat(F.lit("["), 3000), F.repeat(F.lit("]"), 3000))).otherwise("b: [1, {c: 2}]")
+    content = t.text("---\nid: ", "$o_orderkey", "\n---\n", t.FENCE_START, "ok: 1\n", t.FENCE_END, t.FENCE_START, bad, "\n", t.FENCE_END)
+    notes = orders.select(t.text("/n/", "$o_orderkey", ".md").alias("_note_file"), content.alias("content"))
+    return rl.bad_blocks(notes).select(F.col("_note_file").alias("note_file"), F.col("_pos").alias("pos"))
+
+
+def context_empty_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes with frontmatter and an empty block: both ways to their context agree."""
+    orders = t.table(spark, sf_dir, "orders")
+    content = t.text("---\nid: ", "$o_orderkey", "\n---\n# Top\n\n## Empty\n\n", t.FENCE_START, t.FENCE_END, "text\n")
+    notes = orders.select(t.text("/n/", "$o_orderkey", ".md").alias("_note_file"), content.alias("content"))
+    direct = rl.extract_with_context(notes).select("_note_file", F.col("context").alias("direct"))
+    joined = rl.attach_context(rl.extract_records(notes), notes).select("_note_file", F.col("context").alias("joined"))
+    return direct.join(joined, "_note_file").select(F.col("_note_file").alias("note_file"), "direct", "joined")
+
+
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of equal keys in a line the last counts; lines that hold no object are listed."""
+    line = F.when(F.col("o_orderkey") % 3 == 0, F.lit("[1]")).otherwise(t.text('{"id": 0, "id": ', "$o_orderkey", "}"))
+    lines = t.table(spark, sf_dir, "orders").select(F.lit("/n/c.jsonl").alias("_note_file"), F.col("o_orderkey").alias("_pos"), line.alias("line"))
+    good = rl.widen(rl.parse_jsonl(lines), {"id": "bigint"}).select("id", F.lit(False).alias("bad"))
+    return good.unionAll(rl.bad_lines(lines).select(F.col("_pos").alias("id"), F.lit(True).alias("bad")))
+
+
+def refresh_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after edits, deletions and renames, brought up to date without extracting the rest again."""
+    notes, store = t.order_notes(spark, sf_dir), scratch(spark, "followed")
+    rl.refresh(spark, notes, store)
+    order = F.regexp_extract("_note_file", "([0-9]+)[.]", 1).cast("long")
+    renamed = F.when(order % 11 == 0, F.replace("_note_file", F.lit("/orders/"), F.lit("/moved/"))).otherwise(F.col("_note_file"))
+    edited = F.when(order % 5 == 0, F.replace("content", F.lit("kind: payment"), F.lit("kind: refund"))).otherwise(F.col("content"))
+    rl.refresh(spark, notes.filter(order % 7 != 0).select(renamed.alias("_note_file"), edited.alias("content")), store)
+    return order_rows(rl.current_records(spark, store)).select("note_file", "pos", "order_id", "kind", "total", "customer")
+
+
+def ingest_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations that come in three batches, one of them twice; half of the index comes after them."""
+    path = scratch(spark, "merged")
+    annotations, index = t.annotation_notes(spark, sf_dir), rl.parse_jsonl(t.customer_lines(spark, sf_dir))
+    store_index(index.filter(F.col("_pos") % 2 == 0), f"{path}/index")
+    batch = F.pmod(F.xxhash64("_note_file"), F.lit(3))
+    for number in (0, 1, 2, 1):
+        write_batch(rl.extract_records(annotations.filter(batch == number)), number, f"{path}/index", f"{path}/store")
+    merged = merged_records(spark, f"{path}/store", index)
+    types = {"id": "bigint", "binder": "string", "name": "string", "acctbal": "double", "status": "string"}
+    return rl.widen(merged, types).select(F.col("_note_file").alias("note_file"), *types)
+
+
+def fulltext_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of one, two, three and twenty characters through the trigram index."""
+    path = scratch(spark, "grams")
+    rl.write_text_index(t.prose_notes(spark, sf_dir), path)
+    found = [
+        rl.matching_notes_indexed(spark, path, term).select(F.lit(term).alias("term"), F.regexp_extract("_note_file", "([0-9]+)[.]", 1).cast("long").alias("doc"))
+        for term in INDEXED_TERMS
+    ]
+    return reduce(DataFrame.unionAll, found)
+
+
+INDEXED_TERMS = ("q", "Zu", "ÉTI", "chars: 4", "in the the of and th")
+
+
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One note file per supplier, scanned from where it was written."""
+    path = scratch(spark, "notes")
+    note = t.text("---\nsupplier: ", "$s_suppkey", "\nnation: ", "$s_nationkey", "\n---\n", t.FENCE_START, "balance: ", "$s_acctbal", "\n", t.FENCE_END)
+    write_text_files(t.table(spark, sf_dir, "supplier").select(note.alias("value")), path, ".md", one_each=True)
+    records = rl.extract_records(rl.read_corpus(spark, path, depth=0))
+    return rl.widen(records, {"supplier": "bigint", "nation": "bigint", "balance": "double"}).select("supplier", "nation", "balance")
+
+
+def scan_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON-lines files found in the collections folder of a note tree."""
+    path = scratch(spark, "tree")
+    write_text_files(t.customer_lines(spark, sf_dir).select("line"), f"{path}/collections", ".jsonl")
+    return rl.widen(rl.read_collections(spark, path), {"id": "bigint", "name": "string"}).select("id", "name")
+
+
+def scan_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task index as JSON files, read back."""
+    path = scratch(spark, "tasks")
+    t.task_index(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    flat = rl.flatten_tasks(rl.read_task_index(spark, path, lines=True))
+    return flat.select(rl.task_location().alias("location"), "status", is_done().alias("done"), is_closed().alias("closed"))
+
+
+def explicit_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns in a given order: empty and unknown ones are left out, the rest within the width."""
+    records = rl.parse_jsonl(t.mixed_lines(spark, sf_dir))
+    columns, _ = rl.shown_columns(profiles.collect_profile(records), ["who", "ghost", "id", "nowhere", "amount"], budget=60, lead_width=20)
+    return rl.select_columns(records, columns, lead=False)
+
+
 def all_queries() -> dict:
     return {
         "extract_blocks": partial(extract, mode="all"),
@@ -310,4 +453,20 @@ def all_queries() -> dict:
         "tasks_search": partial(tasks, search="Ation"),
         "task_states": task_states,
         "task_counts": task_counts,
+        "store_where": store_where,
+        "store_preset": store_preset,
+        "store_profile": store_profile,
+        "where_named": where_named,
+        "where_bad_cast": where_bad_cast,
+        "form_lines": form_lines,
+        "bad_blocks": bad_blocks,
+        "context_empty_block": context_empty_block,
+        "jsonl_duplicate_keys": duplicate_keys,
+        "refresh_changed": refresh_changed,
+        "ingest_merged": ingest_merged,
+        "fulltext_indexed": fulltext_indexed,
+        "scan_files": scan_files,
+        "scan_collections": scan_collections,
+        "scan_tasks": scan_tasks,
+        "explicit_columns": explicit_columns,
     }
