@@ -42,7 +42,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
-    return bpe.digests(bpe.encode(docs), with_ids=True)
+    return bpe.round_trip(docs, with_ids=True)
 
 
 STAGES = [

@@ -15,7 +15,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
