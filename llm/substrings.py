@@ -1,13 +1,14 @@
 """Removal of repeated passages with a count-min prefilter.
 
-A window is ``WINDOW`` consecutive words of one document.  Pass one: every task sketches the windows of its documents in ``DEPTH`` rows of ``CELLS``
-saturating counters (0, 1, 2 or more, as two bit maps); a shuffle by cell blocks merges the tasks' sketches.  A merged count is never too small, so a
+A window is ``WINDOW`` consecutive words of one document.  Pass one: every task sketches the windows of its documents in ``DEPTH`` rows of
+saturating counters (0, 1, 2 or more): the cells of some windows at a time, sorted and cut into blocks; a shuffle by blocks merges them, one block in memory.  A merged count is never too small, so a
 window that occurs twice anywhere meets cells of 2 or more in every row.  Pass two groups exactly, by 96 bits of hash, only those windows: a task first
 settles repeats among its own documents and sends on just the smallest document of each window, so a window that a third of all
 documents hold is sent once a task.  Repeats come back as places in documents.
 
-The merged bit maps are broadcast compressed; their size is at most DEPTH * CELLS / 8 bytes whatever the corpus.  Beyond about CELLS windows the prefilter lets
-more and more windows through to the exact pass, which gives the same result at the cost of a larger shuffle.
+A row has about a cell for each byte of text, so that few unique windows share a cell, up to ``CELLS``, which bounds the merged bit maps (broadcast compressed, at most
+DEPTH * CELLS / 8 bytes).  Beyond about CELLS windows the prefilter lets more and more windows through to the exact pass, which gives the same result at the cost of a
+larger shuffle; a sketch for each part of the hash space would hash all texts once more for each part.
 
 Defined results: a null text has no words; texts of fewer than ``WINDOW`` words lose nothing; rows of equal doc_id take
 nothing from each other; rows without doc_id count as having the largest id.
@@ -16,7 +17,6 @@ Columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,19 +58,30 @@ def cells_of(hashes: np.ndarray, row: int, cells: int) -> np.ndarray:
 
 
 class BitMap:
-    def __init__(self, cells: int, raw: np.ndarray | None = None):
-        self.raw = np.zeros(cells // 8, np.uint8) if raw is None else raw
+    def __init__(self, cells: int):
+        self.raw = np.zeros(cells // 8, np.uint8)
 
     def has(self, cells: np.ndarray) -> np.ndarray:
         return self.raw[cells >> 3] >> (cells & 7).astype(np.uint8) & 1 != 0
 
-    def add(self, cells: np.ndarray) -> None:
-        """cells: ascending, without repeats."""
-        if not len(cells):
-            return
-        byte = cells >> 3
-        first = np.flatnonzero(np.concatenate(([True], byte[1:] != byte[:-1])))
-        self.raw[byte[first]] |= np.bitwise_or.reduceat(np.uint8(1) << (cells & 7).astype(np.uint8), first)
+
+def packed(places: np.ndarray, again: np.ndarray) -> bytes:
+    """Ascending places of one block and whether each was met more than once: steps by byte planes, compressed."""
+    import zstandard
+
+    steps = np.diff(places, prepend=0).astype("<u4")
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(len(places).to_bytes(4, "little") + planes.tobytes() + np.packbits(again).tobytes())
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    n = int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(raw, np.uint8, 4 * n, 4).reshape(4, n)
+    steps = np.ascontiguousarray(planes.T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.int64), np.unpackbits(np.frombuffer(raw, np.uint8, offset=4 + 4 * n), count=n).astype(bool)
 
 
 def split(text: str | None) -> list[bytes]:
@@ -84,21 +95,18 @@ def repeated_cells(docs: DataFrame, window: int, depth: int, cells: int) -> list
     block = min(BLOCK, cells)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = [BitMap(cells) for _ in range(depth)], [BitMap(cells) for _ in range(depth)]
+        """The cells of ``PENDING`` windows at a time, by block; nothing else is kept."""
         pending: list[np.ndarray] = []
 
-        def settle() -> None:
-            if not pending:
-                return
+        def settle() -> Iterator[pa.RecordBatch]:
             hashes = np.concatenate(pending)
             pending.clear()
             for row in range(depth):
-                at = np.sort(cells_of(hashes, row, cells))
-                first = np.concatenate(([True], at[1:] != at[:-1])) if len(at) else np.zeros(0, bool)
-                again, at = np.unique(at[~first]), at[first]
-                twice[row].add(again)
-                twice[row].add(at[once[row].has(at)])
-                once[row].add(at)
+                at, n = np.unique(cells_of(hashes, row, cells), return_counts=True)
+                edges = np.searchsorted(at, np.arange(0, cells + 1, block))
+                some = np.flatnonzero(edges[1:] > edges[:-1])
+                raw = [packed(at[edges[b] : edges[b + 1]] - b * block, n[edges[b] : edges[b + 1]] > 1) for b in some.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(raw), pa.int32()), pa.array(some.astype(np.int32)), pa.array(raw, pa.binary())], ["row", "block", "cells"])
 
         held = 0
         for batch in batches:
@@ -107,39 +115,36 @@ def repeated_cells(docs: DataFrame, window: int, depth: int, cells: int) -> list
                 pending.append(hashes)
                 held += len(hashes)
                 if held > PENDING:
-                    settle()
+                    yield from settle()
                     held = 0
-        settle()
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for row in range(depth):
-            for b in range(cells // block):
-                part = [m[row].raw[b * block // 8 : (b + 1) * block // 8] for m in (once, twice)]
-                if part[0].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([b], pa.int32()), pa.array([pack(part[0].tobytes())], pa.binary()), pa.array([pack(part[1].tobytes())], pa.binary())], ["row", "block", "once", "twice"])
+        if held:
+            yield from settle()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Streams over blocks in order; holds one block."""
-        now, once, twice = None, None, None
-        unpack = zstandard.ZstdDecompressor().decompress
+        import zstandard
+
+        now, once, twice = None, np.zeros(block, bool), np.zeros(block, bool)
         pack = zstandard.ZstdCompressor(level=1).compress
 
         def merged() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([pack(twice.tobytes())], pa.binary())], ["row", "block", "twice"])
+            raw = pack(np.packbits(twice, bitorder="little").tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([raw], pa.binary())], ["row", "block", "twice"])
 
         for batch in batches:
-            for row, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = np.frombuffer(unpack(x), np.uint8), np.frombuffer(unpack(y), np.uint8)
-                if now == (row, b):
-                    twice = twice | y | (once & x)
-                    once = once | x
-                else:
+            for row, b, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (row, b):
                     if now and twice.any():
                         yield merged()
-                    now, once, twice = (row, b), x, y
+                    now = (row, b)
+                    once[:], twice[:] = False, False
+                places, again = unpacked(raw)
+                twice[places] |= once[places] | again
+                once[places] = True
         if now and twice.any():
             yield merged()
 
-    sketches = docs.select("text").mapInArrow(sketch, "row int, block int, once binary, twice binary")
+    sketches = docs.select("text").mapInArrow(sketch, "row int, block int, cells binary")
     merged = sketches.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(merge, "row int, block int, twice binary")
     return [(r["row"], r["block"], bytes(r["twice"])) for r in merged.toLocalIterator()]  # at most DEPTH * CELLS / 8 bytes in all
 
@@ -173,14 +178,21 @@ def by_row(d: np.ndarray, t: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id (the largest for none) and 32 bits of the text's hash, which tell rows of equal id apart."""
-    of_text = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    """doc_id (the largest for none) and the text's hash, which tells rows of equal id apart."""
+    of_text = F.xxhash64("text")
     return docs.select(F.col("doc_id").cast("long").alias("own_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), of_text.alias("of_text"), "text")
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: int = CELLS) -> DataFrame:
+def cells_for(docs: DataFrame) -> int:
+    """A power of two, at least the bytes of all texts, between ``BLOCK`` and ``CELLS``."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return min(CELLS, max(BLOCK, 1 << size.bit_length()))
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: int | None = None) -> DataFrame:
     """doc_id, of_text, places (binary, little-endian unsigned 32-bit): windows of the document that also start in one with a smaller id; of windows that
     a document holds several times, one place may stand for all.  Several rows a document."""
+    cells = cells or cells_for(docs)
     held = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, window, depth, cells))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +225,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: in
                 at = np.flatnonzero(_estimated_repeated(maps, own, cells))
                 hashes.append(own[at])
                 ids.append(np.full(len(at), doc_id, np.int64))
-                texts.append(np.full(len(at), of_text, np.int32))
+                texts.append(np.full(len(at), of_text, np.int64))
                 places.append(at)
                 count += len(at)
                 if count > PENDING:
@@ -245,13 +257,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: in
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(raw, pa.binary())], ["doc_id", "of_text", "places"])
 
     rows = _keyed(docs).select("doc_id", "of_text", "text")
-    found = rows.mapInArrow(candidates, "key long, check long, doc_id long, of_text int, places binary")
+    found = rows.mapInArrow(candidates, "key long, check long, doc_id long, of_text long, places binary")
     deal = F.coalesce("key", F.xxhash64("doc_id", "of_text"))
     dealt = found.repartition(deal).sortWithinPartitions("key", F.shiftrightunsigned("check", 32), "doc_id")
-    return dealt.mapInArrow(grouped, "doc_id long, of_text int, places binary")
+    return dealt.mapInArrow(grouped, "doc_id long, of_text long, places binary")
 
 
-def remove(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: int = CELLS) -> DataFrame:
+def remove(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, cells: int | None = None) -> DataFrame:
     """doc_id, text (kept words joined by one space), n_words, n_removed."""
     docs = docs.select("doc_id", "text")
     places = repeats(docs, window, depth, cells).groupBy("doc_id", "of_text").agg(F.collect_list("places").alias("places"))
