@@ -79,7 +79,11 @@ def count_models(labelled: DataFrame, order: int = ORDER) -> tuple[DataFrame, Da
 def ratios(windows: DataFrame, grams: DataFrame, contexts: DataFrame, order: int = ORDER) -> DataFrame:
     """context, char, ratio (millionths): log p(accepted) - log p(rejected) of distinct windows."""
     each = windows.select("context", "char", F.explode(_suffixes(F.col("context"))).alias("end"))
-    each = each.join(grams.withColumnRenamed("context", "end"), ["end", "char"], "left").join(contexts.withColumnRenamed("context", "end"), "end", "left")
+    counts, known = contexts.withColumnRenamed("context", "end"), grams.join(contexts, "context").withColumnRenamed("context", "end")
+    met = each.join(known, ["end", "char"], "left")
+    # only pairs that no model has seen ask for their context alone, so that the empty context is no hot key
+    unseen = met.filter("na is null").select("context", "char", "end", "a", "r").join(counts, "end", "left")
+    each = met.filter("na is not null").unionByName(unseen)
     names = ["a", "na", "ta", "r", "nr", "tr"]
     at = F.length("end")
     wide = each.groupBy("context", "char").agg(*[F.coalesce(F.sum(F.when(at == k, F.col(c))), F.lit(0)).cast("double").alias(f"{c}{k}") for k in range(order + 1) for c in names])
