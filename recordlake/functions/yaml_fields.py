@@ -65,10 +65,17 @@ def with_yaml_fields(df: DataFrame, text: str, out: str) -> DataFrame:
     Text that is not a valid YAML mapping gives NULL.
     """
     flat, rest = f"{out}__flat", f"{out}__rest"
-    df = df.withColumn(flat, F.try_parse_json(flat_to_json(F.col(text))))
+    df = df.withColumn(flat, _flat_fields(F.col(text)))
     df = df.withColumn(rest, yaml_to_json(F.when(F.col(flat).isNull(), F.col(text))))
-    parsed = F.coalesce(F.col(flat), F.try_parse_json(F.col(rest)))
-    return df.withColumn(out, _as_map(parsed)).drop(flat, rest)
+    return df.withColumn(out, F.coalesce(F.col(flat), _as_map(F.try_parse_json(F.col(rest))))).drop(flat, rest)
+
+
+def _flat_fields(text: Column) -> Column:
+    """Fields of a block whose lines are all ``key: scalar``, each with a key of its own; NULL for any other."""
+    fields = _as_map(F.try_parse_json(flat_to_json(text)))
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + F.when(text == "", 0).otherwise(1)
+    # The session may let JSON objects repeat a key; a block may not.
+    return F.when(F.size(fields) == lines, fields)
 
 
 def json_fields(text: Column) -> Column:
@@ -78,7 +85,7 @@ def json_fields(text: Column) -> Column:
 
 def yaml_error(text: Column) -> Column:
     """Why a YAML text gives no fields; NULL for a text that does, or that is NULL."""
-    rest = F.when(F.try_parse_json(flat_to_json(text)).isNull(), text)
+    rest = F.when(_flat_fields(text).isNull(), text)
     too_large = F.when(rest.isNotNull() & _as_map(F.try_parse_json(yaml_to_json(rest))).isNull(), "nested too deep or too large")
     return F.coalesce(_yaml_errors(rest), too_large)
 

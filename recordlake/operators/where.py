@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException, ArithmeticException, DateTimeException, NumberFormatException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, NumericType, StringType, VariantType
@@ -21,6 +21,8 @@ from recordlake.sources.columns import stored_column, stored_flags
 METADATA = ("_note_file", "_source_type", "_layer", "_pos")
 # The operators of a condition.
 OPERATORS = ("=", "!=", "LIKE", ">", "<", ">=", "<=", "IS NULL", "IS NOT NULL", "IN")
+# Conditions of errors that values raise in a clause.
+_DATA_ERRORS = ("CAST_", "CANNOT_PARSE", "DATETIME_", "DIVIDE_BY_ZERO", "ARITHMETIC_OVERFLOW", "NUMERIC_", "INVALID_")
 _NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
 
 
@@ -90,8 +92,8 @@ def sql_where(table: DataFrame, clause: str, on_error: str = "raise") -> DataFra
             result = _select_where(table, clause)
             if on_error == "passthrough" and _casts_text(result):
                 result.agg(F.count(F.lit(1))).collect()
-        except (AnalysisException, NumberFormatException, DateTimeException, ArithmeticException) as error:  # ParseException is an AnalysisException
-            if on_error == "raise":
+        except PySparkException as error:  # an error of the clause, not of the cluster
+            if on_error == "raise" or not (isinstance(error, AnalysisException) or (error.getCondition() or "").startswith(_DATA_ERRORS)):
                 raise
             result, message = table, "SQL: " + str(error).strip().splitlines()[0]
     return (result, message) if on_error == "passthrough" else result

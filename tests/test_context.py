@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +117,39 @@ def test_copies_of_a_note_do_not_multiply_records(corpus):
     assert {r["context"] for r in with_context.collect()} == {r["context"] for r in rl.extract_with_context(notes).collect()}
     found = rl.locate_blocks(records.drop("_pos"), notes).groupBy("_pos").count().collect()
     assert {r["_pos"]: r["count"] for r in found} == {0: 6, 1: 6}
+
+
+def test_both_ways_to_a_context_agree(corpus):
+    """Empty blocks, blocks of comments or bad YAML, notes without blocks, without frontmatter and without either."""
+    fence = lambda text: f"```yaml\n{text}```\n"
+    parts = ["---\nk: 1\n---\n", "# A\ntext\n", fence(""), "## B\n", fence("id: 1\n"), fence("# only a comment\n"), "# C\n", fence("x: [\n")]
+    notes = corpus(*[(f"{n:03}.md", "".join(p for i, p in enumerate(parts) if n >> i & 1)) for n in range(1 << len(parts))])
+    records = rl.extract_records(notes)
+    direct = {(r["_note_file"], r["_pos"]): r["context"] for r in rl.extract_with_context(notes).collect()}
+    joined = {(r["_note_file"], r["_pos"]): r["context"] for r in rl.attach_context(records, notes).collect()}
+    assert len(direct) > 150 and joined == direct
+
+
+def test_blocks_are_found_by_their_rarest_value(corpus):
+    """Many blocks with common values; names that only some blocks have; values that are empty text."""
+    blocks = [{"a": i % 5, "b": i % 7, **({"c": "x"} if i % 3 else {}), **({"d": ""} if i % 4 == 0 else {})} for i in range(60)]
+    text = "".join("```yaml\n" + "".join(f"{k}: {v if v != '' else chr(34) * 2}\n" for k, v in b.items()) + "```\n" for b in blocks)
+    notes = corpus(("n.md", "---\nfm: 1\n---\n" + text), ("m.md", text))
+    records = rl.extract_records(notes)
+
+    def plain(tested):
+        return next(i for i, b in enumerate(blocks) if all(str(b.get(k, "")) == str(v) for k, v in tested.items()))
+
+    found = rl.locate_blocks(records.drop("_pos"), notes)
+    for r in found.select("_pos", F.to_json("fields").alias("j")).collect():
+        assert r["_pos"] == plain({k: v for k, v in json.loads(r["j"]).items() if k != "fm"})
+    other = spark_records(corpus, [("n.md", 'd: ""'), ("n.md", 'z: ""'), ("n.md", "a: 9"), ("n.md", "a: 1\nzz: 1"), ("x.md", "a: 1"), ("n.md", "fm: 1")])
+    got = {r["n"]: r["_pos"] for r in rl.locate_blocks(other, notes).select("_pos", F.variant_get(F.col("fields")["_order"], "$", "int").alias("n")).collect()}
+    assert got == {0: 0, 1: 0, 2: None, 3: None, 4: None, 5: None}
+
+
+def spark_records(corpus, rows):
+    """Records that claim to be from a note, in order."""
+    made = rl.extract_records(corpus(*[(f"{i}.md", f"---\n_order: {i}\n{t}\n---\n") for i, (_, t) in enumerate(rows)]))
+    source = F.create_map(*[F.lit(x) for i, (n, _) in enumerate(rows) for x in (f"{i}.md", n)])
+    return made.orderBy("_note_file").withColumn("_note_file", source[F.col("_note_file")])

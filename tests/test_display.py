@@ -5,42 +5,43 @@ import recordlake as rl
 from recordlake.operators.profile import MAX_COLUMNS, collect_profile
 from recordlake.operators import profile as profiles
 
-SAMPLE = [
-    {"title": "a", "status": "active", "_note_file": "/n/a.md", "ghost": None},
-    {"title": "b", "amount": 12, "_note_file": "/n/b.md"},
-    {"title": "c", "status": "done", "kind": "letter"},
+DIVES = [
+    {"crew": "north", "depth": 40, "_note_file": "/log/dive1.md", "buddy": None},
+    {"crew": "south", "depth": 12, "gas": "air", "_note_file": "/log/dive2.md"},
+    {"crew": "east", "depth": 33, "site": "wreck"},
+    {"crew": "west"},
 ]
 
 
 def test_profile(records):
-    rows = records(*SAMPLE, {"_hidden": 1})
+    rows = records(*DIVES, {"_hidden": 1})
     got = {r["key"]: (r["present"], r["non_null"], r["column_type"], r["fill_rate"]) for r in rl.column_profile(rows, rate=True).collect()}
-    assert got["title"] == (3, 3, "string", 0.75)
-    assert got["ghost"] == (1, 0, "string", 0.0)
-    assert got["amount"] == (1, 1, "bigint", 0.25)
-    assert sorted(r["key"] for r in rl.field_keys(rows).collect()) == ["amount", "ghost", "kind", "status", "title"]
+    assert got["crew"] == (4, 4, "string", 0.8)
+    assert got["buddy"] == (1, 0, "string", 0.0)
+    assert got["depth"] == (3, 3, "bigint", 0.6)
+    assert sorted(r["key"] for r in rl.field_keys(rows).collect()) == ["buddy", "crew", "depth", "gas", "site"]
 
 
 def test_shown_columns(records):
-    profile = collect_profile(records(*SAMPLE))
-    assert rl.shown_columns(profile) == (["amount", "kind", "status", "title"], 0)
-    assert rl.shown_columns(profile, ["status", "missing", "title", "ghost"]) == (["status", "title"], 0)
-    assert rl.shown_columns(profile, budget=45) == (["status", "title"], 2)
-    assert rl.shown_columns(profile, ["amount", "kind", "title"], budget=45) == (["amount", "kind"], 1)
-    assert rl.shown_columns(profile, budget=5)[0] == ["title"]
-    assert rl.shown_columns(profile, ["status"], override=["kind"]) == (["kind"], 0)
-    assert rl.shown_columns(profile, ["status"], override=[]) == (["status"], 0)
-    assert rl.shown_columns(profile, budget=45, lead_width=10)[0] == ["title"]
-    assert rl.shown_columns(profile, budget=45, widths={"title": 45, "status": 1})[0] == ["title"]
+    profile = collect_profile(records(*DIVES))
+    assert rl.shown_columns(profile) == (["crew", "depth", "gas", "site"], 0)
+    assert rl.shown_columns(profile, ["site", "nothing", "crew", "buddy"]) == (["site", "crew"], 0)
+    assert rl.shown_columns(profile, budget=41) == (["crew", "depth"], 2)
+    assert rl.shown_columns(profile, ["gas", "depth", "crew"], budget=59) == (["gas", "depth"], 1)
+    assert rl.shown_columns(profile, budget=7)[0] == ["crew"]
+    assert rl.shown_columns(profile, ["site"], override=["gas"]) == (["gas"], 0)
+    assert rl.shown_columns(profile, ["site"], override=[]) == (["site"], 0)
+    assert rl.shown_columns(profile, budget=41, lead_width=15)[0] == ["crew"]
+    assert rl.shown_columns(profile, budget=30, widths={"crew": 30, "depth": 2})[0] == ["crew"]
 
 
 def test_fitting_columns_agree(records):
-    profile = rl.column_profile(records(*SAMPLE))
+    profile = rl.column_profile(records(*DIVES))
     rows = collect_profile(profile)
-    for budget, widths in ((45, {}), (5, {}), (100, {"kind": 3}), (62, {"title": 1}), (0, {"kind": 1})):
+    for budget, widths in ((41, {}), (7, {}), (90, {"gas": 4}), (63, {"crew": 2}), (0, {"site": 1})):
         fit = sorted(r["key"] for r in profiles.fitting_columns(profile, budget, widths).collect())
         assert fit == rl.shown_columns(rows, budget=budget, widths=widths)[0]
-    assert [r["key"] for r in rl.top_columns(profile, 3).orderBy("rank").collect()] == ["title", "status", "amount"]
+    assert [r["key"] for r in rl.top_columns(profile, 3).orderBy("rank").collect()] == ["crew", "depth", "gas"]
 
 
 def test_profile_refuses_unbounded_width(spark):
@@ -54,9 +55,9 @@ def test_profile_refuses_unbounded_width(spark):
 @pytest.mark.parametrize(
     "value, cell",
     [
-        (None, ""), ("x", "x"), (42, "42"), (True, "true"), (["a", "b"], "[a b]"), ("line one\nline two", "line one line two"),
-        ("  keep  spaces ", "  keep  spaces "), (" a \n\t b ", "a b"), (1.5, "1.5"), ([1, None, True], "[1 <nil> true]"),
-        ({"b": 1, "a": "x"}, "map[a:x b:1]"), ([], "[]"), ("1.0", "1.0"),
+        (None, ""), ("plain", "plain"), (7, "7"), (False, "false"), (2.25, "2.25"), ("3.0", "3.0"), ([], "[]"),
+        (["p", "q", "r"], "[p q r]"), ([None, 2, False], "[<nil> 2 false]"), ({"z": 0, "k": "v"}, "map[k:v z:0]"),
+        ("first\n\n  second", "first second"), ("\tx\n y ", "x y"), (" two  blanks ", " two  blanks "),
     ],
 )
 def test_cell_text(records, value, cell):
@@ -64,9 +65,9 @@ def test_cell_text(records, value, cell):
 
 
 def test_select_columns(records):
-    rows = rl.select_columns(records(*SAMPLE), ["status", "nope"])
-    assert [tuple(r) for r in rows.orderBy("source").collect()][:2] == [("a.md", "active", ""), ("b.md", "", "")]
-    assert rl.select_columns(records(*SAMPLE), ["title"], lead=False).columns == ["title"]
+    rows = rl.select_columns(records(*DIVES), ["gas", "nope"])
+    assert [tuple(r) for r in rows.orderBy("source").collect()][:2] == [("dive1.md", "", ""), ("dive2.md", "air", "")]
+    assert rl.select_columns(records(*DIVES), ["crew"], lead=False).columns == ["crew"]
 
 
 @pytest.mark.parametrize("value, text", [(None, "None"), (True, "True"), (False, "False"), (5, "5.0"), (5.5, "5.5"), ("5", "5"), (1e300, "1.0E300")])
@@ -83,16 +84,16 @@ def test_record_form(records):
     assert records({"n": None}).select(rl.record_form(F.col("fields"))).first()[0] == "(empty record)"
 
 
-@pytest.mark.parametrize(
-    "dirty, clean",
-    [
-        ("plain text", "plain text"), ("soft\u00adhyphen", "softhyphen"), ("zero\u200bwidth\u200e", "zerowidth"), ("tab\there", "tab here"),
-        ("cr\r\nkept", "cr\nkept"), ("\x1b[31mred\x1b[0m", "\x1b[31mred\x1b[0m"), ("a\ufeffb\u2028c", "abc"), ("\x00\x85\u2064x\u00a0é", "x\u00a0é"),
-    ],
-)
-def test_sanitize(spark, dirty, clean):
-    df = spark.createDataFrame([(dirty,)], "t string")
-    assert df.select(rl.sanitize_text(F.col("t"))).first()[0] == clean
+KEPT = "as is", "bell-free ümläut", "\x1b[1mbold\x1b[22m", "wide\u3000blank", "two\nlines"
+DROPPED = [*range(0x00, 0x09), *range(0x0B, 0x1B), *range(0x1C, 0x20), *range(0x7F, 0xA0), 0xAD, 0xFEFF, *range(0x200B, 0x2010), *range(0x2028, 0x202F), *range(0x2060, 0x2065)]
+
+
+def test_sanitize(spark):
+    """Every invisible character goes, wherever it stands; a tab becomes a blank; everything else stays."""
+    pairs = [(t, t) for t in KEPT] + [(f"{chr(c)}le{chr(c)}ft{chr(c)}", "left") for c in DROPPED] + [("one\ttwo", "one two")]
+    pairs += [(f"a{chr(c)}b", f"a{chr(c)}b") for c in (0x1B, 0x0A, 0x20, 0xA0, 0x200A, 0x2010, 0x2027, 0x202F, 0x205F, 0x2065, 0xFEFE)]
+    got = spark.createDataFrame(pairs, "dirty string, clean string").withColumn("got", rl.sanitize_text(F.col("dirty")))
+    assert got.filter("got <> clean").collect() == []
 
 
 def test_paths(spark):

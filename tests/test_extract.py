@@ -16,8 +16,8 @@ from tests.conftest import as_dicts
 @pytest.mark.parametrize(
     "path, kind",
     [
-        ("/x/a.md", "markdown"), ("/x/a.markdown", "markdown"), ("/x/A.MD", "markdown"), ("/x.y/noext", "markdown"),
-        ("/x/a.typ", "typst"), ("/x/a.TYPST", "typst"), ("/x/i.jsonl", "jsonl"), ("/x/a.pdf", "other"), ("/x/a.md.txt", "other"),
+        ("log/dive.md", "markdown"), ("/v1.2/README", "markdown"), ("LOG.MARKDOWN", "markdown"), ("hdfs://h/q.Md", "markdown"),
+        ("/t/sheet.typst", "typst"), ("/t/SHEET.Typ", "typst"), ("deep/er/rows.JSONL", "jsonl"), ("/t/scan.png", "other"), ("/t/q.md.bak", "other"), ("/t/.md", "markdown"),
     ],
 )
 def test_source_type(spark, path, kind):
@@ -30,43 +30,43 @@ def front(df):
 
 def test_frontmatter(corpus):
     df = corpus(
-        ("a.md", "---\ntitle: X\nstatus: active\n---\n\nBody."),
-        ("b.md", "# Just a heading\n"),
-        ("c.md", "---\na: b---c\nd: e"),  # ends mid-line
-        ("d.md", "---\nopen: 1\n"),
-        ("e.md", "------rest"),
+        ("a.md", "---\nreef: outer\nvisits: 3\n---\nCoral."),
+        ("b.md", "plain text\n\n---\nrule: above\n---\n"),
+        ("c.md", "---\nx: 1---2\ny: 3"),  # ends mid-line
+        ("d.md", "---\nnever: closed\n"),
+        ("e.md", "------tail"),
         ("f.md", "----x"),
-        ("g.md", "---\na: [1\n---\nBody"),
+        ("g.md", "---\nlist: [1\n---\nCoral"),
     )
     got = front(rl.with_frontmatter(df))
-    assert got["a.md"] == ("title: X\nstatus: active", "\n\nBody.")
-    assert got["b.md"] == ("", "# Just a heading\n")
-    assert got["c.md"] == ("a: b", "c\nd: e")
-    assert got["d.md"] == ("", "---\nopen: 1\n")
-    assert got["e.md"] == ("", "rest")
+    assert got["a.md"] == ("reef: outer\nvisits: 3", "\nCoral.")
+    assert got["b.md"] == ("", "plain text\n\n---\nrule: above\n---\n")
+    assert got["c.md"] == ("x: 1", "2\ny: 3")
+    assert got["d.md"] == ("", "---\nnever: closed\n")
+    assert got["e.md"] == ("", "tail")
     assert got["f.md"] == ("", "----x")
-    assert got["g.md"] == ("a: [1", "\nBody")
+    assert got["g.md"] == ("list: [1", "\nCoral")
     keys = {r["_note_file"]: sorted(r["keys"]) for r in rl.frontmatter_keys(df).collect()}
-    assert keys["a.md"] == ["status", "title"] and keys["b.md"] == [] and keys["g.md"] == []
+    assert keys["a.md"] == ["reef", "visits"] and keys["b.md"] == [] and keys["g.md"] == []
 
 
 def test_header_block(corpus):
     df = corpus(
-        ("a.md", "Title: X\n\nBody."),
-        ("b.md", "Title: My Note\nThis is not a key line\n\nBody."),
-        ("c.md", "no header here\n"),
-        ("d.md", "---\nt: 1\n---\nTitle: X\n"),
-        ("e.md", "A b.c-d : 1\nNote: x: y\n"),
+        ("a.md", "Reef: outer\nVisits: 3\n\n \nCoral."),
+        ("b.md", "Reef: inner\nseen from the boat\n\nCoral."),
+        ("c.md", "only prose\n"),
+        ("d.md", "---\nt: 1\n---\nReef: outer\n"),
+        ("e.md", "Dive no.2-b : 7\nTime: 9:30\n"),
     )
     got = front(rl.with_frontmatter(df, header_block=True))
-    assert got["a.md"] == ("Title: X", "Body.")
-    assert got["b.md"] == ("Title: My Note", "This is not a key line\n\nBody.")
-    assert got["c.md"] == ("", "no header here\n")
-    assert got["d.md"] == ("t: 1", "\nTitle: X\n")
-    assert got["e.md"] == ("A b.c-d : 1\nNote: x: y", "")
-    assert front(rl.with_frontmatter(df))["a.md"] == ("", "Title: X\n\nBody.")
+    assert got["a.md"] == ("Reef: outer\nVisits: 3", " \nCoral.")
+    assert got["b.md"] == ("Reef: inner", "seen from the boat\n\nCoral.")
+    assert got["c.md"] == ("", "only prose\n")
+    assert got["d.md"] == ("t: 1", "\nReef: outer\n")
+    assert got["e.md"] == ("Dive no.2-b : 7\nTime: 9:30", "")
+    assert front(rl.with_frontmatter(df))["b.md"][0] == ""
     found = as_dicts(rl.extract_records(df, header_block=True))
-    assert found == [{"Title": "X"}, {"Title": "My Note"}, {"t": 1}, {"A b.c-d": "1", "Note": "x: y"}]
+    assert found == [{"Reef": "outer", "Visits": 3}, {"Reef": "inner"}, {"t": 1}, {"Dive no.2-b": 7, "Time": "9:30"}]
 
 
 NOTE = "---\ntitle: T\nstatus: fm\n---\n# H\n```yaml\nid: 1\nstatus: own\n```\ntext\n```yml  \nid: 2\nnull_field:\n```\n"
@@ -238,3 +238,20 @@ def test_spans():
         {"first": 3, "end": 7, "from_block": 2, "blocks": 2},
         {"first": 7, "end": 9, "from_block": 4, "blocks": 1},
     ]
+
+
+def test_blocks_without_fields_are_listed(corpus):
+    deep = "a: " + "[" * 3000 + "]" * 3000
+    block = lambda text: f"```yaml\n{text}\n```\n"
+    notes = corpus(
+        ("a.md", "---\n- a list\n---\n" + block("ok: 1") + block("k: 1\nk: 2") + block("x: [1") + block(deep)),
+        ("b.md", block("flat: text") + block("") + block("~") + block("just words") + block("n: {a: [1, {b: 2}]}")),
+        ("c.md", "---\n: : :\n  - x: [\n---\n"), ("d.jsonl", block("x: [1")), ("e.md", None), ("f.md", "Head: x: y\n\n" + block("{")),
+    )
+    got = {(r["_note_file"], r["_pos"]): r["error"] for r in rl.bad_blocks(notes).collect()}
+    assert sorted(got) == [("a.md", -1), ("a.md", 1), ("a.md", 2), ("a.md", 3), ("b.md", 3), ("c.md", -1), ("f.md", 0)], got
+    assert got["a.md", -1] == got["b.md", 3] == "no mapping" and got["a.md", 1] == "duplicate key" and "deep" in got["a.md", 3]
+    assert got["a.md", 2].startswith("invalid YAML: ")
+    kept = rl.extract_records(notes).count()
+    assert kept == 3  # one of a.md, two of b.md
+    assert [(r["_note_file"], r["_pos"]) for r in rl.bad_blocks(notes, header_block=True).filter("_note_file = 'f.md'").collect()] == [("f.md", 0)]

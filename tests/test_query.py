@@ -7,10 +7,10 @@ from recordlake.operators.presets import parse_preset
 from recordlake.operators.where import column_types
 from tests.conftest import as_dicts
 
-NOTES = [
-    {"_note_file": "/n/a.md", "status": "active", "amount": 50},
-    {"_note_file": "/n/b.md", "status": "done", "amount": 200},
-    {"_note_file": "/n/collections/inbox.jsonl", "status": "active", "amount": 999},
+PUMPS = [
+    {"_note_file": "/log/inlet.md", "state": "running", "litres": 75},
+    {"_note_file": "/log/outlet.md", "state": "stopped", "litres": 310},
+    {"_note_file": "/log/collections/spare.jsonl", "state": "running", "litres": 1200},
 ]
 
 
@@ -20,16 +20,16 @@ def files(df):
 
 @pytest.fixture
 def wide(records):
-    return rl.widen(records(*NOTES))
+    return rl.widen(records(*PUMPS))
 
 
 def test_where(wide):
     assert rl.sql_where(wide, "  ").count() == 3
-    assert files(rl.sql_where(wide, "status = 'active'")) == ["/n/a.md", "/n/collections/inbox.jsonl"]
-    assert rl.sql_where(wide, "amount > 100").count() == 2
-    assert files(rl.sql_where(wide, "_note_file LIKE '%a.md%'")) == ["/n/a.md"]
-    assert [r["amount"] for r in rl.sql_where(wide, "amount > 0 ORDER BY amount DESC").collect()] == [999, 200, 50]
-    assert rl.sql_where(wide.limit(0), "status = 'x'").count() == 0
+    assert files(rl.sql_where(wide, "state = 'running'")) == ["/log/collections/spare.jsonl", "/log/inlet.md"]
+    assert rl.sql_where(wide, "litres BETWEEN 76 AND 1199").count() == 1
+    assert files(rl.sql_where(wide, "_note_file LIKE '%let.md%'")) == ["/log/inlet.md", "/log/outlet.md"]
+    assert [r["litres"] for r in rl.sql_where(wide, "litres <> 310 ORDER BY litres DESC").collect()] == [1200, 75]
+    assert rl.sql_where(wide.limit(0), "state = 'x'").count() == 0
 
 
 def test_documented_clauses(records):
@@ -61,46 +61,63 @@ def test_clause_dialect(spark, records):
 
 
 def test_bad_clause(wide, records):
-    for clause in ("nonsense ===", "no_such_column = 1"):
+    for clause in ("((", "no_such_column = 1", "state > 1", "day(state) = 3", "state = true ORDER BY litres"):
         rows, message = rl.sql_where(wide, clause, on_error="passthrough")
-        assert rows.count() == 3 and message.startswith("SQL: ") and "\n" not in message
+        assert rows.count() == 3 and message.startswith("SQL: ") and "\n" not in message, clause
+    rows, message = rl.sql_where(wide, "litres > '100' AND state < 'stopped'", on_error="passthrough")
+    assert rows.count() == 1 and message == ""
     with pytest.raises(ParseException):
-        rl.sql_where(wide, "nonsense ===")
+        rl.sql_where(wide, "((")
     with pytest.raises(AnalysisException):
         rl.sql_where(wide, "no_such_column = 1")
-    result = rl.query(records(*NOTES), where="((", on_error="passthrough")
+    result = rl.query(records(*PUMPS), where="state >= 5", on_error="passthrough")
     assert result.error.startswith("SQL: ") and result.rows.count() == 3
 
 
 @pytest.mark.parametrize(
     "field, op, value, expected",
     [
-        ("status", "=", "active", ["a", "b"]), ("amount", "=", "450", ["a"]), ("amount", ">", "100", ["a", "c"]),
-        ("amount", "<", "450", ["b", "c"]), ("amount", ">=", "450", ["a"]), ("amount", "<=", "3.0", ["b"]),
-        ("title", "LIKE", "report", ["a"]), ("title", "LIKE", "re%t", ["a", "c"]), ("title", "like", "e_o", ["a", "b"]),
-        ("binder", "IS NULL", "", ["c"]), ("binder", "is not  null", "ignored", ["a", "b"]), ("binder", "IN", "a, b, 3", ["a", "b"]),
-        ("name", "=", "o'brien", ["b"]), ("my field", "=", "x", ["a"]), ("status", "!=", "active", ["c"]),
-        ("day", "=", "2026-01-02", ["a"]), ("day", "LIKE", "2026", ["a"]), ("flag", "=", "true", ["a"]), ("path", "LIKE", "a\\b", ["c"]),
+        ("crop", "=", "rye", ["p", "q"]), ("crop", "!=", "rye", ["r"]), ("yield", "=", "12", ["p"]), ("yield", ">", "11.75", ["p"]),
+        ("yield", "<", "12", ["q", "r"]), ("yield", ">=", "11.75", ["p", "r"]), ("yield", "<=", "-2", ["q"]), ("label", "LIKE", "late", ["p"]),
+        ("label", "LIKE", "l%e", ["p", "r"]), ("label", "like", "_ate%", ["p", "q"]), ("plot", "is null", "", ["r"]), ("plot", "IS  NOT NULL", "whatever", ["p", "q"]),
+        ("plot", "IN", "7, north ,,east", ["p", "q"]), ("owner", "=", "d'arc", ["q"]), ("sown by", "=", "hand", ["p"]),
+        ("day", ">", "2025-04", ["p"]), ("day", "LIKE", "2025", ["p"]), ("dry", "=", "FALSE", ["p"]), ("path", "LIKE", "c\\d", ["r"]),
     ],
 )
 def test_form(records, field, op, value, expected):
     wide = rl.widen(records(
-        {"k": "a", "status": "active", "amount": 450, "title": "report", "binder": "a", "my field": "x", "day": "2026-01-02", "flag": True},
-        {"k": "b", "status": "active", "amount": 3, "title": "Report x", "binder": "3", "name": "o'brien"},
-        {"k": "c", "status": "done", "amount": 449.5, "title": "ret", "path": "xa\\by"},
+        {"k": "p", "crop": "rye", "yield": 12, "label": "late", "plot": "north", "sown by": "hand", "day": "2025-04-30", "dry": False},
+        {"k": "q", "crop": "rye", "yield": -2, "label": "Mates", "plot": "7", "owner": "d'arc"},
+        {"k": "r", "crop": "oat", "yield": 11.75, "label": "little", "path": "c\\d"},
     ))
     chosen = wide.filter(rl.where_field(wide, field, op, value))
     assert sorted(r["k"] for r in chosen.collect()) == expected
 
 
-@pytest.mark.parametrize(
-    "field, op, value", [("", "=", "x"), ("status", "=", "  "), ("status", "bogus", "x"), ("status", "IN", " , "), ("amount", ">", "abc"), ("amount", "IN", "1, x")]
-)
+INCOMPLETE = [("", "<", "5"), ("state", "LIKE", " \t"), ("state", "like it", "x"), ("state", "in", ",,"), ("state", "", "x")]
+
+
+@pytest.mark.parametrize("field, op, value", [*INCOMPLETE, ("litres", "<", "many"), ("litres", "IN", "75, few")])
 def test_incomplete_form(wide, field, op, value):
     with pytest.raises(ValueError):
         rl.where_field(wide, field, op, value)
 
 
+def test_lines_of_a_form_are_combined(wide):
+    assert not any(rl.is_complete(*line) for line in INCOMPLETE)
+    assert rl.where_form(wide, INCOMPLETE) is None
+    chosen = wide.filter(rl.where_form(wide, [*INCOMPLETE, ("state", "=", "running"), ("litres", "<", "100")]))
+    assert files(chosen) == ["/log/inlet.md"]
+    with pytest.raises(ValueError):
+        rl.where_form(wide, [("litres", "<", "many")])  # complete, but wrong
+
+
+def test_clauses_are_combined(wide):
+    assert rl.combine("", "  ") == "" and rl.combine(" litres > 1 ", "") == "litres > 1"
+    both = rl.combine("state = 'stopped' OR litres = 75 -- either", "litres < 300")
+    assert files(rl.sql_where(wide, both)) == ["/log/inlet.md"]
+
+
 def test_presets_flatten():
     presets = {"a": ["x=1", "x2=1"], "b": ["y=2"], "c": ["z=3"]}
     assert rl.active_expressions(presets, []) == []
@@ -130,10 +147,10 @@ def test_presets(records):
 
 
 def test_filename(wide):
-    assert rl.filter_filename(wide, " inbox ").count() == 1
+    assert rl.filter_filename(wide, " spare ").count() == 1
     assert rl.filter_filename(wide, "").count() == 3
-    assert rl.filter_filename(wide, "n/_.md").count() == 2
-    assert rl.filter_filename(wide, "o'brien").count() == 0
+    assert rl.filter_filename(wide, "g/__let.md").count() == 1
+    assert rl.filter_filename(wide, "it's").count() == 0
     assert rl.filter_filename(wide, "\\").count() == 0
 
 
@@ -147,16 +164,16 @@ def test_fulltext(corpus, records):
 
 
 def test_query_order_and_counts(records, corpus):
-    rows = records(*NOTES)
-    texts = corpus(("/n/a.md", "nothing"), ("/n/b.md", "nothing"), ("/n/collections/inbox.jsonl", "needle"))
-    result = rl.query(rows, {"p": ["status=active"]}, where="amount >= 50", fulltext="NOTHING", corpus=texts)
-    assert files(result.rows) == ["/n/a.md"]
+    rows = records(*PUMPS)
+    texts = corpus(("/log/inlet.md", "dry bed"), ("/log/outlet.md", "dry bed"), ("/log/collections/spare.jsonl", "wet"))
+    result = rl.query(rows, {"p": ["state=running"]}, where="litres >= 75", fulltext="DRY", corpus=texts)
+    assert files(result.rows) == ["/log/inlet.md"]
     assert (result.structured_count, result.shown_count, result.error) == (2, 1, "")
-    assert files(rl.query(rows, {"p": ["status=active"]}, active=[]).rows) == sorted(r["_note_file"] for r in NOTES)
-    ordered = rl.query(rows, where="amount > 0 OR 1 = 0", filename=".md", order_by=[F.desc("amount")])
-    assert [r["amount"] for r in ordered.rows.collect()] == [200, 50]
+    assert files(rl.query(rows, {"p": ["state=running"]}, active=[]).rows) == sorted(r["_note_file"] for r in PUMPS)
+    ordered = rl.query(rows, where="litres > 0 OR 1 = 0", filename=".md", order_by=[F.desc("litres")])
+    assert [r["litres"] for r in ordered.rows.collect()] == [310, 75]
     # OR in the clause does not swallow the other channels.
-    assert files(rl.query(rows, where="status = 'done' OR status = 'active'", filename="b.md").rows) == ["/n/b.md"]
+    assert files(rl.query(rows, where="state = 'stopped' OR state = 'running'", filename="outlet").rows) == ["/log/outlet.md"]
     with pytest.raises(ValueError):
         rl.query(rows, fulltext="x")
 
@@ -181,6 +198,7 @@ def test_column_types(records):
         "nul": "string", "nested": "array<variant>", "e": "array<string>", "bad": "string",
     }
     assert column_types(rows, infer_dates=False)["d"] == "string"
+    assert column_types(rows, fields=["l", "d", "absent", "f"]) == {"absent": "string", "d": "date", "f": "double", "l": "array<variant>"}
     wide = rl.widen(rows)
     assert [r["mix"] for r in wide.orderBy("_pos").collect()] == ["1", "x", None]
     assert "_m" not in wide.columns
