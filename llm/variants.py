@@ -4,8 +4,8 @@ Letters are hashed to ``SYMBOLS`` symbols, so that words become reduced words ov
 reduced word (itself, deletions, replacements, insertions: ``(2 * SYMBOLS + 1)`` a letter at most) is generated and joined with the reduced vocabulary: words that
 are one edit apart have reduced words at most one edit apart, so that none is missed.  Pairs that meet are verified on the original strings.
 
-Only hashes of reduced words and of words travel through that join; the strings are attached to the pairs that met, each pair once.  Neighbours are emitted
-letter by letter from running hashes, so that a very long word costs its length, not its square.
+Only hashes of reduced words and of words travel through that join; the strings are attached to the pairs that met, each pair once.  Neighbours' hashes
+come from sums before and after each place, so that a very long word costs its length, not its square.
 
 A word's form is its near word of largest count, if that is at least ``FACTOR`` times its own; its root is found by doubling the steps towards
 the last form.  Counts grow along forms, so chains end.
@@ -45,9 +45,9 @@ def vocabulary(docs: DataFrame, min_letters: int = MIN_LETTERS, min_count: int =
     return runs.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
 
 
-def reduced(word: str, symbols: int) -> np.ndarray:
-    """Symbols 1 to ``symbols`` by a hash of each letter."""
-    points = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
+def reduced(words: list[str], symbols: int) -> np.ndarray:
+    """Words of one length as rows of symbols 1 to ``symbols``, by a hash of each letter."""
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.uint64)
     return ((points + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03) >> np.uint64(33)) % np.uint64(symbols) + np.uint64(1)
 
 
@@ -56,23 +56,39 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def neighbourhood(own: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of a reduced word, and the distinct hashes of the word and all reduced words one edit away."""
-    n = len(own)
-    power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n + 1, _BASE, np.uint64))))
-    head = np.zeros(n + 1, np.uint64)  # head[i]: sum of own[j] * power[j] for j < i
-    head[1:] = np.cumsum(own * power[:n])
-    tail = np.zeros(n + 1, np.uint64)  # tail[i]: the same for j >= i
-    tail[:n] = np.cumsum((own * power[:n])[::-1])[::-1]
-    whole, inverse = head[n], np.uint64(pow(_BASE, -1, 1 << 64))
-    letters = np.arange(1, symbols + 1, dtype=np.uint64)[:, None]
-    deleted = head[:n] + tail[1:] * inverse
-    replaced = (whole - own * power[:n])[None, :] + letters * power[:n]
-    inserted = (head + tail * np.uint64(_BASE))[None, :] + letters * power[: n + 1]
-    # the length keeps words apart that differ in length only
-    same, less, more = (np.uint64(n + d) * np.uint64(0x94D049BB133111EB) for d in (0, -1, 1))
-    key = _mix(np.array([whole + same], np.uint64))
-    return key, np.unique(np.concatenate((key, _mix(deleted + less), _mix(replaced.ravel() + same), _mix(inserted.ravel() + more))))
+def _key(sums: np.ndarray, length: int) -> np.ndarray:
+    """The length keeps words apart that differ in it only."""
+    return _mix(sums + np.uint64(length * 0x94D049BB133111EB % (1 << 64)))
+
+
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _BASE, np.uint64))))
+
+
+def own_keys(own: np.ndarray) -> np.ndarray:
+    """Hash of each reduced word, a row of ``own``: the sum of symbols times powers."""
+    n = own.shape[1]
+    return _key((own * _powers(n)[:n]).sum(axis=1), n)
+
+
+def neighbourhoods(own: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of each reduced word and of all reduced words one edit away, each hash once a row."""
+    m, n = own.shape
+    power, inverse = _powers(n), np.uint64(pow(_BASE, -1, 1 << 64))
+    parts = own * power[:n]
+    head = np.zeros((m, n + 1), np.uint64)  # head[:, i]: what stands before place i
+    head[:, 1:] = np.cumsum(parts, axis=1)
+    whole = head[:, -1:]
+    tail = whole - head  # what stands from place i on
+    letters = np.arange(1, symbols + 1, dtype=np.uint64)
+    around = [_key(whole, n), _key(head[:, :n] + tail[:, 1:] * inverse, n - 1)]
+    for letter in letters:
+        around.append(_key(whole - parts + letter * power[:n], n))
+        around.append(_key(head + tail * np.uint64(_BASE) + letter * power, n + 1))
+    every = np.sort(np.concatenate(around, axis=1), axis=1)
+    first = np.ones(every.shape, bool)
+    first[:, 1:] = every[:, 1:] != every[:, :-1]
+    return np.nonzero(first)[0], every[first]
 
 
 def reduced_keys(words: DataFrame, symbols: int = SYMBOLS, neighbours: bool = False) -> DataFrame:
@@ -80,24 +96,16 @@ def reduced_keys(words: DataFrame, symbols: int = SYMBOLS, neighbours: bool = Fa
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes, ids, held = [], [], [], 0
-
-            def out() -> pa.RecordBatch:
-                own = np.repeat(np.array(ids, np.int64), sizes)
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(own)], ["key", "id"])
-
-            for word, i in zip(batch.column("word").to_pylist(), batch.column("id").to_pylist(), strict=True):
-                with np.errstate(over="ignore"):
-                    key, around = neighbourhood(reduced(word, symbols), symbols)
-                found.append(around if neighbours else key)
-                sizes.append(len(found[-1]))
-                ids.append(i)
-                held += sizes[-1]
-                if held > 500_000:
-                    yield out()
-                    found, sizes, ids, held = [], [], [], 0
-            if ids:
-                yield out()
+            texts, ids = batch.column("word").to_pylist(), batch.column("id").to_numpy()
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            for n in np.unique(sizes[sizes > 0]).tolist():
+                at = np.flatnonzero(sizes == n)
+                step = max(1, 300_000 // ((2 * symbols + 1) * (n + 1)))
+                for a in range(0, len(at), step):
+                    some = at[a : a + step]
+                    own = reduced([texts[i] for i in some.tolist()], symbols)
+                    row, key = neighbourhoods(own, symbols) if neighbours else (np.arange(len(some)), own_keys(own))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[some][row])], ["key", "id"])
 
     return words.select("word", F.xxhash64("word").alias("id")).mapInArrow(keys, "key long, id long")
 
