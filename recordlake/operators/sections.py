@@ -41,7 +41,7 @@ def explode_sections(df: DataFrame) -> DataFrame:
             F.length(F.regexp_extract(p, HEADING_MARKS, 1))
         ),
     )
-    df = df.withColumn("_spans", section_spans(kinds))
+    df = df.withColumn("_spans", section_spans(F.when(F.size("_blocks") > 0, kinds)))
     sections = F.transform(
         "_spans",
         lambda s: F.struct(

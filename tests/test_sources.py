@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import recordlake as rl
 from recordlake.operators.fulltext import matching_notes
 from recordlake.operators.profile import collect_profile
+from recordlake.sources.json_array import json_array_elements
 from recordlake.sources.notes import absolute_root, within_depth
 from recordlake.sources.store import as_json_lines, write_profile
 from recordlake.streaming.ingest import merged_records, start_ingest, start_merged_ingest, store_index, stream_records, write_batch
@@ -267,3 +268,34 @@ def test_equal_keys_of_a_line(spark):
         assert rl.bad_lines(lines).count() == 2
     finally:
         spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
+
+
+def index_texts():
+    """Arrays with braces, quotes and escapes in strings, nested tags, blanks, and nothing at all."""
+    odd = ['plain', 'a } b', '{"x": [1, "]"]}', 'quote " and } after', 'back\\slash', 'ends with \\', '"}"', "é🙂}{", "[[", "", "}}}}"]
+    entries = [{"file": f"/n/{i}.md", "project": odd[i % 11], "title": odd[i * 7 % 11], "tasks": [{"line": k, "status": "x", "tags": {"t": odd[(i + k) % 11], "o": {"p": [i]}}, "task": odd[(i * k) % 11] * k} for k in range(i % 4)]} for i in range(120)]
+    return {"one.json": json.dumps(entries), "pretty.json": "\n " + json.dumps(entries[:40], indent=2, ensure_ascii=False) + "\n", "tight.json": json.dumps(entries[5:30], separators=(",", ":")), "none.json": "[ ]", "last.json": json.dumps(entries[:1])}
+
+
+@pytest.mark.parametrize("size", [150, 4000, 1 << 20])
+def test_task_index_split_equals_one_task_reader(spark, tmp_path, size):
+    for name, text in index_texts().items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    as_text = lambda df: sorted(r[0] for r in df.select(F.to_json(F.struct("*"))).collect())
+    whole = as_text(rl.read_task_index(spark, str(tmp_path)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert as_text(rl.read_task_index(spark, str(tmp_path), split=True)) == whole and len(whole) == 186
+        one = json_array_elements(spark, str(tmp_path / "one.json"))
+        assert sorted(r["_pos"] for r in one.collect()) == list(range(120))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_broken_task_index_fails(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('[{"file": "a", "tasks": 5}]')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        rl.read_task_index(spark, str(tmp_path / "bad.json"), split=True).collect()

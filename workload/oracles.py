@@ -208,5 +208,7 @@ def all_oracles() -> dict[str, str]:
         "scan_collections": "SELECT c_custkey AS id, c_name AS name FROM customer",
         "scan_tasks": f"""SELECT '/notes/talks/' || note || '.md:' || i AS location, status, {_DONE} AS done, {_CLOSED} AS closed
             FROM {_TASKS}""",
+        "scan_task_array": f"""SELECT '/notes/talks/' || note || '.md:' || i AS location, status, {_DONE} AS done, {_CLOSED} AS closed
+            FROM {_TASKS}""",
         "explicit_columns": f"SELECT who, CAST(id AS VARCHAR) AS id FROM {_MIXED}",
     }

@@ -2,7 +2,7 @@
 
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import recordlake as rl
@@ -385,6 +385,19 @@ def scan_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select(rl.task_location().alias("location"), "status", is_done().alias("done"), is_closed().alias("closed"))
 
 
+def scan_task_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task index as JSON arrays, each read in parts."""
+    path = scratch(spark, "arrays")
+    notes = t.task_index(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("file"), F.lit(8)).cast("int"))
+    order = Window.partitionBy("part").orderBy("file")
+    opened = F.when(F.row_number().over(order) == 1, "[\n").otherwise(",\n")
+    closed = F.when(F.lead("file").over(order).isNull(), "\n]").otherwise("")
+    lines = notes.select("part", "file", F.concat(opened, F.to_json(F.struct("file", "project", "title", "tasks")), closed).alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "file").select("part", "value").write.partitionBy("part").text(path)
+    flat = rl.flatten_tasks(rl.read_task_index(spark, f"{path}/*/*.txt", split=True))
+    return flat.select(rl.task_location().alias("location"), "status", is_done().alias("done"), is_closed().alias("closed"))
+
+
 def explicit_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns in a given order: empty and unknown ones are left out, the rest within the width."""
     records = rl.parse_jsonl(t.mixed_lines(spark, sf_dir))
@@ -468,5 +481,6 @@ def all_queries() -> dict:
         "scan_files": scan_files,
         "scan_collections": scan_collections,
         "scan_tasks": scan_tasks,
+        "scan_task_array": scan_task_array,
         "explicit_columns": explicit_columns,
     }
