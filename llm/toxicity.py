@@ -32,7 +32,7 @@ from llm.common import store
 from llm.features import training_rows
 
 LENGTH, DECAY, SHARPEN, GRAM, LANDMARKS, TRAIN_ROWS, THRESHOLD = 3, 0.6, 2, 6, 64, 4000, 0.7
-LONGEST, KEPT_WORDS, LEAST, APART, PULL, SHORT = 24, 500_000, 0.05, 0.25, 1e-3, 5
+LONGEST, KEPT_WORDS, LEAST, APART, PULL, SHORT = 24, 500_000, 0.05, 0.25, 1e-3, 3
 _DROP = re.compile(r"[\W_]+")
 _SPACED = re.compile(r"(?<!\w)\w(?:[\W_]{1,3}\w(?!\w)){2,}")
 
