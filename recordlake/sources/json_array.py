@@ -73,5 +73,6 @@ def _assembled(placed: DataFrame) -> DataFrame:
     pieces = F.array_sort(F.collect_list(F.struct("split", "row", "text")))
     whole = numbered.groupBy("_note_file", "_pos").agg(pieces.alias("pieces"), F.max("ends").alias("ended"))
     text = F.concat(F.array_join(F.transform("pieces", lambda p: p["text"]), "}"), F.lit("}"))
-    element = F.regexp_replace(text, r"\A[\s,\[\x{feff}]+", "")
+    # What follows the last element is NULL, so that a condition moved below this filter meets no half element.
+    element = F.when(F.col("ended") == 1, F.regexp_replace(text, r"\A[\s,\[\x{feff}]+", ""))
     return whole.filter("ended = 1").select("_note_file", "_pos", element.alias("element"))

@@ -288,6 +288,8 @@ def test_task_index_split_equals_one_task_reader(spark, tmp_path, size):
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
         spark.conf.set("spark.sql.files.openCostInBytes", "0")
         assert as_text(rl.read_task_index(spark, str(tmp_path), split=True)) == whole and len(whole) == 186
+        tasks = rl.read_task_index(spark, str(tmp_path), split=True).select(F.explode("tasks").alias("t"))
+        assert tasks.filter("t.status = 'x'").count() == rl.read_task_index(spark, str(tmp_path)).select(F.explode("tasks")).count()
         one = json_array_elements(spark, str(tmp_path / "one.json"))
         assert sorted(r["_pos"] for r in one.collect()) == list(range(120))
     finally:

@@ -299,7 +299,7 @@ def bad_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks that give no fields: one of each kind in some notes."""
     orders = t.table(spark, sf_dir, "orders")
     kind = F.col("o_orderkey") % 5
-    bad = F.when(kind == 0, "a: 1\na: 2").when(kind == 1, "- just\n- a list").when(kind == 2, "a: [1, 2").when(kind == 3, F.concat(F.lit("a: "), F.repeat(F.lit("["), 3000), F.repeat(F.lit("]"), 3000))).otherwise("b: [1, {c: 2}]")
+    bad = F.when(kind == 0, "a: 1\na: 2").when(kind == 1, "- just\n- a list").when(kind == 2, "a: [1, 2").when(F.col("o_orderkey") % 500 == 3, F.concat(F.lit("a: "), F.repeat(F.lit("["), 3000), F.repeat(F.lit("]"), 3000))).when(kind == 3, "a: \"open").otherwise("b: [1, {c: 2}]")
     content = t.text("---\nid: ", "$o_orderkey", "\n---\n", t.FENCE_START, "ok: 1\n", t.FENCE_END, t.FENCE_START, bad, "\n", t.FENCE_END)
     notes = orders.select(t.text("/n/", "$o_orderkey", ".md").alias("_note_file"), content.alias("content"))
     return rl.bad_blocks(notes).select(F.col("_note_file").alias("note_file"), F.col("_pos").alias("pos"))
@@ -389,11 +389,12 @@ def scan_task_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A task index as JSON arrays, each read in parts."""
     path = scratch(spark, "arrays")
     notes = t.task_index(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("file"), F.lit(8)).cast("int"))
-    order = Window.partitionBy("part").orderBy("file")
-    opened = F.when(F.row_number().over(order) == 1, "[\n").otherwise(",\n")
-    closed = F.when(F.lead("file").over(order).isNull(), "\n]").otherwise("")
-    lines = notes.select("part", "file", F.concat(opened, F.to_json(F.struct("file", "project", "title", "tasks")), closed).alias("value"))
-    lines.repartition("part").sortWithinPartitions("part", "file").select("part", "value").write.partitionBy("part").text(path)
+    element = F.to_json(F.struct("file", "project", "title", "tasks"))
+    numbered = notes.select("part", element.alias("element"), F.row_number().over(Window.partitionBy("part").orderBy("file")).alias("n"))
+    opened = F.when(F.col("n") == 1, "[\n").otherwise(",\n")
+    closed = F.when(F.col("n") == F.max("n").over(Window.partitionBy("part")), "\n]").otherwise("")
+    lines = numbered.select("part", "n", F.concat(opened, "element", closed).alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "n").select("part", "value").write.partitionBy("part").text(path)
     flat = rl.flatten_tasks(rl.read_task_index(spark, f"{path}/*/*.txt", split=True))
     return flat.select(rl.task_location().alias("location"), "status", is_done().alias("done"), is_closed().alias("closed"))
 
