@@ -1,6 +1,6 @@
 """Token ids of a corpus in wavelet-matrix shards.
 
-Documents are dealt by ranges of doc_id and encoded there; a task closes a shard once it holds ``shard_tokens`` ids, so a
+Documents are dealt by ranges of doc_id and text hash and encoded there; a task closes a shard once it holds ``shard_tokens`` ids, so a
 shard is a run of whole documents in ascending order.  A shard is one row of the store: its documents' ids and lengths,
 and for each bit of the ids, from the highest, a plane of bits in the order that the planes above left (zeros first), the number of zeros, and the ones
 before every block of 512 bits.  That answers access, rank (how often an id occurs before a place), select (the place of its k-th
@@ -157,7 +157,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard_tokens
     longs = pa.list_(pa.int64())
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_ids", longs), ("lengths", longs), ("n_tokens", pa.int64()), ("planes", pa.list_(pa.binary())), ("zeros", longs), ("ranks", pa.list_(pa.binary()))])
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = docs.repartitionByRange(n_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # By the text too, so that rows without id, or of one id, spread over several tasks.
+    dealt = docs.repartitionByRange(n_partitions(docs.sparkSession), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     dealt.mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
