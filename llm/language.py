@@ -18,12 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIM, CENTROIDS, TRAIN_ROWS, ROUNDS, QUANTILE, SLACK, HEAT = 1 << 12, 4, 600, 12, 0.99, 1.25, 0.04
+DIM, CENTROIDS, TRAIN_ROWS, ROUNDS, QUANTILE, SLACK, HEAT, SALTS = 1 << 12, 4, 600, 12, 0.99, 1.25, 0.04, 16
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # numbers such as one half are word characters, but no letters
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -96,7 +97,7 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """From at most ``rows`` documents a language (of the smallest id hashes) outside the held-out third."""
+    """From at most ``rows`` documents a language (of the smallest id hashes; of rows with equal id, the text of smallest hash) outside the held-out third."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,9 +105,12 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(vectors, pa.binary()), batch.column("doc_id")], ["lang", "counts", "doc_id"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("training"), "doc_id"), "doc_id")
-    ids = own.select("lang", "doc_id").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows)
-    chosen = own.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")  # at most ``rows`` ids a language
+    first = [F.xxhash64(F.lit("training"), "doc_id"), F.col("doc_id")]
+    ids = own.select("lang", "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):  # a language of very many documents is reduced in several tasks first
+        ids = ids.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*first))).filter(F.col("place") <= rows)
+    chosen = own.join(F.broadcast(ids.select("lang", "doc_id").distinct()), ["lang", "doc_id"])  # at most ``rows`` ids a language
+    chosen = chosen.groupBy("lang", "doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("row")).select("lang", "doc_id", "row.text")
     chosen = chosen.select("lang", "text", "doc_id").filter(F.col("text").rlike("\\p{L}"))
     got = chosen.mapInArrow(run, "lang string, counts binary, doc_id long").toPandas().sort_values(["doc_id", "counts"])
     return fit([(x, np.frombuffer(v, np.float32)) for x, v in zip(got.lang, got.counts, strict=True)])

@@ -53,7 +53,7 @@ def test_language_of_held_out_documents(spark):
 def test_language_of_odd_tables(messy, docs):
     rows = language.identify(messy).collect()
     assert len(rows) == messy.count() and {r.lang_pred for r in rows} == {"en", "und"}
-    assert {r.lang_pred for r in language.identify(docs([(1, None), (2, "12 !?"), (4, "")])).collect()} == {"und"}
+    assert {r.lang_pred for r in language.identify(docs([(1, None), (2, "12 !?"), (4, ""), (7, "½ ² ③ _")])).collect()} == {"und"}
     assert language.identify(messy.limit(0)).count() == 0
 
 
