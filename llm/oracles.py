@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import phrases, urls, variants
+from llm import phrases, substrings, urls, variants
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # crc32 of a text: a table of 256 entries from its rule, then byte by byte.
@@ -97,5 +97,18 @@ ranked AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY s.score D
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= {phrases.TOP}"""
 
 
+def _substrings() -> str:
+    """Windows as texts; words that a window covers which a smaller doc_id has too."""
+    m = substrings.WINDOW
+    return f"""WITH lists AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+places AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM lists),
+windows AS MATERIALIZED (SELECT doc_id, i, array_to_string(words[i : i + {m - 1}], ' ') AS passage FROM places WHERE i + {m - 1} <= len(words)),
+firsts AS (SELECT passage, min(doc_id) AS least FROM windows GROUP BY passage),
+covered AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT w.doc_id, w.i, unnest(range({m})) AS k FROM windows w JOIN firsts f ON f.passage = w.passage WHERE w.doc_id > f.least)),
+marked AS (SELECT p.doc_id, p.i, p.words[p.i] AS word, c.i IS NOT NULL AS gone FROM places p LEFT JOIN covered c ON c.doc_id = p.doc_id AND c.i = p.i),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS text FROM marked GROUP BY doc_id)
+SELECT l.doc_id, len(l.words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM lists l LEFT JOIN kept k ON k.doc_id = l.doc_id"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op11_variants": _variants(), "op12_urls": _urls(), "op13_phrases": _phrases()}
+    return {"op7_substrings": _substrings(), "op11_variants": _variants(), "op12_urls": _urls(), "op13_phrases": _phrases()}
