@@ -56,6 +56,7 @@ def main() -> None:
         "spark.driver.memory": "12g",
         "spark.sql.shuffle.partitions": cpus,
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.files.maxPartitionBytes": "2m",
     }.items():
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
@@ -82,7 +83,7 @@ def main() -> None:
 
     if not chosen:
         store = tempfile.mkdtemp(prefix="store-", dir="/tmp") + "/records"
-        timed("store_write", lambda: rl.write_records(rl.extract_records(tables.line_notes(spark, sf_dir)), store))
+        timed("store_write", lambda: rl.snapshot(rl.extract_records(tables.line_notes(spark, sf_dir)), store))
         clause = "status = 'F' AND qty > 30 AND shipped > '1997-01-01'"
         timed("store_where_inferred", lambda: drain(rl.query(rl.read_records(spark, store), where=clause).rows))
         typed = {"presets": {"p": ["status=F"]}, "where": "qty > 30", "types": tables.LINE_TYPES}
