@@ -60,10 +60,10 @@ def merge_names(keys: Sequence[str]) -> list[str]:
     return [f"_merge_{i}" for i in range(len(keys))]
 
 
-def with_merge_keys(records: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_merge_keys(records: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Records with the text form of their keys."""
     found = {n: text_form(F.col("fields")[k]) for k, n in zip(keys, merge_names(keys))}
-    return records.select(*RECORD_COLUMNS).withColumns(found)
+    return records.select(*RECORD_COLUMNS, *keep).withColumns(found)
 
 
 def has_all(names: Sequence[str]) -> Column:
@@ -75,6 +75,7 @@ def merge_layers(
     index: DataFrame,
     keys: Sequence[str] = MERGE_KEYS,
     hot_key_rows: int = MIN_ROWS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Annotations back-filled with their index record, and the index records without one.
 
@@ -83,11 +84,13 @@ def merge_layers(
     records of one key the first is used.  A record that lacks a key meets nothing and is
     kept as it is.
 
+    ``keep`` names columns of the annotations to carry; index records have NULL there.
+
     Annotations of a key with ``hot_key_rows`` or more are dealt over as many tasks as they fill.
     ``annotations`` is read twice; pass stored records when it is costly to compute.
     """
     names = merge_names(keys)
-    annotations = with_merge_keys(annotations, keys)
+    annotations = with_merge_keys(annotations, keys, keep)
     index = with_merge_keys(index, keys)
     complete = has_all(names)
 
@@ -108,4 +111,5 @@ def merge_layers(
     # Every key has rows; the test keeps the counted table the same as above, so Spark
     # shuffles it once.
     alone = unique.join(per_key.filter(F.col("rows") > 0), names, "left_anti")
-    return union_layers(merged, alone, index.filter(~complete))
+    alone = union_layers(alone, index.filter(~complete))
+    return without_flags(merged.select(*RECORD_COLUMNS, *keep)).unionByName(alone, allowMissingColumns=True)

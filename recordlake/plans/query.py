@@ -40,14 +40,17 @@ def build_records(
     mode: str = "all",
     header_block: bool = False,
     keep: Sequence[str] = (),
+    array_fields: Sequence[str] = (),
 ) -> DataFrame:
-    """Records of a corpus, merged with its collection index when there is one."""
-    records = extract_records(corpus, mode, header_block, keep=keep)
+    """Records of a corpus, merged with its collection index when there is one.
+
+    ``keep`` names corpus columns to carry, which index records lack; ``array_fields`` become lists in both layers.
+    """
+    records = normalize_arrays(extract_records(corpus, mode, header_block, keep=keep), array_fields)
     if collections is None:
         return records
-    if keep:
-        raise ValueError("merged records carry no corpus columns")
-    return merge_layers(explode_field(records, BINDER_FIELD), explode_field(collections, BINDER_FIELD))
+    index = normalize_arrays(collections, array_fields)
+    return merge_layers(explode_field(records, BINDER_FIELD), explode_field(index, BINDER_FIELD), keep=keep)
 
 
 def query(

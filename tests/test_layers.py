@@ -114,3 +114,16 @@ def test_build_records(corpus, records):
         {"id": 1, "binder": "x", "status": "ok", "kind": "k"}, {"id": 1, "binder": "y", "status": "ok"}, {"id": 1, "binder": "z", "kind": "k"},
     ])
     assert rl.build_records(notes).count() == 1
+
+
+def test_merged_records_carry_corpus_columns_and_lists(corpus, records):
+    notes = corpus(("/n/a.md", "```yaml\nid: 1\nbinder: [x, y]\ntag: t\n```\nneedle"), ("/n/b.md", "```yaml\nown: 2\n```\n"))
+    index = records({"id": 1, "binder": "x", "kind": "k", "note": "n"}, {"id": 2, "binder": "x"}, {"kind": "alone"}, layer="index")
+    got = rl.build_records(rl.mark_fulltext(notes, "needle"), index, keep=["_fulltext"], array_fields=["tag", "note"])
+    rows = [(json.dumps(f, sort_keys=True), flag) for f, flag in zip(as_dicts(got), [r["_fulltext"] for r in sorted(got.collect(), key=lambda r: (r["_note_file"], r["_pos"]))], strict=True)]
+    assert sorted(rows, key=str) == sorted([
+        ('{"binder": "x", "id": 1, "kind": "k", "note": ["n"], "tag": ["t"]}', True), ('{"binder": "y", "id": 1, "tag": ["t"]}', True),
+        ('{"own": 2}', False), ('{"binder": "x", "id": 2}', None), ('{"kind": "alone"}', None),
+    ], key=str)
+    shown = rl.query(got, fulltext="needle", where="id = 1")
+    assert shown.rows.count() == 2 and shown.shown_count == 2
