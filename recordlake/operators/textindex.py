@@ -40,8 +40,9 @@ def write_text_index(corpus: DataFrame, path: str) -> None:
     texts.write.mode("overwrite").option("parquet.block.size", _BLOCK_BYTES).parquet(f"{path}/texts")
     stored = notes.sparkSession.read.parquet(f"{path}/texts")
     grams = with_grams(stored).withColumn("bucket", _bucket(F.col("gram")))
-    # A frequent trigram has postings from every task; dealing by trigram and note keeps it from one task.
-    dealt = grams.repartition("bucket", F.pmod("note", F.lit(8))).sortWithinPartitions("bucket", "gram", "note")
+    # A bucket is dealt over as many tasks as its share of the shuffle, so neither a bucket nor a frequent trigram is one task's.
+    tasks = int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = grams.repartition("bucket", F.pmod("note", F.lit(-(-tasks // BUCKETS)))).sortWithinPartitions("bucket", "gram", "note")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/grams")
 
 

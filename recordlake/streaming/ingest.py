@@ -50,7 +50,9 @@ def store_index(index: DataFrame, path: str, keys: Sequence[str] = MERGE_KEYS) -
     """
     names = merge_names(keys)
     unique = first_per_key(complete_keys(explode_field(index, BINDER_FIELD), keys), names)
-    unique.withColumn("_part", key_part(names)).repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(path)
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.pmod(F.xxhash64(F.lit("spread"), *names), F.lit(-(-tasks // INDEX_PARTS)))  # a part is not one task's
+    unique.withColumn("_part", key_part(names)).repartition("_part", spread).write.mode("overwrite").partitionBy("_part").parquet(path)
 
 
 def merge_batch(batch: DataFrame, index_path: str, keys: Sequence[str] = MERGE_KEYS) -> DataFrame:
