@@ -6,6 +6,7 @@ scan.  Extraction keeps no state.
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -55,12 +56,16 @@ def store_index(index: DataFrame, path: str, keys: Sequence[str] = MERGE_KEYS) -
     unique.withColumn("_part", key_part(names)).repartition("_part", spread).write.mode("overwrite").partitionBy("_part").parquet(path)
 
 
-def merge_batch(batch: DataFrame, index_path: str, keys: Sequence[str] = MERGE_KEYS) -> DataFrame:
-    """Annotations of a batch, back-filled from a stored index: record columns, their keys, and whether an index record was found."""
+def keyed_batch(batch: DataFrame, keys: Sequence[str] = MERGE_KEYS) -> DataFrame:
+    return with_merge_keys(explode_field(batch, BINDER_FIELD), keys).withColumn("_part", key_part(merge_names(keys)))
+
+
+def merge_batch(rows: DataFrame, parts: Sequence[int], index_path: str, keys: Sequence[str] = MERGE_KEYS) -> DataFrame:
+    """Annotations of a keyed batch, back-filled from these parts of a stored index: record columns, their keys, and whether an index record was found."""
     names = merge_names(keys)
-    rows = with_merge_keys(explode_field(batch, BINDER_FIELD), keys).withColumn("_part", key_part(names))
-    index = batch.sparkSession.read.parquet(index_path).select(*names, "_part", F.col("fields").alias("_index_fields"))
-    joined = rows.join(index, [*names, "_part"], "left")
+    index = rows.sparkSession.read.parquet(index_path).filter(F.col("_part").isin(list(parts)))
+    index = index.select(*names, F.col("fields").alias("_index_fields"))
+    joined = rows.join(index, names, "left")
     merged = computed_once(joined, "fields", overlay(F.col("fields"), F.col("_index_fields"), fill_nulls=True))
     return merged.select(*RECORD_COLUMNS, *names, F.col("_index_fields").isNotNull().alias("_filled"))
 
@@ -78,7 +83,12 @@ def start_merged_ingest(records: DataFrame, index_path: str, store: str, checkpo
 
 
 def write_batch(batch: DataFrame, batch_id: int, index_path: str, store: str, keys: Sequence[str] = MERGE_KEYS) -> None:
-    merge_batch(batch, index_path, keys).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+    rows = keyed_batch(batch, keys).persist(StorageLevel.DISK_ONLY)  # its parts are looked up, then it is merged; extracted once
+    try:
+        parts = [r["_part"] for r in rows.select("_part").distinct().collect()]  # at most INDEX_PARTS numbers
+        merge_batch(rows, parts, index_path, keys).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+    finally:
+        rows.unpersist()
 
 
 def merged_records(spark: SparkSession, store: str, index: DataFrame, keys: Sequence[str] = MERGE_KEYS) -> DataFrame:
