@@ -192,18 +192,23 @@ def _encoded(docs: DataFrame, finish: Callable[[pa.Array, list[bytes], Pieces],
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, words = pieces(path), encoder(path)
         for batch in batches:
-            for x in batch.to_pylist():
-                if x["kind"] == "text":
-                    ids = words.batch([x["content"]])[0]
-                else:
-                    ids = np.array([i for p in x["content"].split("\x00") for i in own.encode(p)], "<u4").tobytes()
-                yield pa.RecordBatch.from_pylist([{"row": x["row"], "doc_id": x["doc_id"], "n": x["n"], "inner": x["inner"], "ids": ids}], coded_schema)
+            kinds, contents = batch.column("kind").to_pylist(), batch.column("content").to_pylist()
+            coded = [b"" if kind == "text" else np.array([i for p in content.split("\x00") for i in own.encode(p)], "<u4").tobytes() for kind, content in zip(kinds, contents, strict=True)]
+            whole = [i for i, kind in enumerate(kinds) if kind == "text"]
+            for a, b in slices_of_text([contents[i] for i in whole]):
+                for i, ids in zip(whole[a:b], words.batch([contents[i] for i in whole[a:b]]), strict=True):
+                    coded[i] = ids
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row", "doc_id", "n", "inner")] + [pa.array(coded, pa.binary())], schema=coded_schema)
 
     def joined(rows):  # no hints: Spark reads them as objects
         own = pieces(path)
-        rows = rows.sort_by("n").to_pylist()
-        ids = tree([(r["inner"], np.frombuffer(r["ids"], "<u4").tolist()) for r in rows], own)
-        return pa.Table.from_batches([finish(pa.array([rows[0]["doc_id"]], pa.int64()), [np.array(ids, "<u4").tobytes()], own)])
+        rows = rows.sort_by("n")
+        doc_id, inner, coded = rows["doc_id"].slice(0, 1).combine_chunks(), rows["inner"].to_pylist(), rows["ids"].to_pylist()
+        if any(inner):
+            ids = np.array(tree([(goes_on, np.frombuffer(raw, "<u4").tolist()) for goes_on, raw in zip(inner, coded, strict=True)], own), "<u4").tobytes()
+        else:  # all leaves meet at word boundaries
+            ids = b"".join(coded)
+        return pa.Table.from_batches([finish(doc_id, [ids], own)])
 
     leaf_schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("kind", pa.string()), ("inner", pa.bool_()), ("content", pa.string())])
     coded_schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("inner", pa.bool_()), ("ids", pa.binary())])
