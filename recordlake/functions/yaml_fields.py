@@ -65,7 +65,9 @@ def with_yaml_fields(df: DataFrame, text: str, out: str) -> DataFrame:
     Text that is not a valid YAML mapping gives NULL.
     """
     flat, rest = f"{out}__flat", f"{out}__rest"
-    df = df.withColumn(flat, _flat_fields(F.col(text)))
+    # Two steps, so that the text is parsed once for the test and the value.
+    df = df.withColumn(flat, _as_map(F.try_parse_json(flat_to_json(F.col(text)))))
+    df = df.withColumn(flat, F.when(F.size(flat) == _lines(F.col(text)), F.col(flat)))
     df = df.withColumn(rest, yaml_to_json(F.when(F.col(flat).isNull(), F.col(text))))
     return df.withColumn(out, F.coalesce(F.col(flat), _as_map(F.try_parse_json(F.col(rest))))).drop(flat, rest)
 
@@ -73,9 +75,12 @@ def with_yaml_fields(df: DataFrame, text: str, out: str) -> DataFrame:
 def _flat_fields(text: Column) -> Column:
     """Fields of a block whose lines are all ``key: scalar``, each with a key of its own; NULL for any other."""
     fields = _as_map(F.try_parse_json(flat_to_json(text)))
-    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + F.when(text == "", 0).otherwise(1)
-    # The session may let JSON objects repeat a key; a block may not.
-    return F.when(F.size(fields) == lines, fields)
+    return F.when(F.size(fields) == _lines(text), fields)
+
+
+def _lines(text: Column) -> Column:
+    """Fields that a block of flat lines must have: the session may let JSON objects repeat a key, a block may not."""
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + F.when(text == "", 0).otherwise(1)
 
 
 def json_fields(text: Column) -> Column:
