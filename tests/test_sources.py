@@ -301,3 +301,24 @@ def test_broken_task_index_fails(spark, tmp_path):
     (tmp_path / "bad.json").write_text('[{"file": "a", "tasks": 5}]')
     with pytest.raises(Exception, match="(?i)malformed"):
         rl.read_task_index(spark, str(tmp_path / "bad.json"), split=True).collect()
+
+
+def test_files_of_one_row_each_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """One task would write, and one thread rename, as many files as there are rows."""
+    import threading
+
+    from workload import files
+
+    used, pool = set(), files.ThreadPoolExecutor
+
+    class Watched(pool):
+        def map(self, function, items):
+            return super().map(lambda i: (used.add(threading.get_ident()), function(i)), items)
+
+    monkeypatch.setattr(files, "ThreadPoolExecutor", Watched)
+    texts = spark.createDataFrame([(f"row {i}",) for i in range(40)], "value string").coalesce(1)
+    files.write_text_files(texts, str(tmp_path / "out"), ".md", one_each=True)
+    written = sorted(p for p in (tmp_path / "out").iterdir() if p.name.endswith(".md"))
+    assert sorted(p.read_text().strip() for p in written) == sorted(f"row {i}" for i in range(40))
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.endswith(".txt")]
+    assert len({p.name.split("-")[1] for p in written}) > 1 and threading.get_ident() not in used
