@@ -41,7 +41,8 @@ def preset_condition(expression: str, records: DataFrame | None = None) -> Colum
             return _test(op, text, value)
     stored = F.col(f"`{KEY_PREFIX}{field}`") if records is not None and KEY_PREFIX + field in records.columns else None
     found = F.col("fields")[field]
-    elements, text = text_items(found), text_form(found)
+    text = text_form(found)
+    elements = F.when(text.startswith("["), text_items(found))  # the text of a list does; only those are taken apart
     if op in "=!":
         equal = F.coalesce(F.array_contains(elements, value), text == value)
         if op == "!":

@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 import pytest
 import yaml
@@ -7,8 +9,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import recordlake as rl
+from recordlake.functions.patterns import FENCE
 from recordlake.functions.yaml_fields import flat_to_json, yaml_to_json
 from recordlake.functions.yaml_text import yaml_text_to_json
+from recordlake.operators.extract import extract_records
+from recordlake.operators.presets import apply_presets, preset_condition
 from recordlake.operators.sections import spans_of
 from tests.conftest import as_dicts
 
@@ -255,3 +260,51 @@ def test_blocks_without_fields_are_listed(corpus):
     kept = rl.extract_records(notes).count()
     assert kept == 3  # one of a.md, two of b.md
     assert [(r["_note_file"], r["_pos"]) for r in rl.bad_blocks(notes, header_block=True).filter("_note_file = 'f.md'").collect()] == [("f.md", 0)]
+
+
+def test_blocks_are_those_of_a_plain_reading_by_lines(spark):
+    def blocks_of(text):
+        out, lines, i = [], text.split("\n"), 0
+        while i < len(lines):
+            opens = re.fullmatch(r"```ya?ml[ \t\f\r]*", lines[i])
+            i += 1
+            if not opens:
+                continue
+            inside = []
+            while i < len(lines) and not re.fullmatch(r"```[ \t\f\r]*", lines[i]):
+                inside.append(lines[i])
+                i += 1
+            if i == len(lines) and len(inside) > 1 and inside[-1] == "":
+                inside.pop()  # the line end that closes an unterminated block
+            out.append("\n".join(inside))
+            i += 1
+        return out
+
+    chance = random.Random(5)
+    parts = ["```yaml", "```yml \t", "```", "``` ", "```x", "", "", "a: 1", " ```", "b", "````"]
+    texts = ["\n".join(chance.choices(parts, k=chance.randint(1, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    found = df.select("t", F.regexp_extract_all("t", F.lit(FENCE), F.lit(1)).alias("b")).collect()
+    assert [r["b"] for r in found] == [blocks_of(r["t"]) for r in found]
+
+
+def test_long_block_costs_no_stack(spark, corpus):
+    text = "```yaml\n" + "a b c\n" * 300_000 + "```\n```yaml\nk: 1\n```"
+    row = corpus(("/n/a.md", text)).select(F.regexp_extract_all("content", F.lit(FENCE), F.lit(1)).alias("b")).first()
+    assert [len(b) for b in row["b"]] == [6 * 300_000 - 1, 4]
+
+
+def test_records_are_put_together_in_compiled_code(spark, corpus):
+    """A generator whose value calls functions on elements would be interpreted, for each record."""
+    records = extract_records(corpus(("/n/a.md", "---\nx: 1\ny: 2\n---\n```yaml\ny: ~\nz: 3\n```\n```yaml\nw: 4\n```")))
+    assert as_dicts(records) == [{"x": 1, "y": None, "z": 3}, {"x": 1, "y": 2, "w": 4}]
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Generate explode" in line and "map_zip_with" in line]
+    assert [line for line in plan.splitlines() if re.search(r"\*\([0-9]+\) Generate explode\(", line)]
+
+
+def test_lists_are_taken_apart_only_where_the_text_is_one(spark, records):
+    rows = records({"t": "[a"}, {"t": ["[a", "b"]}, {"t": "b"}, {"t": []}, {"u": 1}, {"t": [["b"]]}, {"t": {"b": 1}}, {"t": None})
+    kept = lambda e: [r["_pos"] for r in apply_presets(rows, [e]).orderBy("_pos").collect()]
+    assert (kept("t=b"), kept("t=[a"), kept("t~b"), kept("t^[a"), kept("t!b")) == ([1, 2], [0, 1], [1, 2, 5, 6], [0, 1], [0, 3, 4, 5, 6, 7])
+    assert "startswith" in str(preset_condition("t=b")).lower()
