@@ -11,10 +11,12 @@ from recordlake.functions.kinds import type_name
 from recordlake.functions.values import text_form
 from recordlake.operators.extract import RECORD_COLUMNS
 from recordlake.operators.profile import collect_profile
+from recordlake.session import settings
 from recordlake.sources.columns import KEY_PREFIX, TYPED_FIELDS, TYPED_PREFIX, typed_columns, with_flags
 
 HOT_KEYS = ("id", "binder", "status")
 PROFILE = "_profile"
+SOURCE_TYPES = 4  # fixed value: markdown, typst, jsonl, other
 
 
 def key_columns(records: DataFrame, keys: Sequence[str] = HOT_KEYS) -> DataFrame:
@@ -39,7 +41,9 @@ def write_records(
     stored = key_columns(records.select(*RECORD_COLUMNS), keys).withColumns(typed_columns(types or {}))
     if cluster_by:
         stored = stored.sortWithinPartitions("_source_type", *[KEY_PREFIX + k for k in cluster_by])
-    stored.write.mode(mode).partitionBy("_source_type").parquet(path)
+    # A writer for each source type at a time; with one writer a task would first sort, and spill, all its records by their type.
+    with settings(records.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": str(SOURCE_TYPES)}):
+        stored.write.mode(mode).partitionBy("_source_type").parquet(path)
 
 
 def write_profile(spark: SparkSession, profile: Sequence[Row], path: str) -> None:

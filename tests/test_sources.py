@@ -322,3 +322,21 @@ def test_files_of_one_row_each_are_written_by_many_tasks(spark, tmp_path, monkey
     assert sorted(p.read_text().strip() for p in written) == sorted(f"row {i}" for i in range(40))
     assert not [p for p in (tmp_path / "out").iterdir() if p.name.endswith(".txt")]
     assert len({p.name.split("-")[1] for p in written}) > 1 and threading.get_ident() not in used
+
+
+def test_writing_a_store_sorts_nothing(spark, corpus, tmp_path):
+    """Records of all source types mixed in one task go to one file each, without a sort of the task's records."""
+    names = ["a.md", "b.typ", "c", "d.typst"] * 5
+    notes = corpus(*[(f"/n/{i}/{name}", f"```yaml\nid: {i}\n```") for i, name in enumerate(names)]).coalesce(1)
+    extra = rl.parse_jsonl(spark.createDataFrame([("/n/x.jsonl", i, f'{{"id": {100 + i}}}') for i in range(3)], "_note_file string, _pos long, line string"))
+    both = rl.extract_records(notes).unionByName(extra).coalesce(1)
+    tracker = spark._jsparkSession.sharedState().statusStore()
+    before = tracker.executionsCount()
+    rl.write_records(both, str(tmp_path / "store"))
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = tracker.executionsList(int(before), 10)
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    assert plans and not any("Sort" in p for p in plans)
+    assert sorted(len(list((tmp_path / "store" / d).glob("*.parquet"))) for d in ("_source_type=markdown", "_source_type=typst", "_source_type=jsonl")) == [1, 1, 1]
+    assert sorted(r["id"] for r in rl.widen(rl.read_records(spark, str(tmp_path / "store")), {"id": "bigint"}).collect()) == [*range(20), 100, 101, 102]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
