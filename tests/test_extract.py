@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import recordlake as rl
 from recordlake.functions.patterns import FENCE
 from recordlake.functions.yaml_fields import flat_to_json, yaml_to_json
+from recordlake.session import settings as session_settings
 from recordlake.functions.yaml_text import yaml_text_to_json
 from recordlake.operators.extract import extract_records
 from recordlake.operators.presets import apply_presets, preset_condition
@@ -308,3 +309,28 @@ def test_lists_are_taken_apart_only_where_the_text_is_one(spark, records):
     kept = lambda e: [r["_pos"] for r in apply_presets(rows, [e]).orderBy("_pos").collect()]
     assert (kept("t=b"), kept("t=[a"), kept("t~b"), kept("t^[a"), kept("t!b")) == ([1, 2], [0, 1], [1, 2, 5, 6], [0, 1], [0, 3, 4, 5, 6, 7])
     assert "startswith" in str(preset_condition("t=b")).lower()
+
+
+def test_no_values_wait_for_python(corpus):
+    """Rows that wait for Python hold texts: fields are parsed above, once for a frontmatter and its block together."""
+    plan = rl.extract_records(corpus(("/n/a.md", "x")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "try_variant_get" in plan
+    assert plan.rindex("try_variant_get") < plan.index("ArrowEvalPython")
+
+
+@pytest.mark.parametrize("repeated", ["true", "false"])
+def test_fields_of_frontmatter_and_block_together(spark, corpus, repeated):
+    """Shared, repeated, empty and non-flat members, whatever the session lets JSON objects repeat."""
+    fence = "```yaml\n{}```\n"
+    notes = {
+        "/n/a.md": ("a: 1\nb: x", "b: ~\nc: 2\n"), "/n/b.md": ("a: 1\na: 2", "c: 3\n"), "/n/c.md": ("a: 1", "c: 3\nc: 4\n"),
+        "/n/d.md": ("a: [1, 2]", "a: 5\nc: {d: 1}\n"), "/n/e.md": ("", "c: 6\n"), "/n/f.md": ("a: 7", ""), "/n/g.md": ("- a", "- b\n"),
+        "/n/h.md": ("a: \"open", "c: 8\n"), "/n/i.md": ("a: 'it''s'", "c: a \"b\" \\ é\n"), "/n/j.md": ("a: 1\x01null\"", "c: 9\n"),
+    }
+    df = corpus(*[(path, f"---\n{front}\n---\n" + fence.format(block)) for path, (front, block) in notes.items()])
+    with session_settings(spark, {"spark.sql.variant.allowDuplicateKeys": repeated}):
+        rows = rl.extract_records(df).select("_note_file", F.to_json("fields", {"ignoreNullFields": "false"})).collect()
+    assert {path: json.loads(fields) for path, fields in rows} == {
+        "/n/a.md": {"a": 1, "b": None, "c": 2}, "/n/b.md": {"c": 3}, "/n/c.md": {"a": 1}, "/n/d.md": {"a": 5, "c": {"d": 1}}, "/n/e.md": {"c": 6},
+        "/n/f.md": {"a": 7}, "/n/h.md": {"c": 8}, "/n/i.md": {"a": "it's", "c": "a \"b\" \\ é"}, "/n/j.md": {"c": 9},
+    }
