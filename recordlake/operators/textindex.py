@@ -12,12 +12,12 @@ many are joined.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlake.functions.barrier import computed_once
 from recordlake.functions.text import contains_ignoring_case, is_note
 
 GRAM, BUCKETS = 3, 64
 LISTED = 10_000  # so many candidates at most become a list in the scan's filter
 _BLOCK_BYTES = 8 << 20
+_EACH_GRAM = rf"(?s)(?=(.{{{GRAM}}}))."  # the characters ahead, then one step: by code points, and no call for each place
 
 
 def note_number(path: Column) -> Column:
@@ -26,11 +26,10 @@ def note_number(path: Column) -> Column:
 
 def with_grams(texts: DataFrame) -> DataFrame:
     """``note, gram``: the distinct trigrams of each folded text; a shorter text itself, and none of an empty one."""
-    folded = computed_once(texts.select("note", F.lower("content").alias("text")), "letters", F.split("text", ""))  # split once, not for each place
-    n = F.size("letters") - F.when(F.element_at("letters", -1) == "", 1).otherwise(0)
-    at = F.when(n >= GRAM, F.sequence(F.lit(0), n - GRAM))
-    grams = F.array_distinct(F.transform(at, lambda i: F.concat(*[F.get("letters", i + k) for k in range(GRAM)])))
-    return folded.select("note", F.explode(F.when(F.col("text") != "", F.coalesce(grams, F.array("text")))).alias("gram"))
+    folded = texts.select("note", F.lower("content").alias("text"))
+    grams = F.array_distinct(F.regexp_extract_all("text", F.lit(_EACH_GRAM), F.lit(1)))
+    of_text = F.when(F.length("text") >= GRAM, grams).when(F.col("text") != "", F.array("text"))
+    return folded.select("note", F.explode(of_text).alias("gram"))
 
 
 def write_text_index(corpus: DataFrame, path: str) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import recordlake as rl
 from recordlake.operators.fulltext import matching_notes
 from recordlake.operators.profile import collect_profile
+from recordlake.operators.textindex import with_grams
 from recordlake.sources.json_array import json_array_elements
 from recordlake.sources.notes import absolute_root, within_depth
 from recordlake.sources.store import as_json_lines, write_profile
@@ -248,6 +249,17 @@ def test_indexed_full_text_equals_the_plain_search(spark, corpus, tmp_path):
     assert as_dicts(rl.filter_fulltext_indexed(rows, path, "NEEDLE")) == [{"k": 1}] and rl.filter_fulltext_indexed(rows, path, " ").count() == 2
 
 
+def test_grams_of_the_index_need_no_call_for_each_place(spark):
+    own = random.Random(4)
+    texts = ["", "é", "É日", "a🙂b", "\n\r\n\u2028x", "aaaa", *("".join(own.choice("aÀé\n日🙂 İ") for _ in range(own.randrange(40))) for _ in range(40))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "note long, content string")
+    got = with_grams(rows)
+    folded = {r["note"]: r["t"] for r in rows.select("note", F.lower("content").alias("t")).collect()}
+    want = sorted((i, g) for i, t in folded.items() for g in ({t[k : k + 3] for k in range(len(t) - 2)} or {t} if t else ()))
+    assert sorted(map(tuple, got.collect())) == want
+    assert "lambdafunction" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_depth_in_any_file_system(spark):
     at = lambda path, root, depth: spark.createDataFrame([(path,)], "p string").filter(within_depth(F.col("p"), root, depth)).count()
     assert at("hdfs://nn:8020/notes/a.md", "/notes", 0) == at("hdfs://nn:8020/notes/a.md", "hdfs://nn:8020/notes/", 0) == at("/notes/a.md", "/notes", 0) == 1
