@@ -46,7 +46,7 @@ def source_type(path: Column) -> Column:
 
 def is_note(path: Column) -> Column:
     """Source type is markdown or typst."""
-    return path.rlike(_NOTE_NAME)
+    return path.endswith(".md") | path.rlike(_NOTE_NAME)  # most notes need no pattern
 
 
 def sanitize_text(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import recordlake as rl
 from recordlake.functions.patterns import FENCE
+from recordlake.functions.text import is_note
 from recordlake.functions.yaml_fields import flat_to_json, yaml_to_json
 from recordlake.session import settings as session_settings
 from recordlake.functions.yaml_text import yaml_text_to_json
@@ -30,6 +31,13 @@ def test_source_type(spark, path, kind):
     assert spark.range(1).select(rl.source_type(F.lit(path))).first()[0] == kind
 
 
+def test_most_notes_need_no_pattern(spark):
+    paths = [("/n/a.md",), ("/n/B.MD",), ("/n/.md",), ("/n/amd",), ("/n/c.md.bak",), ("/n/d.typ",), ("x.md\n",), (".md",), (None,)]
+    found = spark.createDataFrame(paths, "p string").select("p", is_note(F.col("p")).alias("note"))
+    assert [r["note"] for r in found.collect()] == [True, True, True, True, False, True, False, True, None]
+    assert "EndsWith(" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def front(df):
     return {r["_note_file"]: (r["_frontmatter"], r["_body"]) for r in df.collect()}
 
