@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import re
 from array import array
+from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 KEPT_PIECES = 400_000
 KEPT_LENGTH = 48
@@ -66,53 +69,76 @@ class Encoder:
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of each word with a space before it.
 
-        Words of common letters, digits and signs are cut by the byte-level pattern here, and their pieces go straight to the tokenizer's
-        model; all others go through the whole tokenizer."""
-        out, rest = {}, []
-        tokenize, cut, names, special = self.model.tokenize, _PIECE.findall, self.names, self.special.search
-        for w in words:
-            if not self.byte_level or not _PLAIN.fullmatch(w) or special(w):
-                rest.append(w)
-                continue
-            ids = array("I")
-            for piece in cut(f" {w}"):
+        Words of common letters, digits and signs are cut by the byte-level pattern here, all in one pass, and each different piece goes
+        straight to the tokenizer's model; all others go through the whole tokenizer."""
+        plain = [w for w in words if _PLAIN.fullmatch(w)] if self.byte_level else []
+        if self.special.search(" ".join(plain)):
+            plain = [w for w in plain if not self.special.search(w)]
+        out: dict[str, bytes] = {}
+        if plain:
+            tokenize, names, of_token = self.model.tokenize, self.names, attrgetter("id")
+            pieces = _PIECE.findall(" " + " ".join(plain))
+            different = list(set(pieces))
+            flat, ends = array("I"), [0]
+            for piece in different:
                 spelled = piece.replace(" ", "Ġ") if piece.isascii() and piece != "\n" else piece.encode().decode("latin-1").translate(names)
-                ids.extend([t.id for t in tokenize(spelled)])
-            out[w] = ids.tobytes()
-        if rest:
+                flat.extend(map(of_token, tokenize(spelled)))
+                ends.append(4 * len(flat))
+            raw = flat.tobytes()
+            ids = {piece: raw[a:b] for piece, a, b in zip(different, ends, ends[1:])}
+            coded: list[bytes] = []
+            for piece in pieces:
+                if piece[0] == " ":  # only the first piece of a word has a space
+                    coded.append(ids[piece])
+                else:
+                    coded[-1] += ids[piece]
+            if len(plain) == len(words):
+                return coded
+            out.update(zip(plain, coded, strict=True))
+        if rest := [w for w in words if w not in out]:
             out.update(zip(rest, self.direct([f" {w}" for w in rest]), strict=True))
         return [out[w] for w in words]
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
-        split = []
+        """Ids of each text.
+
+        Arrow splits the texts, finds their different words and puts the ids of words together, so that Python meets a word once a batch."""
+        firsts, rests, cut = [], [], []
         for text in texts:
             if _regular(text):
-                first, *rest = text.split(" ")
-                split.append((first, rest))
+                first, blank, rest = text.partition(" ")
+                firsts.append(first)
+                rests.append(rest if blank else None)
+                cut.append(None)
             else:
-                split.append((None, _CUT.split(text)))
+                cut.append(_CUT.split(text))
+        lists = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        words = lists.values.dictionary_encode()
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times faster than to_pylist
         # Kept under the word: its ids with a space before it.
-        of_batch = set().union(*(rest for first, rest in split if first is not None))
-        if len(self.kept) + len(missing := of_batch.difference(self.kept)) > self.limit:
-            half = np.median(np.fromiter(map(len, self.kept), np.int64, len(self.kept))) if self.kept else 0
-            self.kept = {w: ids for w, ids in self.kept.items() if len(w) < half}  # shorter words come more often
-            missing = of_batch.difference(self.kept)
-        kept = self.kept
-        if missing:
-            new = list(missing)
-            kept.update(zip(new, self.words(new), strict=True))
-        whole = list({x for first, rest in split for x in (rest if first is None else (first,))})
+        coded = list(map(self.kept.get, different))
+        if missing := [w for w, ids in zip(different, coded, strict=True) if ids is None]:
+            if len(self.kept) + len(missing) > self.limit:
+                half = np.median(np.fromiter(map(len, self.kept), np.int64, len(self.kept))) if self.kept else 0
+                self.kept = {w: ids for w, ids in self.kept.items() if len(w) < half}  # shorter words come more often
+            new = self.words(missing)
+            self.kept.update((w, ids) for w, ids in zip(missing, new, strict=True) if len(w) <= KEPT_LENGTH)
+            found = iter(new)
+            coded = [next(found) if ids is None else ids for ids in coded]
+        offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)), dtype=np.int64)))
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(coded), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(coded))])
+        _, offsets, data = coded.take(words.indices).buffers()
+        ends = np.frombuffer(offsets, np.int64)[lists.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        whole = list({x for part in (firsts, *filter(None, cut)) for x in part})
         others = dict(zip(whole, self.direct(whole), strict=True)) if whole else {}
-        out = []
-        for first, rest in split:
-            if first is None:
-                out.append(b"".join(map(others.__getitem__, rest)))
+        out, at = [], 0
+        for parts in cut:
+            if parts is None:
+                out.append(b"".join((others[firsts[at]], data[ends[at] : ends[at + 1]])))
+                at += 1
             else:
-                out.append(others[first] + b"".join(map(kept.__getitem__, rest)))
-        for w in missing:
-            if len(w) > KEPT_LENGTH:
-                del kept[w]
+                out.append(b"".join(map(others.__getitem__, parts)))
         return out
 
 

@@ -110,3 +110,26 @@ def test_store_of_messy_and_empty(spark, messy, tmp_path):
         got = wavelet.documents(wavelet.read(spark, str(tmp_path / name))).collect()
         assert len(got) == df.count()
         assert sum(r.n_tokens for r in got) == sum(len(reference(r.text)) + 1 for r in df.collect())
+
+
+def test_pieces_that_new_words_share_are_tokenised_once():
+    from llm import tokens
+
+    own, asked = tokens.Encoder(tokens.default_path()), []
+    model = own.model
+    own.model = type("Counting", (), {"tokenize": staticmethod(lambda piece: asked.append(piece) or model.tokenize(piece))})
+    texts = ["one ab### cd### éf###", "two ab### gh###\nij###"]
+    assert own.batch(texts) == own.direct(texts)
+    assert "###" in asked and len(asked) == len(set(asked))
+
+
+def test_batches_of_odd_texts_are_exact():
+    from llm import tokens
+
+    texts = ["", "a", " a", "a ", "a  b", "a\nb c", "l'été d'x don't", "<|endoftext|> a b<|endoftext|>", "日本語 テスト x\n\ny z", "Ġa Ġ b", "🙂 a🙂b x", "\n", "a\tb c", "a " + "x" * 60 + " b", "é è ê\nü ö"]
+    for kept in (3, 400_000):
+        own = tokens.Encoder(tokens.default_path(), kept)
+        for _ in range(2):
+            assert own.batch(texts) == own.direct(texts)
+            assert own.batch([]) == [] and own.batch(texts[:1]) == own.direct(texts[:1])
+        assert not any(len(w) > tokens.KEPT_LENGTH for w in own.kept)
