@@ -153,3 +153,12 @@ def spark_records(corpus, rows):
     made = rl.extract_records(corpus(*[(f"{i}.md", f"---\n_order: {i}\n{t}\n---\n") for i, (_, t) in enumerate(rows)]))
     source = F.create_map(*[F.lit(x) for i, (n, _) in enumerate(rows) for x in (f"{i}.md", n)])
     return made.orderBy("_note_file").withColumn("_note_file", source[F.col("_note_file")])
+
+
+def test_locating_blocks_broadcasts_nothing(corpus):
+    """Notes are much larger than the tables they are made of, so Spark's guess of their size must not bring them to the driver."""
+    notes = corpus(("a.md", TWO), ("b.md", '---\nk: 1\n---\n```yaml\nn: 1\n```\n```yaml\nn: 2\ne: ""\n```\n'))
+    found = rl.locate_blocks(rl.extract_records(notes).drop("_pos"), notes)
+    assert sorted(r["_pos"] for r in found.collect() if r["_note_file"] == "b.md") == [0, 1]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
