@@ -4,9 +4,9 @@ The flags of a value are one small integer; those of a field are the ``bit_or``
 nested objects.  Flags of parts of a table combine to those of the whole.
 """
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlake.functions.values import text_form
@@ -18,10 +18,19 @@ ANY_LIST = LIST | LIST_BOOLEAN | LIST_INTEGER | LIST_FRACTION | LIST_TEXT | LIST
 _ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
 
-def kind_flags(value: Column) -> Column:
-    """Flags of one VARIANT value; 0 for null."""
-    kind = F.schema_of_variant(value)
-    text = text_form(value)
+def with_kind_flags(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Replace VARIANT columns by the flags of their values; 0 for null.
+
+    Kinds and texts are columns of their own on the way: the flags ask for them again and again, and in one expression each
+    question would read the value anew.
+    """
+    rest = [c for c in df.columns if c not in names]
+    df = df.withColumns({f"{n}__kind": F.schema_of_variant(n) for n in names})
+    df = df.withColumns({f"{n}__text": F.when(F.col(f"{n}__kind") == "STRING", text_form(F.col(n))) for n in names})
+    return df.select(*rest, *[_flags(F.col(f"{n}__kind"), F.col(f"{n}__text")).alias(n) for n in names])
+
+
+def _flags(kind: Column, text: Column) -> Column:
     # The length decides for most texts, before a pattern has to.
     day = F.when((F.length(text) == 10) & text.rlike(_ISO_DATE) & text.try_cast("date").isNotNull(), DAY).otherwise(TEXT)
     element = F.substring_index(F.substring(kind, 7, 9), "(", 1)
@@ -35,7 +44,7 @@ def kind_flags(value: Column) -> Column:
         .otherwise(LIST_TEXT)
     )
     return (
-        F.when(value.isNull() | (kind == "VOID"), 0)
+        F.when(kind.isNull() | (kind == "VOID"), 0)
         .when(kind == "STRING", day)
         .when(kind == "BIGINT", INTEGER)
         .when(kind == "BOOLEAN", BOOLEAN)

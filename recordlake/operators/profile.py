@@ -5,8 +5,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from recordlake.functions.kinds import column_type, kind_flags
-from recordlake.functions.values import is_null
+from recordlake.functions.kinds import column_type, with_kind_flags
 
 # A table of all fields that would be wider than this is refused, never cut; named fields have no limit.
 MAX_COLUMNS = 10_000
@@ -19,11 +18,11 @@ def column_profile(records: DataFrame, rate: bool = False) -> DataFrame:
     number of nested names costs one integer.  ``flags`` are the kinds of its values (``functions.kinds``), ``column_type`` the type
     of the widened column.  ``rate`` adds ``fill_rate``, at the price of a count over the records.
     """
-    values = records.select(F.explode("fields").alias("key", "value"))
+    values = with_kind_flags(records.select(F.explode("fields").alias("key", "flags")), ["flags"])
     profile = values.groupBy("key").agg(
         F.count(F.lit(1)).alias("present"),
-        F.count_if(~is_null(F.col("value"))).alias("non_null"),
-        F.bit_or(kind_flags(F.col("value"))).alias("flags"),
+        F.count_if(F.col("flags") != 0).alias("non_null"),  # a null alone has no kind
+        F.bit_or("flags").alias("flags"),
     ).withColumn("column_type", column_type(F.col("flags")))
     if rate:
         total = records.agg(F.count(F.lit(1)).alias("records")).scalar()
@@ -32,11 +31,13 @@ def column_profile(records: DataFrame, rate: bool = False) -> DataFrame:
 
 
 def field_flags(records: DataFrame, fields: Sequence[str]) -> dict[str, int]:
-    """Kinds of the named fields only: one row of integers, whatever other fields there are.  Runs one job."""
+    """Kinds of the named fields only: one integer each, whatever other fields there are.  Runs one job."""
     if not fields:
         return {}
-    row = records.agg(*[F.bit_or(kind_flags(F.col("fields")[f])).alias(f"f{i}") for i, f in enumerate(fields)]).first()
-    return {f: row[i] or 0 for i, f in enumerate(fields)}
+    # Values one below the other: a column for each field would make code too long for the JVM to compile.
+    values = records.select(F.explode("fields").alias("key", "flags")).filter(F.col("key").isin(*fields))
+    rows = with_kind_flags(values, ["flags"]).groupBy("key").agg(F.bit_or("flags").alias("flags")).collect()
+    return dict.fromkeys(fields, 0) | {r["key"]: r["flags"] for r in rows}
 
 
 def field_keys(records: DataFrame) -> DataFrame:

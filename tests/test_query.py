@@ -210,3 +210,14 @@ def test_widen_names(records):
     assert wide.columns[4:] == ["title", "Title_1", "select", "a.b", "a`b"]
     assert wide.first()[4:] == ("a", "b", 2, 3, 4)
     assert rl.widen(rows, {"title": "bigint"}).first()["title"] is None
+
+
+def test_inferring_reads_the_kind_of_a_value_once(records):
+    rows = records({"a": 1, "b": "2026-01-02", "c": [1, 2], "d": None}, {"a": 2.5, "b": "x", "c": [], "e": {"f": 1}}, {"a": True, "d": []})
+    types = {"a": "string", "b": "string", "c": "array<string>", "d": "array<string>", "e": "variant"}
+    assert rl.column_types(rows) == types
+    assert rl.column_types(rows, fields=["e", "a", "zz"]) == {"e": "variant", "a": "string", "zz": "string"}
+    counts = {r["key"]: (r["present"], r["non_null"]) for r in rl.column_profile(rows).collect()}
+    assert counts == {"a": (3, 3), "b": (2, 2), "c": (2, 2), "d": (2, 1), "e": (1, 1)}
+    plan = rl.column_profile(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().replace("_", "").count("schemaofvariant") <= 2  # one call may name it twice
